@@ -58,6 +58,43 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
 
 
+def open_shared(uri: str, mode: str):
+    """A file of the shared folder: local and mounted paths directly, other stores through Arrow's file systems."""
+    scheme, _, rest = uri.partition("://")
+    if not rest or scheme == "file":
+        path = rest or uri.removeprefix("file:")
+        if "w" in mode:
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+        return open(path, mode)
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    if "w" in mode:
+        store.create_dir(os.path.dirname(path), recursive=True)
+        return store.open_output_stream(path)
+    return store.open_input_file(path)
+
+
+def map_shared(uri: str, dtype: str):
+    """A memory-mapped array of a shared file; from stores that can't be mapped, of an unlinked copy that ends with the process."""
+    import numpy as np
+
+    scheme, _, rest = uri.partition("://")
+    if not rest or scheme == "file":
+        path = rest or uri.removeprefix("file:")
+        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+    with open_shared(uri, "rb") as source, tempfile.TemporaryFile() as copy:
+        while data := source.read(1 << 22):
+            copy.write(data)
+        copy.flush()
+        return np.memmap(copy, dtype, "r") if copy.tell() else np.zeros(0, dtype)
+
+
+def remove_shared(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
     """Bound what one Arrow batch holds in a Python worker, for very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
