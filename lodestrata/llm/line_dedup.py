@@ -7,7 +7,8 @@ documents lose all their lines except in the largest ``doc_id`` holding them.
 Plan: every eligible line becomes (128-bit key hash, doc_id, position), without
 its text.  These rows are range-partitioned by hash and sorted within each
 partition by hash, document and position; one streaming pass over the sorted
-rows tells first occurrences from the rest.  A key that holds an outsized share
+rows tells first occurrences from the rest.  (They are written once to the
+shared folder, so texts are split once.)  A key that holds an outsized share
 of all rows would land in one range, so an (at most ``HOT_KEYS`` entries)
 frequent-items sketch finds such keys first; they are resolved by a map-side
 combined aggregate instead and broadcast, their rows never being sorted at all.
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, let, strip
+from .common import SPACES, UPPER, cut, let, strip
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: The sketch reports so many keys at most; only those with more than this share of all rows are set apart.
@@ -37,11 +38,29 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("d"), text.alias("t"), F.xxhash64(text).alias("r"))
 
 
+def _stripped(line: Column) -> Column:
+    """``strip``, tried only where the line begins or ends with white space."""
+    bare = ~F.lit(False)
+    for c in SPACES:
+        bare = bare & ~line.startswith(F.lit(c)) & ~line.endswith(F.lit(c))
+    return F.when(bare, line).otherwise(strip(line))
+
+
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(d, r, p, h, g): document, hash of its text, line number from 0, 128-bit hash of an eligible line's key."""
+    """(d, r, p, h, g): document, hash of its text, line number from 0, 128-bit hash of an eligible line's key.
+
+    Two keys are equal just if their lower-case forms are and so are their characters beyond ASCII, unless a
+    character beyond ASCII has a lower case in ASCII (only U+0130 and U+212A do); so the slow character-wise
+    lower-casing of A-Z is left to lines with those two.
+    """
     lines = _source(docs).select("d", "r", F.posexplode(F.split("t", "\n")).alias("p", "line"))
-    keys = lines.select("d", "r", "p", ascii_lower(strip(F.col("line"))).alias("k")).where(F.length("k") >= min_chars)
-    return keys.select("d", "r", "p", F.xxhash64("k").alias("h"), F.xxhash64(F.lit(9), "k").alias("g"))
+    keys = lines.where(F.length("line") >= min_chars).select("d", "r", "p", _stripped(F.col("line")).alias("k"))
+    k = F.col("k")
+    odd = k.contains("\u0130") | k.contains("\u212a")
+    low = F.when(odd, F.translate(k, UPPER, UPPER.lower())).otherwise(F.lower(k))
+    beyond = F.when(F.octet_length(k) == F.length(k), F.lit("")).otherwise(F.regexp_replace(k, "[\\x00-\\x7F]+", ""))
+    parts = keys.where(F.length("k") >= min_chars).select("d", "r", "p", low.alias("low"), beyond.alias("beyond"))
+    return parts.select("d", "r", "p", F.xxhash64("low", "beyond").alias("h"), F.xxhash64(F.lit(9), "beyond", "low").alias("g"))
 
 
 def hot_hashes(occ: DataFrame) -> list[int]:
@@ -52,7 +71,7 @@ def hot_hashes(occ: DataFrame) -> list[int]:
 
 def repeats(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(d, r, p): the lines to drop."""
-    occ = occurrences(docs, min_chars)
+    occ = cut(occurrences(docs, min_chars))
     hot = hot_hashes(occ)
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
 
