@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_model, line_dedup, near_dedup, packing, quality, secrets, suffix_dedup, warc
+from . import decontaminate, html_text, language_model, line_dedup, near_dedup, packing, quality, secrets, suffix_dedup, warc
 from .common import cut, read, remove_shared, shared_dir
 from .oracles import ORACLES
 
@@ -28,6 +28,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(read(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -61,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_near_dedup, op4_suffix_dedup, op6_decontaminate, op7_language_model, op8_warc, op9_line_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_near_dedup, op4_suffix_dedup, op5_html_text, op6_decontaminate, op7_language_model, op8_warc, op9_line_dedup, op10_packing)}
 
 
 def oracles() -> dict[str, str]:
