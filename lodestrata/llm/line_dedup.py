@@ -33,9 +33,10 @@ MIN_CHARS, MIN_DOCS = 20, 3
 HOT_KEYS, HOT_TRACKED, HOT_SHARE = 1000, 10_000, 1e-4
 
 
-def _source(docs: DataFrame) -> DataFrame:
+def _source(docs: DataFrame, whole: bool = False) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").alias("d"), text.alias("t"), F.xxhash64(text).alias("r"))
+    row = [F.struct("*").alias("row")] if whole else []
+    return docs.select(F.col("doc_id").alias("d"), text.alias("t"), F.xxhash64(text).alias("r"), *row)
 
 
 def _stripped(line: Column) -> Column:
@@ -116,14 +117,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     )
 
 
-def _with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int, *extra: str) -> DataFrame:
+def _with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int, whole: bool = False) -> DataFrame:
     drop = repeats(docs, min_chars, min_docs).groupBy(F.col("d").alias("dd"), F.col("r").alias("rr")).agg(F.array_sort(F.collect_set("p")).alias("at"))
-    src = _source(docs) if not extra else docs.select("*", F.col("doc_id").alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("t"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("r"))
+    src = _source(docs, whole)
     return (
         src.join(drop, F.col("d").eqNullSafe(F.col("dd")) & (F.col("r") == F.col("rr")), "left")
         .withColumn("n_lines", (F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))) + 1).cast("int"))
-        .withColumn("n_dropped", F.coalesce(F.size("at"), F.lit(0)))
-        .withColumn("n_dropped", F.when(F.col("at").isNull(), 0).otherwise(F.col("n_dropped")))
+        .withColumn("n_dropped", F.when(F.col("at").isNull(), 0).otherwise(F.size("at")))
         .withColumn("keep_runs", _runs(F.col("at"), F.col("n_lines")))
     )
 
@@ -140,3 +140,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """doc_id, n_lines, n_dropped, text (the kept lines)."""
     out = _with_bitmaps(docs, min_chars, min_docs)
     return out.select(F.col("d").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), apply_runs(F.col("t"), F.col("keep_runs")).alias("text"))
+
+
+def rewrite(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` with the dropped lines gone from ``text``, and ``n_chars``, where there is one, counted anew."""
+    out = _with_bitmaps(docs, min_chars, min_docs, whole=True)
+    text = F.when(F.col("n_dropped") == 0, F.col("row.text")).otherwise(apply_runs(F.col("t"), F.col("keep_runs")))
+    out = out.withColumn("new", text)
+    new = {"text": F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])

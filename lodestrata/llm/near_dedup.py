@@ -201,3 +201,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("d"), F.lit(True)).alias("kept"),
     )
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose document stays: one of each group, once."""
+    found = cut(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("stays")))
+    ids = found.distinct()
+    out = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("stays")), "left_semi")
+    if found.where("stays is not null").groupBy("stays").count().where("count > 1").isEmpty():
+        return out
+    named = out.where("doc_id is not null")
+    return named.dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))

@@ -68,13 +68,14 @@ def repeated_words(ws: Column) -> Column:
     return let(let(F.transform(ws, lambda w: F.xxhash64(w)), windows), covered)
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, ws (words) and the base columns."""
+def base_rules(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id (or row: the whole row as a struct), ws (words) and the base columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    with_words = docs.select("doc_id", text.alias("t"), words(F.col("text")).alias("ws"))
+    carried = F.struct("*").alias("row") if whole else F.col("doc_id")
+    with_words = docs.select(carried, text.alias("t"), words(F.col("text")).alias("ws"))
     lines = F.filter(F.split("t", "\n"), lambda x: strip(x) != "")
     return with_words.select(
-        "doc_id",
+        "row" if whole else "doc_id",
         "ws",
         F.size("ws").cast("long").alias("n_words"),
         F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
@@ -107,16 +108,23 @@ def ngram_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return one.select(F.lit(1).alias("wk"), flat.alias("w"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
+def _judged(docs: DataFrame, labels: DataFrame, threshold: float, whole: bool) -> DataFrame:
     weights = ngram_weights(docs.select("doc_id", "text"), labels)
-    based = base_rules(docs).withColumn("one", F.lit(1))
+    based = base_rules(docs, whole).withColumn("one", F.lit(1))
     scored = based.join(F.broadcast(weights), F.col("one") == F.col("wk"), "left")
     w = F.col("w")
     total = let(buckets(F.col("ws")), lambda b: F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.get(w, x.cast("int"))) / F.size(b))
-    out = scored.withColumn("score", F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(F.round(total, 6)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), "score", (~failed & (F.col("score") >= threshold)).alias("kept"),
-    )
+    out = scored.withColumn("score", F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(F.round(total, 6))).withColumn("base_failed", failed)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
+    judged = _judged(docs, labels, threshold, whole=False)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, unchanged."""
+    return _judged(docs, labels, threshold, whole=True).where("kept").select("row.*")
