@@ -40,7 +40,7 @@ WINDOW = 200_000
 #: Free tokens that no longer make a bin worth passing on.
 SLACK = 8
 FAN_IN = 16
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 _CONTROLS = re.compile("[\x1c-\x1f]")  # Python splits at these, the tokenizer's \s doesn't
 _ASCII_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
@@ -53,8 +53,25 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
+
+
+#: Words of printable ASCII and letters of Latin-1 alone: lower-casing and composing them is plain, and so is their cutting.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@[-`{-~]+")
+_encoders: dict[str, Encoder] = {}
+
+
 class Encoder:
-    """Little-endian 32-bit token ids of texts, word by word."""
+    """Little-endian 32-bit token ids of texts, word by word.
+
+    Words seen before come from a table.  Plain new words are cut as the file's pre-tokenizer cuts them, and each
+    part goes straight to the BPE model; all other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         import os
@@ -62,9 +79,28 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.remembered = Tokenizer.from_file(path), {}, remembered
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        self.known, self.parts = {}, {}
+        self.model = self.tokenizer.model
+        letters = _byte_letters()
+        self.table = {c: "".join(letters[b] for b in chr(c).encode()) for c in [*range(33, 127), *range(0xC0, 0x100)]}
+
+    @classmethod
+    def of_worker(cls, path: str) -> Encoder:
+        """One encoder for all tasks of a Python worker."""
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
+    def _part(self, part: str) -> bytes:
+        ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(part.translate(self.table)))
+        if len(self.parts) > self.remembered:
+            self.parts.clear()
+        self.parts[part] = ids
+        return ids
 
     def _learn(self, words: list[str]) -> None:
+        """The words that aren't plain, in one call; white space between them keeps them apart."""
         starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
         got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         ids = np.array(got.ids, "<u4")
@@ -78,10 +114,14 @@ class Encoder:
         split = [_ASCII_SPACE.split(t) if _CONTROLS.search(t) else t.split() for t in texts]
         if len(self.known) > self.remembered:
             self.known.clear()
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known and w})
-        for i in range(0, len(new), 10_000):
-            self._learn(new[i : i + 10_000])
+        known, parts, other = self.known, self.parts, []
+        for w in set().union(*split) - known.keys():
+            if _PLAIN.fullmatch(w) and "<|" not in w:
+                known[w] = b"".join([parts.get(p) or self._part(p) for p in _PARTS.findall(w.lower())])
+            elif w:
+                other.append(w)
+        for i in range(0, len(other), 10_000):
+            self._learn(other[i : i + 10_000])
         known[""] = b""
         for ws in split:
             yield b"".join(map(known.__getitem__, ws))
@@ -114,7 +154,7 @@ def best_fit(sizes: list[int], capacity: int = LENGTH) -> tuple[list[int], list[
 
 def _tokenise_and_pack(path: str, length: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder.of_worker(path)
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         end, step, bins = np.array([END_ID], "<u4").tobytes(), 4 * length, 0
         rows: list[tuple] = []
