@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.settle import settle
+
 
 def latest_wins(events: DataFrame, keys: list[str], order: str = "offset") -> DataFrame:
     """The last row of each key, whole; one aggregate, no sort."""
@@ -41,3 +43,14 @@ def asof(left: DataFrame, right: DataFrame, by: str, at: str, when: str, values:
 def keep_top(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def dense_numbers(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """Rows numbered from 1 in a global order, without gathering them in one task.
+
+    Rows are range-partitioned and sorted; a row's number is its place in its partition after the sizes of the partitions before.
+    """
+    placed = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i") + 1).drop("_p", "_i", "_before")
