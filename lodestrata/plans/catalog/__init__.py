@@ -1,3 +1,3 @@
 """Queries and their SQL oracles, by family."""
 
-from . import graph, logs, views  # noqa: F401
+from . import graph, logs, retrieve, store, views  # noqa: F401
