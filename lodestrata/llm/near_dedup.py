@@ -17,10 +17,13 @@ Plan
    documents in question only.
 5. Components come from hash-to-min rounds with pointer jumping on DataFrames.
 6. A star misses a link between two members that its centre is not linked to.
-   So buckets that still span several components go on: in each round a growing
-   random share of a bucket's members act as centres towards members of other
-   components, until every such pair has been confirmed or refuted.  Nothing is
-   capped; pairs within a component are never made.
+   So buckets that still span several components go on: their members meet in
+   one task (large buckets as pairs of blocks) with bottom-``KEPT`` sketches, and
+   all pairs across components are judged there by bit counts.  Only pairs that
+   may be linked leave the task: sketches of up to KEPT shingles are whole sets
+   and tell exactly, larger ones leave a margin of five standard errors.  These
+   pairs are confirmed on the full sets.  Nothing is capped, and neither pairs
+   within a component nor pairs that cannot be linked are ever emitted.
 
 A link at similarity 0.75 is missed only if all 40 bands of 4 rows differ, with
 probability about 2.5e-7; at 0.8 it is 5e-10.
@@ -48,8 +51,8 @@ from .hashing import mix, shingle_sets
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 PERCENT = 75
-#: Expected centres in a bucket in the first round after the stars; each later round has FACTOR times as many.
-CENTRES, FACTOR = 16, 16
+#: Hashes in a bottom sketch, the similarity that it must show, and members of a block.
+KEPT, MARGIN, MEMBERS = 256, 0.61, 1024
 
 _ORDER = mix(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(77)).reshape(BINS, BINS) >> np.uint64(32)
 _BAND = mix(np.arange(BINS, dtype=np.uint64) + np.uint64(991)) | np.uint64(1)
@@ -76,25 +79,74 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, keys, bands = [], [], []
+        sizes, keys, bands, bottoms = [], [], [], []
         for s in shingle_sets(batch.column(1)):
             sizes.append(len(s))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             bands.append(band_hashes(signature(s)) if len(s) else np.zeros(0, np.int64))
+            bottoms.append((s[:KEPT] >> np.uint64(32)).astype("<u4").tobytes())
         offsets = np.zeros(len(bands) + 1, np.int32)
         np.cumsum([len(b) for b in bands], out=offsets[1:])
         flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-            names=["d", "n", "key", "bands"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(bottoms, pa.binary())],
+            names=["d", "n", "key", "bands", "bottom"],
         )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(d, n, key, bands): set size, hash of the set, band hashes."""
+    """(d, n, key, bands, bottom): set size, hash of the set, band hashes, bottom sketch."""
     small_batches(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
-    return ids.mapInArrow(_sketch, "d long, n long, key binary, bands array<long>")
+    return ids.mapInArrow(_sketch, "d long, n long, key binary, bands array<long>, bottom binary")
+
+
+def _may_link(n: np.ndarray, bottoms: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the pairs from ``left`` times ``right`` in different components whose sets may be similar enough."""
+    flat = np.concatenate(bottoms)
+    owner = np.repeat(np.arange(len(bottoms)), [len(b) for b in bottoms])
+    _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    columns, place = np.unique(column[shared], return_inverse=True)
+    bits = np.zeros((len(bottoms), (len(columns) + 7) // 8 * 8 or 8), bool)
+    bits[owner[shared], place] = True
+    packed = np.packbits(bits, axis=1)
+    whole = n <= KEPT
+    last = np.array([b[-1] for b in bottoms])
+    for i in left.tolist():
+        j = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))]
+        if not len(j):
+            continue
+        common = np.bitwise_count(packed[j] & packed[i]).sum(axis=1, dtype=np.int64)
+        exact = whole[j] & whole[i]
+        linked = exact & (100 * common >= PERCENT * (n[j] + n[i] - common))
+        rough = j[~exact]
+        for k, x in zip(np.flatnonzero(~exact).tolist(), rough.tolist()):
+            # the union's smallest hashes, as far as both sketches reach
+            if common[k] < MARGIN * min(len(bottoms[i]), len(bottoms[x])) / 2:
+                continue
+            reach = min(last[i] if not whole[i] else 0xFFFFFFFF, last[x] if not whole[x] else 0xFFFFFFFF)
+            a, b = bottoms[i][bottoms[i] <= reach], bottoms[x][bottoms[x] <= reach]
+            both = len(np.intersect1d(a, b))
+            linked[k] = both >= MARGIN * (len(a) + len(b) - both)
+        yield np.full(int(linked.sum()), i), j[linked]
+
+
+def _judge(table: pa.Table) -> pa.Table:
+    """Pairs of a bucket, or of two of its blocks (``side`` tells which), that may be linked."""
+    d, n, comp, side, of = (table[c].to_numpy() for c in ("d", "n", "comp", "side", "blocks"))
+    order = np.argsort(d, kind="stable")
+    d, n, comp, side = d[order], n[order], comp[order], side[order]
+    bottoms = [np.frombuffer(x, "<u4") for x in table["bottom"].take(pa.array(order)).to_pylist()]
+    both = of[0] < 0  # one block against itself
+    left = np.arange(len(d)) if both else np.flatnonzero(side == 0)
+    right = np.arange(len(d)) if both else np.flatnonzero(side == 1)
+    found = list(_may_link(n, bottoms, comp, left, right))
+    a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+    b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
+    if both:
+        a, b = a[a < b], b[a < b]
+    return pa.table({"a": np.minimum(d[a], d[b]), "b": np.maximum(d[a], d[b])})
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,11 +189,17 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
-def _alive(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """(k, d, n, comp, m): members of the buckets that span several components; m: how many."""
-    marked = buckets.join(comps, "d", "left").withColumn("comp", F.coalesce("comp", "d"))
-    mixed = marked.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("k", "m")
-    return marked.join(mixed, "k")
+def _across(shared: DataFrame, comps: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(a, b): pairs that share a bucket, lie in different components and may be linked."""
+    marked = shared.join(comps, "d", "left").withColumn("comp", F.coalesce("comp", "d"))
+    mixed = marked.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
+    alive = marked.join(mixed.select("k", F.ceil(F.col("m") / MEMBERS).cast("int").alias("g")), "k").join(chosen.select("d", "bottom"), "d")
+    # a bucket of g blocks meets as g * (g + 1) / 2 pairs of blocks; for g = 1 as itself
+    mine = F.pmod(F.xxhash64("d", "k"), F.col("g")).cast("int")
+    split = alive.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    ends = split.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    ready = ends.select("k", "i", "j", "d", "n", "comp", "bottom", F.when(F.col("mine") == F.col("i"), 0).otherwise(1).alias("side"), F.when(F.col("i") == F.col("j"), -1).otherwise(1).alias("blocks"))
+    return ready.groupBy("k", "i", "j").applyInArrow(_judge, "a long, b long").distinct()
 
 
 def _fits(a: str, b: str):
@@ -151,7 +209,7 @@ def _fits(a: str, b: str):
 def link(sketched: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
     """(d, comp) of the documents that some link reaches.
 
-    sketched: (d, n, bands), a row for each distinct set; texts: (d, t); known: (a, b), links to start from.
+    sketched: (d, n, bands, bottom), a row for each distinct set; texts: (d, t); known: (a, b), links to start from.
     """
     buckets = sketched.select("d", "n", F.explode("bands").alias("k"))
     centres = buckets.groupBy("k").agg(F.min("d").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k", "a")
@@ -162,23 +220,10 @@ def link(sketched: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
     links = cut(confirm(tested, texts).unionAll(known))
     comps = components(links)
 
-    reach, low = float(CENTRES), 0.0
-    while True:
-        alive = _alive(shared.select("k", "d", "n"), comps).withColumn("u", F.xxhash64("d", "k") / F.lit(2.0**64) + 0.5)
-        lo, hi = F.lit(low) / F.col("m"), F.lit(reach) / F.col("m")
-        centre = alive.where((F.col("u") >= lo) & (F.col("u") < hi)).select("k", F.col("d").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("u").alias("ua"))
-        pairs = alive.join(centre, "k").where((F.col("comp") != F.col("ca")) & (F.col("u") >= F.col("ua")) & _fits("na", "n"))
-        fresh = pairs.select(F.least("a", "d").alias("a"), F.greatest("a", "d").alias("b")).distinct()
-        fresh = cut(fresh.join(tested, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            found = cut(confirm(fresh, texts))
-            tested = tested.unionAll(fresh)
-            if not found.isEmpty():
-                links = links.unionAll(found)
-                comps = components(links)
-        if (alive.agg(F.max("m")).first()[0] or 0) <= reach:
-            return comps
-        low, reach = reach, reach * FACTOR
+    fresh = cut(_across(shared.select("k", "d", "n"), comps, sketched).join(tested, ["a", "b"], "left_anti"))
+    if fresh.isEmpty():
+        return comps
+    return components(links.unionAll(confirm(fresh, texts)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -193,7 +238,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ties = members.join(twice, "d").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
 
     first = reps.select(F.col("key").alias("rk"), "rep")
-    chosen = cut(some.join(first, (F.col("key") == F.col("rk")) & (F.col("d") == F.col("rep"))).dropDuplicates(["key"]).select("d", "n", "bands"))
+    chosen = cut(some.join(first, (F.col("key") == F.col("rk")) & (F.col("d") == F.col("rep"))).dropDuplicates(["key"]).select("d", "n", "bands", "bottom"))
     comps = link(chosen, docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t")), ties)
     out = members.join(comps.select(F.col("d").alias("rep"), "comp"), "rep", "left")
     component = F.when(F.col("d").isNotNull(), F.coalesce("comp", "rep", "d"))
