@@ -53,6 +53,8 @@ BINS = BANDS * ROWS
 PERCENT = 75
 #: Hashes in a bottom sketch, the similarity that it must show, and members of a block.
 KEPT, MARGIN, MEMBERS = 256, 0.61, 1024
+#: Document ids broadcast at most (8 bytes each).
+BROADCAST_IDS = 1_000_000
 
 _ORDER = mix(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(77)).reshape(BINS, BINS) >> np.uint64(32)
 _BAND = mix(np.arange(BINS, dtype=np.uint64) + np.uint64(991)) | np.uint64(1)
@@ -168,7 +170,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) whose full sets are similar enough.  texts: (d, t)."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
-    used = texts.join(ends, "d", "left_semi")
+    # the ids are counted: up to BROADCAST_IDS they go to the scan, so that texts without a pair are not shuffled
+    used = texts.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "d", "left_semi")
     with_b = pairs.join(used.select(F.col("d").alias("b"), F.col("t").alias("tb")), "b")
     with_a = with_b.join(used.select(F.col("d").alias("a"), F.col("t").alias("ta"), F.xxhash64("t").alias("ra")), "a")
     return with_a.select("a", "b", "ra", "ta", "tb").sortWithinPartitions("a", "ra").mapInArrow(_confirm, "a long, b long")
