@@ -1,3 +1,3 @@
 """Queries and their SQL oracles, by family."""
 
-from . import graph, logs, retrieve, store, text, views  # noqa: F401
+from . import graph, logs, match, retrieve, store, text, views  # noqa: F401

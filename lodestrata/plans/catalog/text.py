@@ -104,6 +104,7 @@ def _(t):
 
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+_NOT = ", ".join(f"'{w}'" for w in X.NOT_NAMES)
 _KW = rf"list_filter(regexp_extract_all(lower(ta), '\b([a-z]{{3,}})\b', 1), lambda w: w NOT IN ({_STOP}))"
 _OVER = f"CASE WHEN len(kw) = 0 THEN 0 ELSE len(list_filter(kw, lambda w: contains(lower(tb), w))) / len(kw) END"
 _KEYED = f"keyed AS (SELECT a, b, ta, tb, {_KW} AS kw FROM pairs WHERE regexp_matches(ta, '^[ -~\\n]*$'))"
@@ -119,7 +120,7 @@ def _(t):
 
 
 @query("x12_name_boost", None, rf"""WITH {_PAIRS}, {_KEYED} SELECT a, b, round(CASE WHEN len(n) = 0 THEN 0 ELSE len(list_filter(n, lambda w: contains(lower(tb), lower(w)))) / len(n) END, 6) AS boost
-  FROM (SELECT a, b, tb, list_distinct(regexp_extract_all(ta, '\b([A-Z][a-z]{{2,15}})\b', 1)) AS n FROM keyed)""")
+  FROM (SELECT a, b, tb, list_filter(list_distinct(regexp_extract_all(ta, '\b([A-Z][a-z]{{2,15}})\b', 1)), lambda w: w NOT IN ({_NOT})) AS n FROM keyed)""")
 def _(t):
     return _keyed(t).select("a", "b", F.round(X.contained_share(X.person_names(F.col("ta")), F.col("tb")), 6).alias("boost"))
 
