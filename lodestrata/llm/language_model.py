@@ -49,7 +49,7 @@ from .hashing import word_hashes
 FOLDS, HELD_OUT = 5, 1
 END = np.uint64(0x5EED0F7E57E4D000)  # the hash that stands for the end token
 #: Keys gathered in a mapping task before they are combined.
-BUFFER = 4_000_000
+BUFFER = 2_000_000
 LOW = np.uint64(0xFFFFFFFF)
 W32 = np.uint64(32)
 
@@ -80,27 +80,24 @@ def combine(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Gather:
-    """Counts keys within a bounded buffer."""
+    """Counts keys a bounded buffer at a time."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.parts: list[np.ndarray] = []
         self.pending = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        self.parts.append((keys, np.ones(len(keys), np.int64)))
+    def add(self, keys: np.ndarray) -> bool:
+        """Whether the buffer is full."""
+        self.parts.append(keys)
         self.pending += len(keys)
-        if self.pending > BUFFER:
-            self.parts = [self.take()]
+        return self.pending >= BUFFER
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.pending = 0
-        return combine(*(np.concatenate(x) for x in zip(*self.parts)))
-
-    def full(self) -> bool:
-        """Whether combining no longer helps, so that what is there should be sent."""
-        return len(self.parts) == 1 and len(self.parts[0][0]) > BUFFER
+        keys = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint64)
+        self.parts, self.pending = [], 0
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ np.uint64(1))) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def _chunks(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
@@ -116,8 +113,13 @@ _CHUNKS = "shard int, high binary, low binary, n binary"
 
 
 def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    high, low, n = (np.concatenate([np.frombuffer(x, "<u4") for x in table[c].to_pylist()]) for c in ("high", "low", "n"))
-    return combine(high.astype(np.uint64) << W32 | low.astype(np.uint64), n.astype(np.int64))
+    def whole(name: str) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table[name]])
+
+    keys = whole("high").astype(np.uint64)
+    keys <<= W32
+    keys |= whole("low")
+    return combine(keys, whole("n").astype(np.int64))
 
 
 def _write(name: str, array: np.ndarray) -> None:
@@ -129,10 +131,8 @@ def _count_words(bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Gather()
         for batch in batches:
-            seen.add(tokens(batch.column(0))[0])
-            if seen.full():
+            if seen.add(tokens(batch.column(0))[0]):
                 yield _chunks(*seen.take(), bounds)
-                seen = Gather()
         yield _chunks(*seen.take(), bounds)
 
     return run
@@ -272,10 +272,8 @@ def _count_pairs(model: Model, bounds: np.ndarray):
             before = np.empty_like(ids)
             before[1:] = ids[:-1]
             before[at[:-1]] = model.size
-            seen.add(before.astype(np.uint64) << W32 | ids.astype(np.uint64))
-            if seen.full():
+            if seen.add(before.astype(np.uint64) << W32 | ids.astype(np.uint64)):
                 yield _chunks(*seen.take(), bounds)
-                seen = Gather()
         yield _chunks(*seen.take(), bounds)
 
     return run
@@ -349,7 +347,7 @@ def train(docs: DataFrame, folder: str) -> Model:
     """Counts ``docs`` (doc_id, text) and stores the model in ``folder``."""
     small_batches(docs.sparkSession)
     texts = docs.select("text")
-    parts = max(8, texts.rdd.getNumPartitions())
+    parts = max(8, 2 * texts.rdd.getNumPartitions())
     bits = (parts - 1).bit_length()
     word_bounds = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
     words = cut(texts.mapInArrow(_count_words(word_bounds), _CHUNKS).groupBy("shard").applyInArrow(_store_words(folder), _WORD_SHARD)).orderBy("shard").collect()
