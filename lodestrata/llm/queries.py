@@ -51,7 +51,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = history.agg(F.min(F.struct("part", "place", "url_key", "timestamp")).alias("h"))
     same = (F.col("task") == F.col("t")) & F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d"))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    out = cut(records.join(where, same, "left").select(*columns, "h.url_key", "h.timestamp", F.col("h.part").alias("history_part"), F.col("h.place").alias("history_place")))
+    # the merge reads a table of a few ranges, which hides the size of its result from the planner: never broadcast it
+    out = cut(records.join(where.hint("merge"), same, "left").select(*columns, "h.url_key", "h.timestamp", F.col("h.part").alias("history_part"), F.col("h.place").alias("history_place")))
     remove_shared(spark, folder)
     return out
 
