@@ -1,3 +1,3 @@
 """Queries and their SQL oracles, by family."""
 
-from . import graph, logs, match, mine, retrieve, store, text, views  # noqa: F401
+from . import graph, ingest, logs, match, mine, retrieve, rules, store, text, views  # noqa: F401
