@@ -164,8 +164,8 @@ class Model:
     pair_bounds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     pairs: dict[int, str] = field(default_factory=dict)
     split: dict[int, list[int]] = field(default_factory=dict)  # statistics of contexts that lie in several shards
-    discounts: list[float] = field(default_factory=list)
-    uni_discounts: list[float] = field(default_factory=list)
+    discounts: list[float] = field(default_factory=lambda: [0.75, 1.5, 2.25])
+    uni_discounts: list[float] = field(default_factory=lambda: [0.75, 1.5, 2.25])
     spread: int = 0  # distinct pairs
     uni_left: float = 1.0  # g'
     tails: dict[int, str] = field(default_factory=dict)
@@ -363,12 +363,13 @@ def train(docs: DataFrame, folder: str) -> Model:
     model.pairs = {r["shard"]: r["name"] for r in rows}
     model.spread = sum(r["n"] for r in rows)
     model.discounts = discounts(*(sum(r[c] for r in rows) for c in ("n1", "n2", "n3", "n4")))
-    ends: dict[int, list[list[int]]] = {}
+    # a context that is not, or not only, in the shard where look-ups expect it is the first or last one of its shards
+    ends: dict[int, dict[int, list[int]]] = {}
     for r in rows:
-        ends.setdefault(r["first"], []).append(r["first_stats"])
-        if r["last"] != r["first"]:
-            ends.setdefault(r["last"], []).append(r["last_stats"])
-    model.split = {v: np.sum(x, axis=0).tolist() for v, x in ends.items() if len(x) > 1}
+        ends.setdefault(r["first"], {})[r["shard"]] = r["first_stats"]
+        ends.setdefault(r["last"], {})[r["shard"]] = r["last_stats"]
+    home = {v: int(np.searchsorted(model.pair_bounds, np.uint64(v << 32), "right")) for v in ends}
+    model.split = {v: np.sum(list(x.values()), axis=0).tolist() for v, x in ends.items() if list(x) != [home[v]]}
 
     model.tail_size = -(-model.size // parts)
     names = pairs.select("name").repartition(max(1, len(rows)), "name")
