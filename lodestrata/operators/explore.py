@@ -101,14 +101,14 @@ def extract_memories(docs: DataFrame, key: str, least: int = 20) -> DataFrame:
     return parts.select(key, "chunk", F.when((kind == "problem") & contains_any(low, RESOLVED), "milestone").otherwise(kind).alias("kind"))
 
 
-def locale_patterns(locales: dict[str, dict[str, list[str]]]) -> dict[str, str]:
+def locale_patterns(locales: dict[str, dict[str, list[str]]], unicode: bool = True) -> dict[str, str]:
     """One alternation a kind over all locales, each pattern once, with word boundaries where its ends are word characters."""
     merged: dict[str, list[str]] = {}
     for kinds in locales.values():
         for kind, words in kinds.items():
             merged.setdefault(kind, []).extend(w for w in words if w not in merged.get(kind, []))
     edge = lambda w: ("\\b" if w[:1].isalnum() else "") + w + ("\\b" if w[-1:].isalnum() else "")
-    return {k: "(?U)(" + "|".join(edge(w) for w in ws) + ")" for k, ws in merged.items()}
+    return {k: ("(?U)(" if unicode else "(") + "|".join(edge(w) for w in ws) + ")" for k, ws in merged.items()}
 
 
 def match_patterns(docs: DataFrame, key: str, patterns: dict[str, str]) -> DataFrame:

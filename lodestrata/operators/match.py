@@ -45,10 +45,10 @@ def cascade(pairs: DataFrame) -> DataFrame:
 
 
 def best_semantic(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a, b: store, part, v.  (max cosine + 1) / 2 over the vectors that two stores hold of the same part, by pairs of stores."""
-    x = a.select(F.col("store").alias("a"), "part", F.col("v").alias("va"))
-    y = b.select(F.col("store").alias("b"), "part", F.col("v").alias("vb"))
-    c = x.join(y, "part").where("a < b").groupBy("a", "b").agg(F.max(cosine(F.col("va"), F.col("vb"))).alias("c"))
+    """a: store, v, a stated query set (broadcast); b: store, v.  (max cosine + 1) / 2 between the vectors of two stores."""
+    x = a.select(F.col("store").alias("a"), F.col("v").alias("va"))
+    y = b.select(F.col("store").alias("b"), F.col("v").alias("vb"))
+    c = y.join(F.broadcast(x), F.col("a") != F.col("b")).groupBy("a", "b").agg(F.max(cosine(F.col("va"), F.col("vb"))).alias("c"))
     return c.select("a", "b", F.round((F.col("c") + 1) / 2, 6).alias("semantic"))
 
 

@@ -8,8 +8,9 @@ from ...operators import match as M
 from ...sources.tables import NOW_MS
 from ..registry import query
 
-_SETS = """sets AS (SELECT node_id AS store, list_distinct(list(k) FILTER (event_type = 'view')) AS preds, list_distinct(list(k % 30) FILTER (event_type = 'click')) AS nodes, list_distinct(list(k % 20) FILTER (event_type = 'error')) AS edges,
-  list_distinct(list(k % 10) FILTER (event_type = 'purchase')) AS forks, list_distinct(list(k % 25) FILTER (event_type = 'signup')) AS paths, list_distinct(list(k % 8)) AS schemas FROM log GROUP BY node_id)"""
+# a store for each value of k: a fixed, small number of stores, all of them compared
+_SETS = """sets AS (SELECT k AS store, list_distinct(list(node_id) FILTER (event_type = 'view')) AS preds, list_distinct(list(node_id % 30) FILTER (event_type = 'click')) AS nodes, list_distinct(list(node_id % 20) FILTER (event_type = 'error')) AS edges,
+  list_distinct(list(node_id % 10) FILTER (event_type = 'purchase')) AS forks, list_distinct(list(node_id % 25) FILTER (event_type = 'signup')) AS paths, list_distinct(list(node_id % 8)) AS schemas FROM log GROUP BY k)"""
 
 
 def _j(c):
@@ -17,7 +18,7 @@ def _j(c):
 
 
 _PAIRS = f"""pairs AS (SELECT x.store AS a, y.store AS b, (x.store * 7 + y.store * 3) % 100 / 100 AS minhash, {_j('schemas')}, ((x.store + y.store) % 20 - 10) / 10 AS velocity, {_j('preds')}, {_j('nodes')}, {_j('edges')}, {_j('forks')},
-  CASE WHEN x.store % 2 = 0 THEN (x.store % 10) / 10 END AS discourse, {_j('paths')} FROM sets x JOIN sets y ON x.store % 10 = y.store % 10 AND x.store < y.store)"""
+  CASE WHEN x.store % 2 = 0 THEN (x.store % 10) / 10 END AS discourse, {_j('paths')} FROM sets x JOIN sets y ON x.store < y.store)"""
 _LAYERS = """layers AS (SELECT *, pow(greatest(0.05, layer2a) * greatest(0.05, layer2b) * greatest(0.05, layer2c), 1 / 3) AS layer2 FROM (SELECT *, CASE WHEN layer2b >= 0.25 THEN paths ELSE 0 END AS layer2c FROM (
   SELECT *, CASE WHEN layer2a >= 0.2 THEN CASE WHEN discourse IS NULL THEN 0.4 * nodes + 0.3 * edges + 0.3 * forks ELSE 0.7 * (0.4 * nodes + 0.3 * edges + 0.3 * forks) + 0.3 * discourse END ELSE 0 END AS layer2b FROM (
   SELECT *, CASE WHEN layer1 >= 0.4 THEN preds ELSE 0 END AS layer2a FROM (SELECT *, 0.6 * minhash + 0.25 * schemas + 0.15 * greatest(0, velocity) AS layer1 FROM pairs)))))"""
@@ -25,14 +26,14 @@ _LAYERS = """layers AS (SELECT *, pow(greatest(0.05, layer2a) * greatest(0.05, l
 
 def _pairs(t):
     def held(kind, modulo):
-        value = F.col("k") % modulo if modulo else F.col("k")
+        value = F.col("node_id") % modulo if modulo else F.col("node_id")
         return F.collect_set(F.when(F.col("event_type") == kind, value) if kind else value)
 
-    s = t.log.groupBy(F.col("node_id").alias("store")).agg(held("view", 0).alias("preds"), held("click", 30).alias("nodes"), held("error", 20).alias("edges"), held("purchase", 10).alias("forks"), held("signup", 25).alias("paths"), held(None, 8).alias("schemas"))
+    s = t.log.groupBy(F.col("k").alias("store")).agg(held("view", 0).alias("preds"), held("click", 30).alias("nodes"), held("error", 20).alias("edges"), held("purchase", 10).alias("forks"), held("signup", 25).alias("paths"), held(None, 8).alias("schemas"))
     names = ("preds", "nodes", "edges", "forks", "paths", "schemas")
-    x = s.select(F.col("store").alias("a"), (F.col("store") % 10).alias("m"), *[F.col(c).alias(f"x_{c}") for c in names])
-    y = s.select(F.col("store").alias("b"), (F.col("store") % 10).alias("m"), *[F.col(c).alias(f"y_{c}") for c in names])
-    p = x.join(y, "m").where("a < b")
+    x = s.select(F.col("store").alias("a"), *[F.col(c).alias(f"x_{c}") for c in names])
+    y = s.select(F.col("store").alias("b"), *[F.col(c).alias(f"y_{c}") for c in names])
+    p = x.join(y, F.col("a") < F.col("b"))
     scores = [M.set_overlap(F.col(f"x_{c}"), F.col(f"y_{c}")).alias("predicates" if c == "preds" else c) for c in names]
     return p.select("a", "b", ((F.col("a") * 7 + F.col("b") * 3) % 100 / 100).alias("minhash"), (((F.col("a") + F.col("b")) % 20 - 10) / 10).alias("velocity"), F.when(F.col("a") % 2 == 0, (F.col("a") % 10) / 10).alias("discourse"), *scores)
 
@@ -44,12 +45,12 @@ for _name, _col, _extra in (("f01_structural", "layer1", "layer1 >= 0.4 AS open"
     )
 
 
-_SEM = "semantic AS (SELECT a.label AS a, b.label AS b, round((max(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))) + 1) / 2, 6) AS semantic FROM vectors a JOIN vectors b ON a.vec_id % 20 = b.vec_id % 20 AND a.label < b.label GROUP BY 1, 2)"
+_SEM = "semantic AS (SELECT a.label AS a, b.label AS b, round((max(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))) + 1) / 2, 6) AS semantic FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND a.label <> b.label GROUP BY 1, 2)"
 
 
 def _semantic(t):
-    v = t.vectors.select(F.col("label").alias("store"), (F.col("vec_id") % 20).alias("part"), "v")
-    return M.best_semantic(v, v)
+    v = t.vectors.select(F.col("label").alias("store"), "v")
+    return M.best_semantic(t.vectors.where(F.col("vec_id") % 50 == 0).select(F.col("label").alias("store"), "v"), v)
 
 
 @query("f06_semantic", "vectors", "SELECT * FROM semantic", _SEM)

@@ -61,11 +61,11 @@ def _(t):
     return N.extract_assertions(t.drawers, "doc_id")
 
 
-@query("n04_contradictions", "drawers", "SELECT DISTINCT a.doc_id, a.subject, a.predicate, a.object, b.object AS known FROM asserted a JOIN asserted b ON a.subject = b.subject AND a.predicate = b.predicate AND a.object <> b.object WHERE b.doc_id < 100 AND a.doc_id >= 100 AND length(a.subject) > 4", _ASSERTED)
+@query("n04_contradictions", "drawers", """SELECT DISTINCT a.doc_id, a.subject, a.predicate, a.object, b.object AS known FROM asserted a JOIN drawers x ON x.doc_id = a.doc_id AND x.wing <> 'src0'
+  JOIN asserted b ON a.subject = b.subject AND a.predicate = b.predicate AND a.object <> b.object JOIN drawers y ON y.doc_id = b.doc_id AND y.wing = 'src0'""", _ASSERTED)
 def _(t):
-    a = N.extract_assertions(t.drawers, "doc_id")
-    new = a.where((F.col("doc_id") >= 100) & (F.length("subject") > 4)).select("doc_id", "subject", "predicate", "object")
-    return N.contradictions(new, a.where("doc_id < 100").select("subject", "predicate", "object")).distinct()
+    old, new = (N.extract_assertions(t.drawers.where(c), "doc_id") for c in ("wing = 'src0'", "wing <> 'src0'"))
+    return N.contradictions(new.select("doc_id", "subject", "predicate", "object"), old.select("subject", "predicate", "object").distinct()).distinct()
 
 
 @query("n05_theme_velocity", "drawers", "SELECT theme, count(*) AS drawers FROM (SELECT unnest([wing, room, concat(wing, '/', room)]) AS theme FROM drawers) GROUP BY theme")
@@ -97,11 +97,11 @@ def _(t):
 
 
 @query("n09_resolve_canonical", "vectors", """SELECT id, coalesce(exact, CASE WHEN s >= 0.85 THEN near END) AS canonical_id, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN s >= 0.85 THEN 'similar' ELSE 'candidate' END AS how FROM (
-  SELECT a.vec_id AS id, CASE WHEN a.vec_id % 7 = 0 THEN a.vec_id % 10 END AS exact, max(s) AS s, arg_max(c.vec_id, row(s, -c.vec_id)) AS near FROM vectors a, c, LATERAL (SELECT round(list_dot_product(a.v, c.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(c.v, c.v)), 6) AS s) GROUP BY a.vec_id)""",
-    "c AS (SELECT vec_id, v FROM vectors WHERE vec_id < 10)")
+  SELECT a.vec_id AS id, CASE WHEN a.vec_id % 7 = 0 THEN a.vec_id % 10 * 50 END AS exact, max(s) AS s, arg_max(c.vec_id, row(s, -c.vec_id)) AS near FROM vectors a, c, LATERAL (SELECT round(list_dot_product(a.v, c.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(c.v, c.v)), 6) AS s) GROUP BY a.vec_id)""",
+    "c AS (SELECT vec_id, v FROM vectors WHERE vec_id % 50 = 0)")
 def _(t):
-    canon = t.vectors.where("vec_id < 10").select(F.col("vec_id").alias("canonical_id"), F.concat(F.lit("name"), "vec_id").alias("name"), F.col("v").alias("cv"))
-    surface = F.when(F.col("vec_id") % 7 == 0, F.concat(F.lit(" NAME"), F.col("vec_id") % 10)).otherwise(F.concat(F.lit("other"), "vec_id"))
+    canon = t.vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("canonical_id"), F.concat(F.lit("name"), "vec_id").alias("name"), F.col("v").alias("cv"))
+    surface = F.when(F.col("vec_id") % 7 == 0, F.concat(F.lit(" NAME"), F.col("vec_id") % 10 * 50)).otherwise(F.concat(F.lit("other"), "vec_id"))
     return N.resolve_canonical(t.vectors.select(F.col("vec_id").alias("id"), surface.alias("surface"), "v"), canon, N.THRESHOLDS["predicates"])
 
 
@@ -164,10 +164,10 @@ def _(t):
     return N.triage_feedback(fp)
 
 
-@query("n15_aggregations", "log", """SELECT node_id, round(arg_min(value, "offset"), 6) AS take_first, round(arg_max(value, "offset"), 6) AS last_writer, round(sum(value), 6) AS sum, round(avg(value), 6) AS average,
-  round(exp(sum(ln(greatest(0.05, least(2.0, value))))), 6) AS multiply_clamped, round(exp(avg(ln(greatest(0.05, least(2.0, value))))), 6) AS rank_compose FROM log WHERE "offset" < 1500 GROUP BY node_id""")
+@query("n15_aggregations", "log", """SELECT node_id, round(arg_min(v, "offset"), 6) AS take_first, round(arg_max(v, "offset"), 6) AS last_writer, round(sum(v), 6) AS sum, round(avg(v), 6) AS average,
+  round(exp(sum(ln(greatest(0.05, least(2.0, v))))), 6) AS multiply_clamped, round(exp(avg(ln(greatest(0.05, least(2.0, v))))), 6) AS rank_compose FROM (SELECT node_id, "offset", value / 60 AS v FROM log) GROUP BY node_id""")
 def _(t):
-    return N.aggregate(t.log.where("offset < 1500"), "node_id", "value", "offset")
+    return N.aggregate(t.log.withColumn("v", F.col("value") / 60), "node_id", "v", "offset")
 
 
 _PUNCT = "'.,;:!?\"''`()[]{}#<>/\\-_=+@$%^&*~'"

@@ -119,13 +119,13 @@ _SET = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[ \t\n\r\f
 
 
 @query("r21_substrate_verification", None, rf"""WITH pairs AS (SELECT b.item_id AS claim_id, {_SET.format('b.text')} AS a, {_SET.format('d.text')} AS s, d.doc_id % 2 = 0 AS is_span
-  FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 AND d.n_chars < 3000), best AS (SELECT claim_id,
+  FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40), best AS (SELECT claim_id,
   round(max(len(list_intersect(a, s)) / (len(a) + len(s) - len(list_intersect(a, s))) * CASE WHEN is_span THEN 1.0 ELSE 0.7 END), 6) AS faithfulness FROM pairs GROUP BY claim_id)
   SELECT *, CASE WHEN faithfulness < 0.3 THEN 'low' WHEN faithfulness >= 0.7 THEN 'high' ELSE 'middle' END AS level FROM best""")
 def _(t):
     claims = t.queries.select(F.col("item_id").alias("claim_id"), "text")
     keyed = t.queries.select(F.col("item_id").alias("claim_id"), (F.col("item_id") % 40).alias("m"))
-    docs = t.drawers.where("n_chars < 3000").select((F.col("doc_id") % 40).alias("m"), "text", (F.col("doc_id") % 2 == 0).alias("is_span"))
+    docs = t.drawers.select((F.col("doc_id") % 40).alias("m"), "text", (F.col("doc_id") % 2 == 0).alias("is_span"))
     return R.verify_substrate(claims, keyed.join(docs, "m").drop("m"))
 
 

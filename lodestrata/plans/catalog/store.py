@@ -10,13 +10,13 @@ from ..registry import query
 
 AS_OF = 883_612_800_000
 _COS = "list_dot_product(q, v) / sqrt(list_dot_product(q, q) * list_dot_product(v, v))"
-_ASK = "ask AS (SELECT vec_id AS qid, v AS q FROM vectors WHERE vec_id < 5)"
+_ASK = "ask AS (SELECT vec_id AS qid, v AS q FROM vectors WHERE vec_id % 50 = 0)"
 _TOP = f"""top AS (SELECT * FROM (SELECT qid, vec_id, round(1 - {_COS}, 6) AS distance, row_number() OVER (PARTITION BY qid ORDER BY round(1 - {_COS}, 6), vec_id) AS rank FROM vectors, ask) WHERE rank <= 10)"""
 
 
-def _asked(t, n=5):
-    """The first vectors as a stated query set."""
-    return t.vectors.where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.col("v").alias("q"))
+def _asked(t):
+    """Every fiftieth vector as a stated query set against all."""
+    return t.vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("v").alias("q"))
 
 
 @query("k01_vector_top_k", "vectors", "SELECT * FROM top", _ASK, _TOP)
@@ -51,8 +51,7 @@ def _(t):
 
 @query("k05_all_vectors_best", "vectors", f"SELECT qid, arg_max(vec_id, row(s, -vec_id)) AS best FROM (SELECT qid, vec_id, round({_COS}, 6) AS s FROM vectors, ask WHERE vec_id <> qid) GROUP BY qid", "ask AS (SELECT vec_id AS qid, v AS q FROM vectors WHERE vec_id % 50 = 0)")
 def _(t):
-    asked = t.vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("v").alias("q"))
-    near = K.nearest(t.vectors, asked, 2).where("vec_id <> qid")
+    near = K.nearest(t.vectors, _asked(t), 2).where("vec_id <> qid")
     return near.groupBy("qid").agg(F.min_by("vec_id", F.struct("distance", "vec_id")).alias("best"))
 
 
@@ -76,8 +75,7 @@ def _(t):
     return K.status(t.drawers)
 
 
-_TERMS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> ''))"
-_BM25 = rf"""asked AS (SELECT item_id AS qid, unnest({_TERMS}[1:8]) AS term FROM benchmark),
+_BM25 = r"""asked AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS term FROM benchmark),
   words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS term FROM drawers),
   lengths AS (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS len FROM drawers),
   tf AS (SELECT term, doc_id, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
@@ -87,15 +85,10 @@ _BM25 = rf"""asked AS (SELECT item_id AS qid, unnest({_TERMS}[1:8]) AS term FROM
 
 
 def _bm25(t):
-    asked = t.queries.select(F.col("item_id").alias("qid"), F.slice(F.array_distinct(tokens(F.col("text"))), 1, 8).alias("terms"))
+    asked = t.queries.select(F.col("item_id").alias("qid"), F.array_distinct(tokens(F.col("text"))).alias("terms"))
     return K.bm25(t.drawers, asked)
 
 
-# list_distinct has no order in SQL, so the first eight terms are taken before
-_BM25 = _BM25.replace(f"unnest({_TERMS}[1:8]) AS term FROM benchmark", r"""unnest(w) AS term FROM (SELECT item_id, list(x ORDER BY i)[1:8] AS w FROM (
-    SELECT item_id, x, min(i) AS i FROM (SELECT item_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS p FROM benchmark)) GROUP BY 1, 2) GROUP BY item_id)""").replace("SELECT item_id AS qid, unnest(w)", "SELECT item_id AS qid, unnest(w)")
-
-
 @query("k10_search", "drawers", "SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10", _BM25)
 def _(t):
     from ...operators.fold import keep_top
@@ -153,10 +146,10 @@ def _(t):
     return K.add_triples(base, again).groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k17_query_entity", "triples", f"""SELECT subject, object, valid_from, valid_to, direction, valid_to IS NULL AS current FROM (
-  SELECT *, 'outgoing' AS direction FROM triples WHERE subject = 'c10' UNION ALL SELECT *, 'incoming' FROM triples WHERE object = 'c10') WHERE valid_from <= {AS_OF} AND (valid_to IS NULL OR valid_to >= {AS_OF})""")
+@query("k17_query_entity", "triples", f"""SELECT entity, subject, object, valid_from, valid_to, direction, valid_to IS NULL AS current FROM (
+  SELECT *, subject AS entity, 'outgoing' AS direction FROM triples UNION ALL SELECT *, object, 'incoming' FROM triples) WHERE valid_from <= {AS_OF} AND (valid_to IS NULL OR valid_to >= {AS_OF})""")
 def _(t):
-    return K.query_entity(t.triples.select("subject", "predicate", "object", "valid_from", "valid_to"), "c10", AS_OF).drop("predicate")
+    return K.query_entity(t.triples.select("subject", "predicate", "object", "valid_from", "valid_to"), None, AS_OF).drop("predicate")
 
 
 @query("k18_query_relationship", "triples", f"SELECT subject, object FROM triples WHERE predicate = 'placed' AND valid_from <= {AS_OF} AND (valid_to IS NULL OR valid_to >= {AS_OF})")
@@ -217,10 +210,9 @@ def _(t):
     return K.topic_tunnels(t.log.where("event_type = 'view'").select(F.col("node_id").alias("wing"), F.concat(F.lit("T"), "k").alias("topic")), 8)
 
 
-@query("k28_diary", "log", """SELECT "offset" AS entry_id, ts_ms AS filed_at, (SELECT count(*) FROM log WHERE node_id = 3) AS total FROM log WHERE node_id = 3 ORDER BY ts_ms DESC, "offset" DESC LIMIT 10""")
+@query("k28_diary", "log", """SELECT agent, entry_id, filed_at, rank, total FROM (SELECT node_id AS agent, "offset" AS entry_id, ts_ms AS filed_at, row_number() OVER (PARTITION BY node_id ORDER BY ts_ms DESC, "offset" DESC) AS rank, count(*) OVER (PARTITION BY node_id) AS total FROM log) WHERE rank <= 10""")
 def _(t):
-    e = t.log.select(F.col("offset").alias("entry_id"), F.col("node_id").cast("string").alias("agent"), F.col("ts_ms").alias("filed_at"))
-    return K.diary(e, "3", 10).drop("agent")
+    return K.diary(t.log.select(F.col("offset").alias("entry_id"), F.col("node_id").alias("agent"), F.col("ts_ms").alias("filed_at")), None, 10)
 
 
 @query("k29_essential_layer", "drawers", """SELECT doc_id, room, importance, used FROM (SELECT *, CAST(sum(least(length(text), 203)) OVER (ORDER BY importance DESC, doc_id) AS BIGINT) AS used FROM (

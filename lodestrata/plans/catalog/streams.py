@@ -84,7 +84,7 @@ def _(t):
 
     def frames(i: int):
         n = F.col("node_id")
-        return t.log.where("node_id = 1 and offset < 300").select(n.alias("walk"), F.col("offset").alias("frame"), (F.col("value") / 50).alias("confidence"), F.lit(False).alias("fading"), F.lit(3 - i).alias("remaining"), F.lit(i > 1).alias("dwindling"), F.lit(False).alias("stable"))
+        return t.log.where("node_id = 1").select(n.alias("walk"), F.col("offset").alias("frame"), (F.col("value") / 50).alias("confidence"), F.lit(False).alias("fading"), F.lit(3 - i).alias("remaining"), F.lit(i > 1).alias("dwindling"), F.lit(False).alias("stable"))
 
     audit = P.walk_driver(frames, search_policy, 8)
     return t.spark.createDataFrame([(a["step"], a["directive"]) for a in audit], "step int, directive string")
@@ -103,21 +103,31 @@ def _(t):
 @query("n18_entities", "drawers", r"""SELECT name, count(*) AS n, CAST(sum(coalesce(after IN ('said', 'told', 'asked', 'thinks', 'wants', 'loves', 'hates', 'knows', 'decided', 'laughed'), false)::INT) AS BIGINT) AS person,
   CAST(sum(coalesce(after IN ('building', 'built', 'shipped', 'launched', 'deployed', 'installed', 'uses', 'version'), false)::INT) AS BIGINT) AS project, CASE WHEN person > project THEN 'person' WHEN project > person THEN 'project' ELSE 'uncertain' END AS kind FROM (
   SELECT regexp_extract(w, '^([A-Z][a-z]{2,15})\W*$', 1) AS name, lower(lead(w) OVER (PARTITION BY doc_id ORDER BY i)) AS after FROM (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM (
-  SELECT doc_id, regexp_split_to_array(text, '[ \t\n\r\f\v]+') AS p FROM drawers WHERE room = 'en'))) WHERE name <> '' GROUP BY name HAVING count(*) >= 3""")
+  SELECT doc_id, regexp_split_to_array(text, '[ \t\n\r\f\v]+') AS p FROM drawers))) WHERE name <> '' GROUP BY name HAVING count(*) >= 3""")
 def _(t):
-    found = P.detect_entities(t.drawers.where("room = 'en'"))
+    found = P.detect_entities(t.drawers)
     return found.withColumn("person", F.coalesce("person", F.lit(0))).withColumn("project", F.coalesce("project", F.lit(0)))
 
 
-@query("n19_memories", "drawers", r"""SELECT doc_id, chunk, 'none' AS kind FROM (SELECT doc_id, i - 1 AS chunk FROM (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n+'), lambda x: length(trim(x, ' ')) >= 20) AS p FROM drawers WHERE room = 'de')))""")
+#: Beginnings that make the synthetic texts exercise the markers.
+_LEADS = ("we decided because of a bug. ", "a crash, now fixed; it fails. ", "i like it, never use it. ", "")
+_MARKED = "concat(CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LEADS)) + " END, text)"
+_KINDS = {k: "(" + " + ".join(f"contains(low, '{w}')::INT" for w in ws) + ")" for k, ws in P.MARKERS.items()}
+_MOST = f"greatest({', '.join(_KINDS.values())})"
+_KIND = f"CASE WHEN {_MOST} = 0 THEN 'none' " + " ".join(f"WHEN {n} = {_MOST} THEN '{k}'" for k, n in _KINDS.items()) + " END"
+
+
+@query("n19_memories", "drawers", rf"""SELECT doc_id, chunk, CASE WHEN kind = 'problem' AND ({' OR '.join(f"contains(low, '{w}')" for w in P.RESOLVED)}) THEN 'milestone' ELSE kind END AS kind FROM (SELECT doc_id, chunk, low, {_KIND} AS kind FROM (
+  SELECT doc_id, unnest(range(len(p))) AS chunk, unnest(list_transform(p, lambda x: lower(x))) AS low FROM (SELECT doc_id, list_filter(regexp_split_to_array({_MARKED}, '\n+'), lambda x: length(trim(x, ' ')) >= 20) AS p FROM drawers)))""")
 def _(t):
-    return P.extract_memories(t.drawers.where("room = 'de'"), "doc_id").withColumn("chunk", F.col("chunk").cast("long"))
+    lead = F.get(F.array(*[F.lit(x) for x in _LEADS]), (F.col("doc_id") % 4).cast("int"))
+    return P.extract_memories(t.drawers.withColumn("text", F.concat(lead, "text")), "doc_id").withColumn("chunk", F.col("chunk").cast("long"))
 
 
-@query("x25_locale_patterns", "drawers", r"SELECT doc_id, len(regexp_extract_all(text, '\b(the|and)\b')) AS articles, len(regexp_extract_all(text, '\b(of)\b')) AS links FROM drawers WHERE room = 'en' AND regexp_full_match(text, '[ -~\n]*')")
+@query("x25_locale_patterns", "drawers", r"SELECT doc_id, len(regexp_extract_all(text, '\b(the|and)\b')) AS articles, len(regexp_extract_all(text, '\b(of)\b')) AS links FROM drawers")
 def _(t):
-    patterns = P.locale_patterns({"en": {"articles": ["the"], "links": ["of"]}, "xx": {"articles": ["and", "the"]}})
-    return P.match_patterns(t.drawers.where("room = 'en'").where(F.col("text").rlike(r"^[ -~\n]*$")), "doc_id", patterns)
+    patterns = P.locale_patterns(unicode=False, locales={"en": {"articles": ["the"], "links": ["of"]}, "xx": {"articles": ["and", "the"]}})
+    return P.match_patterns(t.drawers, "doc_id", patterns)
 
 
 @query("x22_spellcheck")

@@ -5,42 +5,59 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ...functions.columns import cosine, jaccard, rhyme, token_set, tokens
+from ...functions.columns import cosine, jaccard, rhyme, token_set
 from ...operators import text as X
 from ..registry import query
 
 W = r"list_filter(regexp_split_to_array(lower({0}), '[ \t\n\r\f\v]+'), lambda x: x <> '')"
 S = "list_distinct(" + W + ")"
 JAC = "CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN {e} ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END"
-_PAIRS = f"""pairs AS (SELECT b.item_id AS a, d.doc_id AS b, b.text AS ta, d.text AS tb, {S.format('b.text')} AS wa, {S.format('d.text')} AS wb FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)"""
+_PAIRS = f"""pairs AS (SELECT b.item_id AS a, d.doc_id AS b, b.text AS ta, d.text AS tb, {S.format('b.text')} AS wa, {S.format('d.text')} AS wb FROM benchmark b, documents d)"""
 
 
 def pairs(t):
-    """Each benchmark item with the documents of its remainder modulo 40: a stated query set against all documents."""
-    b = t.queries.select(F.col("item_id").alias("a"), F.col("text").alias("ta"), (F.col("item_id") % 40).alias("m"))
-    d = t.drawers.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"), (F.col("doc_id") % 40).alias("m"))
-    return b.join(d, "m").select("a", "b", "ta", "tb", token_set(F.col("ta")).alias("wa"), token_set(F.col("tb")).alias("wb"))
+    """Every benchmark item, a stated query set, with every document; what belongs to one side is computed before they meet."""
+    text = F.col("text")
+    b = t.queries.select(F.col("item_id").alias("a"), token_set(text).alias("wa"), X.keywords(text).alias("kw"), X.person_names(text).alias("names"))
+    return t.drawers.select(F.col("doc_id").alias("b"), F.lower(text).alias("low"), token_set(text).alias("wb")).join(F.broadcast(b))
+
+
+def _overlaps(t):
+    return X.term_overlaps(t.queries.select(F.col("item_id").alias("a"), "text"), t.drawers.select(F.col("doc_id").alias("b"), "text"))
 
 
 _J = JAC.format(a="wa", b="wb", e="1.0")
+_TERMS = f"""ta AS (SELECT item_id AS a, t, count(*) AS n FROM (SELECT item_id, unnest({W.format('text')}) AS t FROM benchmark) GROUP BY ALL), tb AS (SELECT doc_id AS b, t, count(*) AS n FROM (SELECT doc_id, unnest({W.format('text')}) AS t FROM documents) GROUP BY ALL),
+  la AS (SELECT a, sum(n) AS len, count(*) AS kinds FROM ta GROUP BY a), lb AS (SELECT b, sum(n) AS len, count(*) AS kinds FROM tb GROUP BY b),
+  shared AS (SELECT a, b, sum(least(ta.n, tb.n)) AS s, count(*) AS k FROM ta JOIN tb USING (t) GROUP BY a, b), full_ AS (SELECT a, b, s, k, la.len AS na, lb.len AS nb, la.kinds AS ka, lb.kinds AS kb FROM shared JOIN la USING (a) JOIN lb USING (b))"""
+
+
+@query("x01_jaccard", None, f"WITH {_TERMS} SELECT a, b, round(k / (ka + kb - k), 6) AS similarity FROM full_")
+def _(t):
+    return _overlaps(t).select("a", "b", F.round(F.col("kinds") / (F.col("ka") + F.col("kb") - F.col("kinds")), 6).alias("similarity"))
 
 
-@query("x01_jaccard", None, f"WITH {_PAIRS} SELECT a, b, round({_J}, 6) AS similarity FROM pairs")
+@query("x02_rhyme", None, f"WITH {_TERMS} SELECT a, b, round(4 * j * (1 - j * j) / (8 / (3 * sqrt(3))), 6) AS resonance FROM (SELECT a, b, k / (ka + kb - k) AS j FROM full_)")
 def _(t):
-    return pairs(t).select("a", "b", F.round(jaccard(F.col("wa"), F.col("wb"), 1.0), 6).alias("similarity"))
+    return _overlaps(t).select("a", "b", F.round(rhyme(F.col("kinds") / (F.col("ka") + F.col("kb") - F.col("kinds"))), 6).alias("resonance"))
 
 
-@query("x02_rhyme", None, f"WITH {_PAIRS} SELECT a, b, round(4 * j * (1 - j * j) / (8 / (3 * sqrt(3))), 6) AS resonance FROM (SELECT a, b, {_J} AS j FROM pairs)")
+@query("x05_term_overlap", None, f"WITH {_TERMS} SELECT a, b, round(s / greatest(na, nb), 6) AS overlap FROM full_")
 def _(t):
-    return pairs(t).select("a", "b", F.round(rhyme(jaccard(F.col("wa"), F.col("wb"), 1.0)), 6).alias("resonance"))
+    return _overlaps(t).select("a", "b", F.round(F.col("shared") / F.greatest("na", "nb"), 6).alias("overlap"))
 
 
-@query("x03_rhyme_clusters", None, f"""WITH RECURSIVE w AS (SELECT doc_id, lang, {S.format('text')} AS words, n_chars // 40 AS block FROM documents WHERE n_chars < 1200),
+@query("x20_token_f1", None, f"WITH {_TERMS} SELECT a, b, round(2 * s / (na + nb), 6) AS f1 FROM full_")
+def _(t):
+    return _overlaps(t).select("a", "b", F.round(2 * F.col("shared") / (F.col("na") + F.col("nb")), 6).alias("f1"))
+
+
+@query("x03_rhyme_clusters", None, f"""WITH RECURSIVE w AS (SELECT doc_id, lang, {S.format('text')} AS words, n_chars // 40 AS block FROM documents),
   l AS (SELECT a, b, r FROM (SELECT x.doc_id AS a, y.doc_id AS b, {JAC.format(a='x.words', b='y.words', e='1.0')} AS j, 4 * j * (1 - j * j) / (8 / (3 * sqrt(3))) AS r FROM w x JOIN w y ON x.block = y.block AND x.lang = y.lang AND x.doc_id < y.doc_id) WHERE round(r, 6) >= 0.3),
   e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), cc AS (SELECT a AS node, a AS comp FROM e UNION SELECT b, comp FROM cc JOIN e ON node = a), part AS (SELECT node, min(comp) AS component FROM cc GROUP BY node)
   SELECT component, size, resonance FROM (SELECT component, count(*) AS size FROM part GROUP BY component) JOIN (SELECT component, round(avg(round(r, 6)), 6) AS resonance FROM l JOIN part ON node = a GROUP BY component) USING (component)""")
 def _(t):
-    d = t.raw("documents").where("n_chars < 1200").select("doc_id", token_set(F.col("text")).alias("words"), F.floor(F.col("n_chars") / 40).alias("block"), "lang")
+    d = t.raw("documents").select("doc_id", token_set(F.col("text")).alias("words"), F.floor(F.col("n_chars") / 40).alias("block"), "lang")
     p = X.candidate_pairs(d.withColumn("both", F.struct("block", "lang")), "doc_id", F.col("both"))
     return X.rhyme_clusters(p.select("a", "b", F.round(rhyme(jaccard(F.col("wa"), F.col("wb"), 1.0)), 6).alias("resonance")), 0.3)
 
@@ -51,20 +68,6 @@ def _(t):
     return X.near_duplicates(t.drawers.select(F.col("doc_id").alias("id"), token_set(F.col("text")).alias("words"), (F.col("doc_id") * 2000).alias("ts")))
 
 
-_TERMS = f"""terms AS (SELECT a, b, {W.format('ta')} AS ua, {W.format('tb')} AS ub FROM pairs), ca AS (SELECT a, b, t, count(*) AS n FROM (SELECT a, b, unnest(ua) AS t FROM terms) GROUP BY ALL),
-  cb AS (SELECT a, b, t, count(*) AS n FROM (SELECT a, b, unnest(ub) AS t FROM terms) GROUP BY ALL), shared AS (SELECT a, b, sum(least(ca.n, cb.n)) AS s FROM ca JOIN cb USING (a, b, t) GROUP BY a, b)"""
-
-
-@query("x05_term_overlap", None, f"WITH {_PAIRS}, {_TERMS} SELECT a, b, round(coalesce(s, 0) / greatest(len(ua), len(ub)), 6) AS overlap FROM terms LEFT JOIN shared USING (a, b)")
-def _(t):
-    return X.term_overlap(pairs(t).select("a", "b", tokens(F.col("ta")).alias("ta"), tokens(F.col("tb")).alias("tb")))
-
-
-@query("x20_token_f1", None, f"WITH {_PAIRS}, {_TERMS} SELECT a, b, round(CASE WHEN coalesce(s, 0) = 0 THEN 0 ELSE 2 * s / (len(ua) + len(ub)) END, 6) AS f1 FROM terms LEFT JOIN shared USING (a, b)")
-def _(t):
-    return X.token_f1(pairs(t).select("a", "b", tokens(F.col("ta")).alias("ta"), tokens(F.col("tb")).alias("tb")))
-
-
 @query("x06_cosine", "vectors", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS similarity FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1")
 def _(t):
     a = t.vectors.select(F.col("vec_id").alias("a"), F.col("v").alias("va"))
@@ -105,30 +108,27 @@ def _(t):
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _NOT = ", ".join(f"'{w}'" for w in X.NOT_NAMES)
-_KW = rf"list_filter(regexp_extract_all(lower(ta), '\b([a-z]{{3,}})\b', 1), lambda w: w NOT IN ({_STOP}))"
+# a word between word boundaries is a whole run of letters, digits and _
+_RUNS = r"regexp_split_to_array({0}, '[^\p{{L}}\p{{N}}_]+')"
+_KW = f"list_filter({_RUNS.format('lower(ta)')}, lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({_STOP}))"
 _OVER = f"CASE WHEN len(kw) = 0 THEN 0 ELSE len(list_filter(kw, lambda w: contains(lower(tb), w))) / len(kw) END"
-_KEYED = f"keyed AS (SELECT a, b, ta, tb, {_KW} AS kw FROM pairs WHERE regexp_matches(ta, '^[ -~\\n]*$'))"
-
-
-def _keyed(t):
-    return pairs(t).where(F.col("ta").rlike(r"^[ -~\n]*$")).withColumn("kw", X.keywords(F.col("ta")))
+_KEYED = f"keyed AS (SELECT a, b, ta, tb, {_KW} AS kw FROM pairs)"
 
 
 @query("x11_keyword_overlap", None, f"WITH {_PAIRS}, {_KEYED} SELECT a, b, round({_OVER}, 6) AS overlap FROM keyed")
 def _(t):
-    return _keyed(t).select("a", "b", F.round(X.keyword_overlap(F.col("kw"), F.col("tb")), 6).alias("overlap"))
+    return pairs(t).select("a", "b", F.round(X.keyword_overlap(F.col("kw"), F.col("low")), 6).alias("overlap"))
 
 
 @query("x12_name_boost", None, rf"""WITH {_PAIRS}, {_KEYED} SELECT a, b, round(CASE WHEN len(n) = 0 THEN 0 ELSE len(list_filter(n, lambda w: contains(lower(tb), lower(w)))) / len(n) END, 6) AS boost
-  FROM (SELECT a, b, tb, list_filter(list_distinct(regexp_extract_all(ta, '\b([A-Z][a-z]{{2,15}})\b', 1)), lambda w: w NOT IN ({_NOT})) AS n FROM keyed)""")
+  FROM (SELECT a, b, tb, list_filter(list_distinct({_RUNS.format('ta')}), lambda w: regexp_full_match(w, '[A-Z][a-z]{{2,15}}') AND w NOT IN ({_NOT})) AS n FROM keyed)""")
 def _(t):
-    return _keyed(t).select("a", "b", F.round(X.contained_share(X.person_names(F.col("ta")), F.col("tb")), 6).alias("boost"))
+    return pairs(t).select("a", "b", F.round(X.contained_share(F.col("names"), F.col("low")), 6).alias("boost"))
 
 
 @query("x13_fused_distance", None, f"WITH {_PAIRS}, {_KEYED} SELECT a, b, round((1 - {_J}) * (1 - 0.3 * {_OVER}), 6) AS distance FROM (SELECT k.*, wa, wb FROM keyed k JOIN pairs USING (a, b))")
 def _(t):
-    k = _keyed(t)
-    return k.select("a", "b", F.round(X.fuse(1 - jaccard(F.col("wa"), F.col("wb"), 1.0), X.keyword_overlap(F.col("kw"), F.col("tb"))), 6).alias("distance"))
+    return pairs(t).select("a", "b", F.round(X.fuse(1 - jaccard(F.col("wa"), F.col("wb"), 1.0), X.keyword_overlap(F.col("kw"), F.col("low"))), 6).alias("distance"))
 
 
 @query("x14_temporal_boost", "log", """SELECT "offset", days, round(CASE WHEN abs(apart - days) <= tol THEN 0.4 WHEN abs(apart - days) >= 3 * tol THEN 0 ELSE 0.4 * (3 * tol - abs(apart - days)) / (2 * tol) END, 6) AS boost FROM (
@@ -139,15 +139,13 @@ def _(t):
     return t.log.select("offset", d["days"].alias("days"), F.round(X.temporal_boost(F.col("node_id") % 40 - d["days"], d["tolerance"]), 6).alias("boost"))
 
 
-@query("x15_best_per_corpus", "vectors", """SELECT corpus, vec_id, distance, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM (SELECT label AS corpus, arg_min(vec_id, row(distance, vec_id)) AS vec_id, min(distance) AS distance FROM (
-  SELECT label, v.vec_id, round(1 - list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q)), 6) AS distance FROM vectors v, (SELECT v AS q FROM vectors WHERE vec_id = 0)) GROUP BY label)""")
+@query("x15_best_per_corpus", "vectors", """SELECT qid, corpus, vec_id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rank FROM (SELECT qid, label AS corpus, arg_min(vec_id, row(distance, vec_id)) AS vec_id, min(distance) AS distance FROM (
+  SELECT qid, label, v.vec_id, round(1 - list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q)), 6) AS distance FROM vectors v, (SELECT vec_id AS qid, v AS q FROM vectors WHERE vec_id % 50 = 0)) GROUP BY qid, label)""")
 def _(t):
-    from ...operators.store import nearest
-
-    one = t.vectors.where("vec_id = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("q"))
-    n = t.vectors.join(F.broadcast(one)).select("vec_id", F.col("label").alias("corpus"), F.round(1 - cosine(F.col("q"), F.col("v")), 6).alias("distance"))
-    best = n.groupBy("corpus").agg(F.min_by("vec_id", F.struct("distance", "vec_id")).alias("vec_id"), F.min("distance").alias("distance"))
-    return best.withColumn("rank", F.row_number().over(Window.orderBy("distance", "vec_id")))  # one row a corpus
+    asked = t.vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("v").alias("q"))
+    n = t.vectors.join(F.broadcast(asked)).select("qid", "vec_id", F.col("label").alias("corpus"), F.round(1 - cosine(F.col("q"), F.col("v")), 6).alias("distance"))
+    best = n.groupBy("qid", "corpus").agg(F.min_by("vec_id", F.struct("distance", "vec_id")).alias("vec_id"), F.min("distance").alias("distance"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id")))
 
 
 _ROOMS = {"alpha": ("th", "he", "qu"), "beta": ("au", "oi", "ie"), "gamma": ("sch", "ung", "ei")}
