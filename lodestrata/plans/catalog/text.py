@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ...functions.columns import cosine, jaccard, rhyme, token_set
+from ...functions.columns import cosine, hashed_set, jaccard, rhyme
 from ...operators import text as X
 from ..registry import query
 
@@ -18,8 +18,8 @@ _PAIRS = f"""pairs AS (SELECT b.item_id AS a, d.doc_id AS b, b.text AS ta, d.tex
 def pairs(t):
     """Every benchmark item, a stated query set, with every document; what belongs to one side is computed before they meet."""
     text = F.col("text")
-    b = t.queries.select(F.col("item_id").alias("a"), token_set(text).alias("wa"), X.keywords(text).alias("kw"), X.person_names(text).alias("names"))
-    return t.drawers.select(F.col("doc_id").alias("b"), F.lower(text).alias("low"), token_set(text).alias("wb")).join(F.broadcast(b))
+    b = t.queries.select(F.col("item_id").alias("a"), hashed_set(text).alias("wa"), X.keywords(text).alias("kw"), X.person_names(text).alias("names"))
+    return t.drawers.select(F.col("doc_id").alias("b"), F.lower(text).alias("low"), hashed_set(text).alias("wb")).join(F.broadcast(b))
 
 
 def _overlaps(t):
@@ -52,12 +52,12 @@ def _(t):
     return _overlaps(t).select("a", "b", F.round(2 * F.col("shared") / (F.col("na") + F.col("nb")), 6).alias("f1"))
 
 
-@query("x03_rhyme_clusters", None, f"""WITH RECURSIVE w AS (SELECT doc_id, lang, {S.format('text')} AS words, n_chars // 40 AS block FROM documents),
+@query("x03_rhyme_clusters", None, f"""WITH RECURSIVE w AS (SELECT doc_id, lang, {S.format('text')} AS words, n_chars // 10 AS block FROM documents),
   l AS (SELECT a, b, r FROM (SELECT x.doc_id AS a, y.doc_id AS b, {JAC.format(a='x.words', b='y.words', e='1.0')} AS j, 4 * j * (1 - j * j) / (8 / (3 * sqrt(3))) AS r FROM w x JOIN w y ON x.block = y.block AND x.lang = y.lang AND x.doc_id < y.doc_id) WHERE round(r, 6) >= 0.3),
   e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), cc AS (SELECT a AS node, a AS comp FROM e UNION SELECT b, comp FROM cc JOIN e ON node = a), part AS (SELECT node, min(comp) AS component FROM cc GROUP BY node)
   SELECT component, size, resonance FROM (SELECT component, count(*) AS size FROM part GROUP BY component) JOIN (SELECT component, round(avg(round(r, 6)), 6) AS resonance FROM l JOIN part ON node = a GROUP BY component) USING (component)""")
 def _(t):
-    d = t.raw("documents").select("doc_id", token_set(F.col("text")).alias("words"), F.floor(F.col("n_chars") / 40).alias("block"), "lang")
+    d = t.raw("documents").select("doc_id", hashed_set(F.col("text")).alias("words"), F.floor(F.col("n_chars") / 10).alias("block"), "lang")
     p = X.candidate_pairs(d.withColumn("both", F.struct("block", "lang")), "doc_id", F.col("both"))
     return X.rhyme_clusters(p.select("a", "b", F.round(rhyme(jaccard(F.col("wa"), F.col("wb"), 1.0)), 6).alias("resonance")), 0.3)
 
@@ -65,7 +65,7 @@ def _(t):
 @query("x04_near_duplicates", None, f"""WITH i AS (SELECT doc_id AS id, {S.format('text')} AS words, doc_id * 2000 AS ts FROM documents)
   SELECT a, b, similarity FROM (SELECT x.id AS a, y.id AS b, round({JAC.format(a='x.words', b='y.words', e='1.0')}, 6) AS similarity FROM i x JOIN i y ON x.id < y.id AND y.ts - x.ts <= 300000) WHERE similarity >= 0.85""")
 def _(t):
-    return X.near_duplicates(t.drawers.select(F.col("doc_id").alias("id"), token_set(F.col("text")).alias("words"), (F.col("doc_id") * 2000).alias("ts")))
+    return X.near_duplicates(t.drawers.select(F.col("doc_id").alias("id"), hashed_set(F.col("text")).alias("words"), (F.col("doc_id") * 2000).alias("ts")))
 
 
 @query("x06_cosine", "vectors", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS similarity FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1")
