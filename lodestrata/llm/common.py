@@ -35,17 +35,17 @@ def strip(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where that is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``), with its file system's scheme; a temporary one only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = jdir.get() if jdir.isDefined() else None
+    context = spark.sparkContext._jsc.sc()
+    if not at and context.getCheckpointDir().isDefined():
+        at = context.getCheckpointDir().get()
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
+    if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def cut(df: DataFrame) -> DataFrame:

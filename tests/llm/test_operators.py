@@ -463,4 +463,4 @@ def test_pipeline(spark):
 
 
 def test_shared_dir_is_the_session_setting(spark):
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(spark).removeprefix("file:") == spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
