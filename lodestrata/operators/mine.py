@@ -144,6 +144,30 @@ def ruzicka(a: Column, b: Column) -> Column:
     return F.sum(F.least(a, b)) / F.sum(F.greatest(a, b))
 
 
+def signature_similarity(themes: DataFrame, fingerprints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Five axes between the signatures of two periods.
+
+    themes: period, theme, position and fork (vectors), velocity, errors; fingerprints: period, schemas (array);
+    pairs: a, b.  Axes without anything in common are 0.
+    """
+
+    def side(name: str) -> DataFrame:
+        return themes.select(F.col("period").alias(name), "theme", *[F.col(c).alias(f"{name}_{c}") for c in ("position", "fork", "velocity", "errors")])
+
+    both = pairs.join(side("a"), "a").join(side("b"), ["b", "theme"])
+    apart = F.least(F.lit(1.0), F.abs(F.col("a_errors") - F.col("b_errors")) / F.greatest(F.col("a_errors"), F.col("b_errors"), F.lit(1e-9)))
+    axes = both.groupBy("a", "b").agg(
+        F.avg(F.greatest(F.lit(0.0), cosine(F.col("a_position"), F.col("b_position")))).alias("mean_position"),
+        F.coalesce(ruzicka(F.col("a_velocity"), F.col("b_velocity")), F.lit(0.0)).alias("velocity"),
+        F.greatest(F.lit(0.0), 1 - F.avg(apart)).alias("contradiction_profile"),
+        F.avg(F.greatest(F.lit(0.0), cosine(F.col("a_fork"), F.col("b_fork")))).alias("fork_significance"),
+    )
+    a, b = fingerprints.select(F.col("period").alias("a"), F.col("schemas").alias("sa")), fingerprints.select(F.col("period").alias("b"), F.col("schemas").alias("sb"))
+    schemas = pairs.join(a, "a").join(b, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb"), 0.0).alias("schema_fingerprint"))
+    joined = pairs.join(axes, ["a", "b"], "left").join(schemas, ["a", "b"], "left")
+    return joined.select("a", "b", *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in TRIAGE])
+
+
 def triage(axes: DataFrame) -> DataFrame:
     """axes: pair and a similarity column per axis."""
     score = F.lit(0.0)

@@ -13,6 +13,20 @@ from ..registry import query
 _DAY = 86_400_000
 
 
+@query("c01_source_adapter", "turns", "SELECT concat('s', conv_id) AS session_id, count(*) AS messages FROM turns WHERE role IN ('user', 'assistant') GROUP BY 1")
+def _(t):
+    """Transcripts written as JSON lines and read by the source adapter."""
+    from ...sources import adapters
+    from ..settle import settle, shared_folder
+
+    at = shared_folder(t.spark, "transcripts")
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("s"), "conv_id").alias("sessionId"), F.concat(F.lit("u"), "turn").alias("uuid"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    t.turns.select(line.alias("value")).write.text(at)
+    adapters.use(t.spark)
+    rows = t.spark.read.format("transcripts").option("path", at.removeprefix("file://")).option("suffixes", ".jsonl,.txt").load()
+    return settle(rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("messages")))
+
+
 @query("c02_drawer_id", "drawers", "SELECT doc_id, concat(substring(sha256(concat(wing, '/', room)), 1, 24), '_', doc_id % 10) AS drawer FROM drawers")
 def _(t):
     return t.drawers.select("doc_id", C.drawer_id(F.concat_ws("/", "wing", "room"), F.col("doc_id") % 10).alias("drawer"))

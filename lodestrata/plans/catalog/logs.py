@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ...operators import logs as L
 from ...operators import views as V
 from ...sources.tables import NOW_MS
+from ...sources import adapters
+from ...streaming import views as S
 from ..registry import query
+from ..settle import settle, shared_folder
 
 _CODES = """list_filter([CASE WHEN valid_to < valid_from THEN 'invalid_validity_range' END, CASE WHEN weight < 0 THEN 'weight_negative' END,
   CASE WHEN confidence < 0 OR confidence > 1 THEN 'confidence_out_of_range' END], lambda x: x IS NOT NULL)"""
@@ -182,3 +185,27 @@ def _(t):
 def _(t):
     good = t.drawers.join(t.raw("labels").where("quality = 1").select("doc_id"), "doc_id")
     return L.reconcile_counts(t.drawers, good, "room")
+
+
+@query("l05_durable_log", "log", "SELECT CAST(make_timestamp(ts_ms * 1000) AS DATE) AS day, count(*) AS n FROM log GROUP BY 1")
+def _(t):
+    """The event stream appended to files, started twice: the checkpoint makes the second start add nothing."""
+    at = shared_folder(t.spark, "log")
+    for _ in range(2):
+        S.append_log(S.read_events(t.spark, t.sf_dir), f"{at}/data", f"{at}/checkpoint").awaitTermination()
+    return settle(t.spark.read.parquet(f"{at}/data").groupBy("day").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("l12_at_rest_encryption", "log", """SELECT "offset", CAST(CASE WHEN k % 3 > 0 THEN value END AS VARCHAR) AS payload, k % 3 > 0 AS sealed FROM log""")
+def _(t):
+    rows = t.log.select("offset", F.when(F.col("k") % 3 > 0, F.col("value").cast("string")).alias("payload"))
+    sealed = adapters.encrypt_log(rows, "payload", "0000111122223333")
+    marked = sealed.withColumn("sealed", F.coalesce(F.col("payload").startswith("enc:"), F.lit(False)))
+    return adapters.decrypt_log(marked, "payload", "0000111122223333")
+
+
+@query("l19_key_values", "log", """SELECT node_id AS id, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS "view" FROM log WHERE event_type IN ('view', 'click') GROUP BY 1""")
+def _(t):
+    at = shared_folder(t.spark, "eav")
+    t.log.where("event_type in ('view', 'click')").groupBy(F.col("node_id").alias("id"), F.col("event_type").alias("key")).agg(F.max("value").alias("value")).write.parquet(at)
+    return settle(adapters.read_key_values(t.spark, at))

@@ -125,27 +125,47 @@ def _(t):
     return _means(t).select("period", "theme", F.size("v").cast("long").alias("size"), F.round(norm(F.col("v")), 6).alias("norm"))
 
 
-_PER = "per AS (SELECT node_id % 6 AS period, k % 10 AS theme, avg(value) AS velocity, list_distinct(list(k)) AS fingerprints, count(*) FILTER (event_type = 'error') AS errors FROM log GROUP BY 1, 2)"
-_SIM = """sim AS (SELECT a.period AS a, b.period AS b, round(sum(least(a.velocity, b.velocity)) / sum(greatest(a.velocity, b.velocity)), 6) AS velocity,
-  round(greatest(0, 1 - avg(least(1, abs(a.errors - b.errors) / greatest(a.errors, b.errors, 1e-9)))), 6) AS contradiction FROM per a JOIN per b ON b.period = a.period + 1 AND a.theme = b.theme GROUP BY 1, 2)"""
+_KIND_LIST = ("signup", "view", "click", "purchase", "error")
+_PER = "per AS (SELECT node_id % 6 AS period, k % 10 AS theme, [" + ", ".join(f"coalesce(avg(value) FILTER (event_type = '{e}'), 0)" for e in _KIND_LIST) + "] AS position, [" + ", ".join(f"CAST(count(*) FILTER (event_type = '{e}') AS DOUBLE)" for e in _KIND_LIST) + "] AS fork, avg(value) AS velocity, count(*) FILTER (event_type = 'error') AS errors FROM log GROUP BY 1, 2)"
+_PRINTS = "prints AS (SELECT node_id % 6 AS period, list_distinct(list(k % 10 * 100 + node_id % 7) FILTER (value > 40)) AS schemas FROM log GROUP BY 1)"
+
+
+def _cos(c):
+    return f"greatest(0, list_dot_product(a.{c}, b.{c}) / sqrt(list_dot_product(a.{c}, a.{c}) * list_dot_product(b.{c}, b.{c})))"
+
+
+_SIM = f"""sim AS (SELECT a, b, mean_position, velocity, round(len(list_intersect(x.schemas, y.schemas)) / len(list_distinct(list_concat(x.schemas, y.schemas))), 6) AS schema_fingerprint, contradiction_profile, fork_significance FROM (
+  SELECT a.period AS a, b.period AS b, round(avg({_cos('position')}), 6) AS mean_position, round(sum(least(a.velocity, b.velocity)) / sum(greatest(a.velocity, b.velocity)), 6) AS velocity,
+  round(greatest(0, 1 - avg(least(1, abs(a.errors - b.errors) / greatest(a.errors, b.errors, 1e-9)))), 6) AS contradiction_profile, round(avg({_cos('fork')}), 6) AS fork_significance
+  FROM per a JOIN per b ON b.period > a.period AND a.theme = b.theme GROUP BY 1, 2) JOIN prints x ON x.period = a JOIN prints y ON y.period = b)"""
 
 
 def _similarity(t):
-    p = t.log.groupBy((F.col("node_id") % 6).alias("period"), (F.col("k") % 10).alias("theme")).agg(F.avg("value").alias("velocity"), F.sum((F.col("event_type") == "error").cast("double")).alias("errors"))
-    a = p.select(F.col("period").alias("a"), "theme", F.col("velocity").alias("x"), F.col("errors").alias("ex"))
-    b = p.select((F.col("period") - 1).alias("a"), F.col("period").alias("b"), "theme", F.col("velocity").alias("y"), F.col("errors").alias("ey"))
-    diff = F.least(F.lit(1.0), F.abs(F.col("ex") - F.col("ey")) / F.greatest(F.col("ex"), F.col("ey"), F.lit(1e-9)))
-    return a.join(b, ["a", "theme"]).groupBy("a", "b").agg(F.round(N.ruzicka(F.col("x"), F.col("y")), 6).alias("velocity"), F.round(F.greatest(F.lit(0.0), 1 - F.avg(diff)), 6).alias("contradiction"))
+    period = (F.col("node_id") % 6).alias("period")
 
+    def of(kind, f):
+        return f(F.when(F.col("event_type") == kind, F.col("value")))
 
-@query("n12_signature_similarity", "log", "SELECT * FROM sim", _PER, _SIM)
+    themes = t.log.groupBy(period, (F.col("k") % 10).alias("theme")).agg(
+        F.array(*[F.coalesce(of(e, F.avg), F.lit(0.0)) for e in _KIND_LIST]).alias("position"), F.array(*[of(e, F.count).cast("double") for e in _KIND_LIST]).alias("fork"),
+        F.avg("value").alias("velocity"), of("error", F.count).cast("double").alias("errors"),
+    )
+    prints = t.log.groupBy(period).agg(F.collect_set(F.when(F.col("value") > 40, F.col("k") % 10 * 100 + F.col("node_id") % 7)).alias("schemas"))
+    p = prints.select("period")
+    return N.signature_similarity(themes, prints, p.select(F.col("period").alias("a")).join(p.select(F.col("period").alias("b")), F.col("a") < F.col("b")))
+
+
+@query("n12_signature_similarity", "log", "SELECT * FROM sim", _PER, _PRINTS, _SIM)
 def _(t):
     return _similarity(t)
 
 
-@query("n13_drift", "log", "SELECT b AS period, round(1 - velocity, 6) AS velocity, round(1 - contradiction, 6) AS contradiction, round((round(1 - velocity, 6) + round(1 - contradiction, 6)) / 2, 6) AS overall, greatest(round(1 - velocity, 6), round(1 - contradiction, 6)) >= 0.4 AS flagged FROM sim", _PER, _SIM)
+_DRIFTS = ", ".join(f"round(1 - {a}, 6) AS {a}" for a in N.TRIAGE)
+
+
+@query("n13_drift", "log", f"SELECT *, round(({' + '.join(N.TRIAGE)}) / 5, 6) AS overall, greatest({', '.join(N.TRIAGE)}) >= 0.4 AS flagged FROM (SELECT b AS period, {_DRIFTS} FROM sim WHERE a = 0)", _PER, _PRINTS, _SIM)
 def _(t):
-    return N.drift(_similarity(t).select(F.col("b").alias("period"), "velocity", "contradiction"))
+    return N.drift(_similarity(t).where("a = 0").drop("a").withColumnRenamed("b", "period"))
 
 
 _AXES = "axes AS (SELECT node_id AS pair, " + ", ".join(f"avg((k * {i + 1}) % 100) / 100 AS {a}" for i, a in enumerate(N.TRIAGE)) + " FROM log GROUP BY node_id)"

@@ -225,3 +225,15 @@ def _(t):
   SELECT item_id, text, list_filter(list_transform(string_split(replace(replace(text, '. ', '.' || chr(1)), chr(10), chr(10) || chr(1)), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: length(x) >= 10)[-1] AS last_part FROM benchmark)""")
 def _(t):
     return t.queries.select("item_id", K.sanitize_query(F.col("text")).alias("query"))
+
+
+@query("k31_export_markdown", "drawers", "SELECT wing, room, count(*) AS entries FROM drawers GROUP BY 1, 2")
+def _(t):
+    """Drawers written as markdown by wing and room, and read back."""
+    from ...sources.adapters import export_markdown
+    from ..settle import settle, shared_folder
+
+    at = shared_folder(t.spark, "export")
+    export_markdown(t.drawers.withColumn("text", F.lit("x")), at)
+    lines = t.spark.read.text(at).where(F.col("value").startswith("## "))
+    return settle(lines.groupBy("wing", "room").agg(F.count(F.lit(1)).alias("entries")))

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that ``spark.checkpoint.dir`` names (a temporary one only where that is unset)."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestrata-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestrata-")
         spark.sparkContext.setCheckpointDir(at)
+    return f"{at}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The same rows from a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession, "")
     return df.checkpoint(eager=True)

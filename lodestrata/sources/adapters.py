@@ -54,7 +54,7 @@ class TranscriptSource(DataSource):
         return "source_file string, session_id string, uuid string, timestamp string, role string, content string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options, (".jsonl",), _transcript_rows)
+        return _Reader(self.options, tuple(self.options.get("suffixes", ".jsonl").split(",")), _transcript_rows)
 
 
 def _transcript_rows(path: str) -> Iterator[tuple]:
