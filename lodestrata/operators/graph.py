@@ -135,6 +135,16 @@ def discourse_pattern(edges: DataFrame) -> DataFrame:
     )
 
 
+def refinement_chains(edges: DataFrame, doublings: int = 4) -> DataFrame:
+    """edges: source, target, of refinements.  Steps from each node along its first refinements, at most 2 ** doublings, by pointer doubling."""
+    state = settle(edges.where("source <> target").groupBy(F.col("source").alias("node")).agg(F.min("target").alias("next"), F.lit(1).alias("length")))
+    for _ in range(doublings):
+        onward = state.select(F.col("node").alias("via"), F.col("next").alias("beyond"), F.col("length").alias("more"))
+        joined = state.join(onward, F.col("next") == F.col("via"), "left")
+        state = settle(joined.select("node", F.when(F.col("via").isNull(), F.col("next")).otherwise(F.col("beyond")).alias("next"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length")))
+    return state.select("node", "length")
+
+
 def compare_discourse(a: str, b: str) -> Column:
     """Mean of count closeness, ratio closeness and balance closeness of two patterns (struct columns)."""
     x, y = F.col(a), F.col(b)

@@ -140,6 +140,12 @@ def _(t):
     return _patterns(t)
 
 
+@query("g16_refinement_chains", "log", "SELECT node, max(len) AS length FROM c GROUP BY node", "nxt AS (SELECT node_id AS node, min(k) AS next FROM log WHERE event_type = 'view' AND node_id <> k GROUP BY node_id)",
+    "c AS (SELECT node, next, 1 AS len FROM nxt UNION ALL SELECT c.node, n.next, len + 1 FROM c JOIN nxt n ON n.node = c.next WHERE len < 16)", recursive=True)
+def _(t):
+    return G.refinement_chains(t.log.where("event_type = 'view'").select(F.col("node_id").alias("source"), F.col("k").alias("target")))
+
+
 @query("g17_discourse_compare", "log", """SELECT a.node AS a, b.node AS b, round(1e-9 + (least(a.refines, b.refines) / greatest(a.refines, b.refines)
   + 0.5 * least(a.contradicts, b.contradicts) / greatest(a.contradicts, b.contradicts) + 0.5 * (1 - abs(a.supersedes_ratio - b.supersedes_ratio))
   + 1 - abs(a.balance - b.balance) / 2) / 3, 6) AS similarity FROM p a JOIN p b ON b.node = a.node + 1""", _DISCOURSE)
