@@ -53,7 +53,7 @@ def _(t):
     return C.sweep(m, m.where("ts % 3 = 0 and ts < 6000"))[1]
 
 
-@query("c05_split_sessions", "log", """SELECT file, session, count(*) AS lines FROM (SELECT file, n, sum((head AND NOT restored)::INT) OVER (PARTITION BY file ORDER BY n) AS session FROM (SELECT node_id % 10 AS file, "offset" AS n, event_type = 'signup' AS head,
+@query("c05_split_sessions", "log", """SELECT file, session, count(*) AS lines FROM (SELECT file, n, CAST(sum((head AND NOT restored)::INT) OVER (PARTITION BY file ORDER BY n) AS BIGINT) AS session FROM (SELECT node_id % 10 AS file, "offset" AS n, event_type = 'signup' AS head,
   coalesce(bool_or(k < 5) OVER (PARTITION BY node_id % 10 ORDER BY "offset" ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING), false) AS restored FROM log)) GROUP BY 1, 2""")
 def _(t):
     text = F.when(F.col("event_type") == "signup", "Session begins").when(F.col("k") < 5, "x").otherwise("line")
@@ -75,7 +75,7 @@ def _(t):
     return C.normalize_chat(docs).groupBy("file").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("c08_exchanges", "turns", "SELECT conv_id, exchange, count(*) AS lines FROM (SELECT conv_id, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS exchange FROM turns) GROUP BY 1, 2")
+@query("c08_exchanges", "turns", "SELECT conv_id, exchange, count(*) AS lines FROM (SELECT conv_id, CAST(sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS exchange FROM turns) GROUP BY 1, 2")
 def _(t):
     lines = t.turns.select("conv_id", "turn", F.concat(F.when(F.col("role") == "user", "> ").otherwise(""), F.col("text")).alias("text"))
     return C.exchanges(lines, "conv_id", "turn", "text").select("conv_id", "exchange", "lines")
@@ -135,7 +135,7 @@ def _(t):
     return H.projection(_observations(t))
 
 
-@query("h03_coherence", "hierarchy", "SELECT a, b, CASE WHEN a = b THEN 1.0 WHEN x.source = y.source THEN 0.7 ELSE 0.2 END AS coherence FROM (SELECT concat('c', c_custkey) AS a, concat('c', c_custkey % 40) AS b FROM customer) JOIN hierarchy x ON x.target = a JOIN hierarchy y ON y.target = b")
+@query("h03_coherence", "hierarchy", "SELECT a, b, CAST(CASE WHEN a = b THEN 1.0 WHEN x.source = y.source THEN 0.7 ELSE 0.2 END AS DOUBLE) AS coherence FROM (SELECT concat('c', c_custkey) AS a, concat('c', c_custkey % 40) AS b FROM customer) JOIN hierarchy x ON x.target = a JOIN hierarchy y ON y.target = b")
 def _(t):
     pairs = t.raw("customer").select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat(F.lit("c"), F.col("c_custkey") % 40).alias("b"))
     return H.coherence(pairs, t.hierarchy.select(F.col("target").alias("child"), F.col("source").alias("parent")))

@@ -35,8 +35,8 @@ def _led(t):
     return t.drawers.withColumn("text", F.concat(lead, F.col("text")))
 
 
-@query("n01_enrichment", "drawers", f"""SELECT doc_id, {_first_max(_KINDS, 'episodic')} AS memory_type, CASE WHEN {_BEST} > 0 THEN round(least(0.9, 0.4 + 0.1 * {_BEST}), 6) ELSE 0.4 END AS memory_confidence,
-  {_count(N.INTERACTIONAL, 'low')} > 0 AS interactional, round(least(0.9, 0.5 + 0.1 * {_count(N.INTERACTIONAL, 'low')}), 6) AS interactional_confidence, {_first_max(_VIEWS, 'unknown')} AS perspective,
+@query("n01_enrichment", "drawers", f"""SELECT doc_id, {_first_max(_KINDS, 'episodic')} AS memory_type, CAST(CASE WHEN {_BEST} > 0 THEN round(least(0.9, 0.4 + 0.1 * {_BEST}), 6) ELSE 0.4 END AS DOUBLE) AS memory_confidence,
+  {_count(N.INTERACTIONAL, 'low')} > 0 AS interactional, CAST(round(least(0.9, 0.5 + 0.1 * {_count(N.INTERACTIONAL, 'low')}), 6) AS DOUBLE) AS interactional_confidence, {_first_max(_VIEWS, 'unknown')} AS perspective,
   CASE WHEN {_SEEN} = 0 THEN 0.3 ELSE round(least(0.9, 0.4 + 0.5 * {_TOP} / ({_SEEN})), 6) END AS perspective_confidence, {_count(N.GOALS, 'low')} > 0 AS goal,
   CASE WHEN {_POS} + {_NEG} = 0 THEN 0 ELSE round(({_POS} - {_NEG}) / ({_POS} + {_NEG}), 6) END AS valence, least(1.0, ({_POS} + {_NEG}) / 5) AS intensity
   FROM (SELECT doc_id, lower(concat({_LED}, text)) AS low FROM drawers)""")

@@ -81,7 +81,7 @@ def _any(words):
 
 
 @query("e24_resolvability", "turns", f"""SELECT conv_id, turn, CASE WHEN {_any(E.NOT_RESOLVABLE)} THEN 'not_resolvable' WHEN {_any(E.JURY)} THEN 'jury_only' WHEN {_any(E.PRIVATE)} THEN 'privacy_preserving_required' ELSE 'public_llm_resolvable' END AS kind,
-  CASE WHEN {_any(E.NOT_RESOLVABLE)} THEN 0.7 WHEN {_any(E.JURY)} THEN 0.6 WHEN {_any(E.PRIVATE)} THEN 0.7 ELSE 0.6 END AS confidence FROM (SELECT conv_id, turn, lower({_QUESTION}) AS q FROM turns)""")
+  CAST(CASE WHEN {_any(E.NOT_RESOLVABLE)} THEN 0.7 WHEN {_any(E.JURY)} THEN 0.6 WHEN {_any(E.PRIVATE)} THEN 0.7 ELSE 0.6 END AS DOUBLE) AS confidence FROM (SELECT conv_id, turn, lower({_QUESTION}) AS q FROM turns)""")
 def _(t):
     lead = F.get(F.array(*[F.lit(x) for x in ("Is free will real? ", "What is the most beautiful ", "My plan ", "Who won ")]), ((F.col("conv_id") + F.col("turn")) % 4).cast("int"))
     return t.turns.select("conv_id", "turn", E.resolvability(F.concat(lead, F.col("text"))).alias("r")).select("conv_id", "turn", "r.kind", "r.confidence")

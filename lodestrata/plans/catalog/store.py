@@ -106,7 +106,7 @@ _CLOSETS = """closets AS (SELECT qid, label AS source_file, rank AS closet_rank
 
 
 @query("k11_closet_boost", "vectors", """SELECT t.qid, t.vec_id AS doc_id, v.label AS source_file, round(distance - coalesce([0.15, 0.10, 0.05][closet_rank], 0), 6) AS effective,
-  coalesce([0.15, 0.10, 0.05][closet_rank], 0) AS closet_boost, CASE WHEN closet_rank IS NOT NULL THEN 'drawer+closet' ELSE 'drawer' END AS matched_via
+  CAST(coalesce([0.15, 0.10, 0.05][closet_rank], 0) AS DOUBLE) AS closet_boost, CASE WHEN closet_rank IS NOT NULL THEN 'drawer+closet' ELSE 'drawer' END AS matched_via
   FROM top t JOIN vectors v ON v.vec_id = t.vec_id LEFT JOIN closets c ON c.qid = t.qid AND c.source_file = v.label""", _ASK, _TOP, _CLOSETS)
 def _(t):
     from pyspark.sql.window import Window

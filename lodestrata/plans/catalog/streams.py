@@ -22,7 +22,7 @@ def _log(t):
     return S.as_log(S.read_events(t.spark, t.sf_dir))
 
 
-@query("v05_heat_stream", "log", """SELECT node_id, accesses, anchor_ms, round(least(1.0, 0.5 + 0.05 * accesses), 6) AS heat_at_anchor FROM (SELECT node_id, count(*) FILTER (event_type <> 'signup') AS accesses, max(ts_ms) AS anchor_ms FROM (
+@query("v05_heat_stream", "log", """SELECT node_id, accesses, anchor_ms, CAST(round(least(1.0, 0.5 + 0.05 * accesses), 6) AS DOUBLE) AS heat_at_anchor FROM (SELECT node_id, count(*) FILTER (event_type <> 'signup') AS accesses, max(ts_ms) AS anchor_ms FROM (
   SELECT *, max(CASE WHEN event_type = 'signup' THEN "offset" END) OVER (PARTITION BY node_id) AS created FROM log WHERE event_type IN ('signup', 'view', 'click')) WHERE created IS NULL OR "offset" >= created GROUP BY node_id)""")
 def _(t):
     return S.drain(S.heat(_log(t)), "update", ["node_id"])
