@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import bounded, cut, small_batches
 from .hashing import shingle_sets
 
 PERCENT = 75
@@ -112,5 +112,5 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, block_hashes: int = B
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    bad = contained_items(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = cut(contained_items(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct())
+    return docs.join(bounded(bad), docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")), "left_anti")

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import bounded, cut, small_batches
 from .hashing import mix, shingle_sets
 
 BANDS, ROWS = 40, 4
@@ -53,8 +53,6 @@ BINS = BANDS * ROWS
 PERCENT = 75
 #: Hashes in a bottom sketch, the similarity that it must show, and members of a block.
 KEPT, MARGIN, MEMBERS = 256, 0.61, 1024
-#: Document ids broadcast at most (8 bytes each).
-BROADCAST_IDS = 1_000_000
 
 _ORDER = mix(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(77)).reshape(BINS, BINS) >> np.uint64(32)
 _BAND = mix(np.arange(BINS, dtype=np.uint64) + np.uint64(991)) | np.uint64(1)
@@ -170,8 +168,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) whose full sets are similar enough.  texts: (d, t)."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
-    # the ids are counted: up to BROADCAST_IDS they go to the scan, so that texts without a pair are not shuffled
-    used = texts.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "d", "left_semi")
+    # counted ids go to the scan, so that texts without a pair are not shuffled
+    used = texts.join(bounded(ends), "d", "left_semi")
     with_b = pairs.join(used.select(F.col("d").alias("b"), F.col("t").alias("tb")), "b")
     with_a = with_b.join(used.select(F.col("d").alias("a"), F.col("t").alias("ta"), F.xxhash64("t").alias("ra")), "a")
     return with_a.select("a", "b", "ra", "ta", "tb").sortWithinPartitions("a", "ra").mapInArrow(_confirm, "a long, b long")
@@ -253,10 +251,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document stays: one of each group, once."""
-    found = cut(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("stays")))
-    ids = found.distinct()
-    out = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("stays")), "left_semi")
-    if found.where("stays is not null").groupBy("stays").count().where("count > 1").isEmpty():
+    found = cut(near_duplicates(docs).select("doc_id", "kept"))
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct())
+    out = docs.join(bounded(gone), docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
+    if found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return out
-    named = out.where("doc_id is not null")
-    return named.dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
