@@ -57,6 +57,16 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if len(at) else raw[:0], at - (at[0] if len(at) else 0)
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts have at most ``size`` bytes, or are one text."""
+    _, at = buffers(batch.column(column))
+    i, n = 0, batch.num_rows
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def _chunk_words(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words in ``raw``; breaks: positions where a new text begins."""
     up, down = _powers(len(raw))

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_shared, open_shared, shared_dir, small_batches
-from .hashing import word_hashes
+from .hashing import slices, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
 END = np.uint64(0x5EED0F7E57E4D000)  # the hash that stands for the end token
@@ -131,8 +131,9 @@ def _count_words(bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Gather()
         for batch in batches:
-            if seen.add(tokens(batch.column(0))[0]):
-                yield _chunks(*seen.take(), bounds)
+            for part in slices(batch, 0):
+                if seen.add(tokens(part.column(0))[0]):
+                    yield _chunks(*seen.take(), bounds)
         yield _chunks(*seen.take(), bounds)
 
     return run
@@ -266,14 +267,15 @@ def _count_pairs(model: Model, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, seen = model.open(), Gather()
         for batch in batches:
-            hashes, at = tokens(batch.column(0))
-            distinct, of = np.unique(hashes, return_inverse=True)
-            ids = opened.numbers(distinct)[0][of]
-            before = np.empty_like(ids)
-            before[1:] = ids[:-1]
-            before[at[:-1]] = model.size
-            if seen.add(before.astype(np.uint64) << W32 | ids.astype(np.uint64)):
-                yield _chunks(*seen.take(), bounds)
+            for part in slices(batch, 0):
+                hashes, at = tokens(part.column(0))
+                distinct, of = np.unique(hashes, return_inverse=True)
+                ids = opened.numbers(distinct)[0][of]
+                before = np.empty_like(ids)
+                before[1:] = ids[:-1]
+                before[at[:-1]] = model.size
+                if seen.add(before.astype(np.uint64) << W32 | ids.astype(np.uint64)):
+                    yield _chunks(*seen.take(), bounds)
         yield _chunks(*seen.take(), bounds)
 
     return run
@@ -424,17 +426,18 @@ def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = model.open()
         floor = model.total + 0.5 * (model.size + 1)
-        for batch in batches:
-            hashes, at = tokens(batch.column(2))
-            distinct, of = np.unique(hashes, return_inverse=True)
-            number, count = opened.numbers(distinct)
-            ids, c = number[of], count[of]
-            sums = [np.add.reduceat(x, at[:-1]) if len(x) else np.zeros(0) for x in (c > 0, np.log10((c + 0.5) / floor), opened.log10(ids, at) if len(ids) else ids)]
-            n = len(at) - 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(at), pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(np.full(n, model.total)), pa.array(sums[1].astype(float)), pa.array(sums[2].astype(float))],
-                names=[c.split()[0] for c in _SCORES.split(", ")],
-            )
+        for whole in batches:
+            for batch in slices(whole, 2):
+                hashes, at = tokens(batch.column(2))
+                distinct, of = np.unique(hashes, return_inverse=True)
+                number, count = opened.numbers(distinct)
+                ids, c = number[of], count[of]
+                sums = [np.add.reduceat(x, at[:-1]) if len(x) else np.zeros(0) for x in (c > 0, np.log10((c + 0.5) / floor), opened.log10(ids, at) if len(ids) else ids)]
+                n = len(at) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(np.diff(at), pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(np.full(n, model.total)), pa.array(sums[1].astype(float)), pa.array(sums[2].astype(float))],
+                    names=[c.split()[0] for c in _SCORES.split(", ")],
+                )
 
     return run
 
