@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
+from .hashing import slices
 
 LENGTH, END_ID = 4096, 1
 #: Pieces packed together at most; a larger partition is packed in several windows.
@@ -40,7 +41,7 @@ WINDOW = 200_000
 #: Free tokens that no longer make a bin worth passing on.
 SLACK = 8
 FAN_IN = 16
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _CONTROLS = re.compile("[\x1c-\x1f]")  # Python splits at these, the tokenizer's \s doesn't
 _ASCII_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
@@ -171,7 +172,7 @@ def _tokenise_and_pack(path: str, length: int, with_ids: bool):
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "ids"],
             )
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, 1 << 20)):
             docs = batch.column(0).to_pylist()
             for doc, ids in zip(docs, encoder.encode(batch.column(1).fill_null("").to_pylist())):
                 ids += end
