@@ -41,7 +41,7 @@ WINDOW = 200_000
 #: Free tokens that no longer make a bin worth passing on.
 SLACK = 8
 FAN_IN = 16
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 
 _CONTROLS = re.compile("[\x1c-\x1f]")  # Python splits at these, the tokenizer's \s doesn't
 _ASCII_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
@@ -172,7 +172,7 @@ def _tokenise_and_pack(path: str, length: int, with_ids: bool):
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "ids"],
             )
 
-        for batch in (part for whole in batches for part in slices(whole, 1, 1 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             docs = batch.column(0).to_pylist()
             for doc, ids in zip(docs, encoder.encode(batch.column(1).fill_null("").to_pylist())):
                 ids += end
