@@ -62,6 +62,14 @@ def _(t):
     return X.rhyme_clusters(p.select("a", "b", F.round(rhyme(jaccard(F.col("wa"), F.col("wb"), 1.0)), 6).alias("resonance")), 0.3)
 
 
+@query("x03_rhyme_clusters_all", None, f"""WITH RECURSIVE w AS (SELECT doc_id, {S.format('text')} AS words FROM documents),
+  l AS (SELECT a, b, r FROM (SELECT x.doc_id AS a, y.doc_id AS b, {JAC.format(a='x.words', b='y.words', e='1.0')} AS j, 4 * j * (1 - j * j) / (8 / (3 * sqrt(3))) AS r FROM w x JOIN w y ON x.doc_id < y.doc_id) WHERE round(r, 6) >= 0.3),
+  e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), cc AS (SELECT a AS node, a AS comp FROM e UNION SELECT b, comp FROM cc JOIN e ON node = a), part AS (SELECT node, min(comp) AS component FROM cc GROUP BY node)
+  SELECT component, size, resonance FROM (SELECT component, count(*) AS size FROM part GROUP BY component) JOIN (SELECT component, round(avg(round(r, 6)), 6) AS resonance FROM l JOIN part ON node = a GROUP BY component) USING (component)""")
+def _(t):
+    return X.cluster_by_rhyme(t.raw("documents").select(F.col("doc_id").alias("id"), "text"), 0.3)
+
+
 @query("x04_near_duplicates", None, f"""WITH i AS (SELECT doc_id AS id, {S.format('text')} AS words, doc_id * 2000 AS ts FROM documents)
   SELECT a, b, similarity FROM (SELECT x.id AS a, y.id AS b, round({JAC.format(a='x.words', b='y.words', e='1.0')}, 6) AS similarity FROM i x JOIN i y ON x.id < y.id AND y.ts - x.ts <= 300000) WHERE similarity >= 0.85""")
 def _(t):

@@ -110,6 +110,17 @@ def test_rhyme_curve(spark):
     assert (row["zero"], row["peak"], row["one"]) == (0.0, 1.0, 0.0)
 
 
+def test_rhymes_of_unlike_length_and_language(spark):
+    common = " ".join(f"w{i}" for i in range(20))
+    rows = [(5, common + " five"), (7, common + " " + " ".join(f"x{i}" for i in range(20))), (8, common + " FIVE"), (9, " ".join(f"y{i}" for i in range(30))), (10, ""), (11, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = [tuple(r) for r in text.cluster_by_rhyme(df, 0.3).collect()]
+    one = 20 / 41  # 20 words shared of 21 and 40; documents 5 and 8 have one word set and resonate 0
+    assert got == [(5, 3, round(4 * one * (1 - one * one) / (8 / (3 * 3**0.5)), 6))]
+    many = [tuple(r) for r in text.rhyme_links(df.select("id", c.hashed_set(F.col("text")).alias("words")), 0.3, block=2).select("a", "b").collect()]
+    assert sorted(many) == [(5, 7), (7, 8)]
+
+
 def test_relative_dates(spark):
     phrases = {"3 days ago": (3, 2), "a couple of days ago": (2, 2), "2 weeks ago": (14, 5), "last week": (7, 3), "5 months ago": (150, 10), "nothing": None}
     df = spark.createDataFrame([(p,) for p in phrases], "p string").select("p", text.relative_days(F.col("p")).alias("d"))
