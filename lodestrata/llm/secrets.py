@@ -3,10 +3,11 @@ r"""Operator 2: secret scan with multipart credential linking (DataFrame functio
 Strong findings stand alone: keyword assignments with a value of 12 or more
 characters (``assign``), access identifiers (``access``) and hexadecimal runs
 (``hex``).  Weak candidates - user names (``user``), endpoints (``endpoint``)
-and opaque tokens or short passwords (``opaque``) - mean nothing alone; they are
-reported only when the complementary parts of a credential occur within
-``SCOPE`` code points in the same document: an ``opaque`` needs an identifier,
-a ``user`` needs a secret, an ``endpoint`` needs both.
+and opaque tokens or keyword assignments with a value of 4 or more characters
+(``opaque``) - mean nothing alone; they are reported only when the complementary
+parts of a credential occur within ``SCOPE`` code points in the same document: an
+``opaque`` needs an identifier, a ``user`` needs a secret, an ``endpoint`` needs
+both.
 
 Plan: one scan per text turns matches into (document, kind, lengths) rows
 without text.  ``\G`` ties each match to the end of the previous one, so running
@@ -37,7 +38,7 @@ KINDS = [
     ("hex", r"[0-9a-f]{16,}", 0, 16),
     ("user", rf"((?i:username|user|login|client_id)){_ASSIGN}([A-Za-z0-9._@-]+)", 2, 3),
     ("endpoint", r"https?://[A-Za-z0-9._~:/?#@!$&'()*+,;=%-]+|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0, 7),
-    ("opaque", rf"(?i:pass|pwd|key|auth){_ASSIGN}[A-Za-z0-9+/_.=-]+|[A-Za-z]{{0,12}}[0-9][A-Za-z0-9+/_-]{{15,}}", 0, 12),
+    ("opaque", rf"(?i:password|passwd|secret|token|api_?key|pass|pwd|key|auth){_ASSIGN}[A-Za-z0-9+/_.=-]{{4,}}|[A-Za-z]{{0,12}}[0-9][A-Za-z0-9+/_-]{{15,}}", 0, 1),
 ]
 BASE = 3  # the first kinds are reported wherever they are
 

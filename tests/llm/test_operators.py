@@ -123,6 +123,16 @@ def test_weak_parts_are_reported_only_together(spark):
     assert got == {1: [], 2: ["user", "opaque"], 3: [], 4: [], 5: ["endpoint", "user", "opaque"], 6: [], 7: ["user", "assign"]}
 
 
+def test_short_passwords_are_weak_parts(spark):
+    alone = ["password=hunter2", "passwd: S3cret99", "pwd=hunter2", "secret=Ab12Cd34", "token: abcd1234ef", "api_key = 'k3y9'", "auth=abcd"]
+    texts = [(i, x) for i, x in enumerate(alone)] + [(10 + i, f"login=bob {x}") for i, x in enumerate(alone)]
+    texts += [(20, "user=admin password=hunter2 https://db.example.com"), (21, "login=bob password=abc"), (22, "login=bob password=abcdefghijkl")]
+    names = [k[0] for k in secrets.KINDS]
+    got = {r["doc_id"]: [(names[s["kind"]], s["s"], s["e"]) for s in r["spans"]] for r in secrets.scan_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = {i: [] for i in range(len(alone))} | {10 + i: [("user", 0, 9), ("opaque", 10, 10 + len(x.rstrip("'")))] for i, x in enumerate(alone)}
+    assert got == want | {20: [("user", 0, 10), ("opaque", 11, 27), ("endpoint", 28, 50)], 21: [], 22: [("user", 0, 9), ("assign", 10, 31)]}
+
+
 # -- near duplicates -----------------------------------------------------------------------------
 
 
