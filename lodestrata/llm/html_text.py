@@ -8,11 +8,14 @@ dropped by tag, role or class.  If the page marks its article (``article``, else
 
 Templates that carry no such mark are found by their recurrence: every remaining
 container's subtree is hashed together with its host, hashes are counted over all
-pages in Spark (once a page, map-side combined, so a host with a third of all
-pages is no hot key), and subtrees found on at least ``MIN_PAGES`` pages and
-``MIN_PERCENT`` percent of their host's pages are deleted.  Inside a marked
-article only containers can be templates; a paragraph that many articles quote
-stays.  Template hashes are stored as sorted arrays in the shared folder and
+pages in Spark (once a distinct page body, so that copies of an article make no
+template; map-side combined, so a host with a third of all pages is no hot key),
+and subtrees found in at least ``MIN_PAGES`` bodies and ``MIN_PERCENT`` percent of
+their host's bodies are deleted.  A body is the main text before templates go.
+Where the templates found hold more than ``MOST_PERCENT`` percent of a page's main
+text, as in copies that differ in a few words, nothing is deleted from the page; so
+a page of almost only unmarked boilerplate keeps it.  Inside a marked article only
+containers can be templates; a paragraph that many articles quote stays.  Template hashes are stored as sorted arrays in the shared folder and
 memory-mapped by the second pass, so pages are never shuffled.
 
 Blocks are decoded, their white space turned into single spaces, trimmed, and
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_shared, open_shared, remove_shared, shared_dir, small_batches
 
-MIN_PAGES, MIN_PERCENT = 5, 5
+MIN_PAGES, MIN_PERCENT, MOST_PERCENT = 5, 5, 75
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -218,6 +221,10 @@ class Page:
                 out.add(_key(host, digest))
         return out
 
+    def body(self) -> int:
+        """Hash of the main text with templates."""
+        return int.from_bytes(hashlib.blake2b(self.text().encode("utf-8", "replace"), digest_size=8).digest(), "big")
+
     def text(self, host: str = "", is_template=None) -> str:
         if is_template is None:
             return "\n\n".join(t for t, _, _ in self.blocks)
@@ -235,7 +242,10 @@ class Page:
                 gone[x] = state
             return state
 
-        return "\n\n".join(t for t, e, _ in self.blocks if not removed(e))
+        kept = [t for t, e, _ in self.blocks if not removed(e)]
+        if 100 * sum(map(len, kept)) < (100 - MOST_PERCENT) * sum(len(t) for t, _, _ in self.blocks):
+            return self.text()
+        return "\n\n".join(kept)
 
 
 def _key(host: str, digest: str) -> int:
@@ -259,13 +269,14 @@ def _signed(x: int) -> int:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, keys = [], []
+        hosts, bodies, keys = [], [], []
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            host = host_of(url)
-            own = [_host_key(host), *(Page(html).subtrees(host) if html else ())]
+            host, page = host_of(url), Page(html or "")
+            own = [_host_key(host), *page.subtrees(host)]
             keys += map(_signed, own)
             hosts += [_signed(own[0])] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64())], names=["host", "k"])
+            bodies += [_signed(page.body())] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(bodies, pa.int64()), pa.array(keys, pa.int64())], names=["host", "body", "k"])
 
 
 def _store(folder: str):
@@ -284,7 +295,8 @@ def find_templates(pages: DataFrame, folder: str, min_pages: int = MIN_PAGES, mi
     spark = pages.sparkSession
     small_batches(spark, rows=500)
     shards = max(8, pages.rdd.getNumPartitions())
-    counts = pages.select("url", "html").mapInArrow(_count, "host long, k long").groupBy("host", "k").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {int(min_pages)} or host = k")
+    found = pages.select("url", "html").mapInArrow(_count, "host long, body long, k long").distinct()
+    counts = found.groupBy("host", "k").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {int(min_pages)} or host = k")
     counts = cut(counts)
     totals = counts.where("host = k").select("host", F.col("n").alias("of"))
     often = counts.where("host <> k").join(totals, "host").where((F.col("n") >= min_pages) & (100 * F.col("n") >= min_percent * F.col("of")))

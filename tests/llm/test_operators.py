@@ -240,6 +240,22 @@ def test_templates_are_deleted_by_recurrence(spark, tmp_path):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+def test_copies_of_an_article_are_no_template(spark, tmp_path):
+    story = "<div><p>A long story is told here.</p><p>It goes on for a while.</p></div>"
+    parts = "<section><p>A first part of some length.</p></section><section><p>A second part of some length.</p></section><section><p>A third part of some length.</p></section>"
+    page = lambda host, i, html: (i, f"http://{host}.example/{i}", html)
+    rows = [page("equal", i, f"<article>{story}</article>") for i in range(5)] + [page("bare", i, f"<body>{story}</body>") for i in range(10, 15)]
+    rows += [page("near", i, f"<article>{story}<p>Seen {i}</p></article>") for i in range(20, 25)] + [page("parts", i, f"<body>{parts}<p>Seen {i}</p></body>") for i in range(30, 35)]
+    rows += [page("mixed", i, f"<body>{story}<div><p>Imprint of the site</p></div></body>") for i in range(40, 46)]
+    rows += [page("mixed", i, f"<body><div><p>Quite another story, number {i}.</p></div><div><p>Imprint of the site</p></div></body>") for i in range(50, 55)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/t").collect()}
+    told = "A long story is told here.\n\nIt goes on for a while."
+    assert all(got[i] == told for i in (*range(5), *range(10, 15), *range(40, 46)))
+    assert all(got[i] == f"{told}\n\nSeen {i}" for i in range(20, 25))
+    assert all(got[i].startswith("A first part") and got[i].endswith(f"A third part of some length.\n\nSeen {i}") for i in range(30, 35))
+    assert all(got[i] == f"Quite another story, number {i}." for i in range(50, 55))
+
+
 # -- benchmark -----------------------------------------------------------------------------------
 
 
