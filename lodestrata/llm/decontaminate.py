@@ -15,8 +15,8 @@ The benchmark is a stated query set.  It is run in blocks of at most
 documents, which are never shuffled.
 
 Defined cases: null texts and texts without words have no shingles and match
-nothing; one to four words are one shingle, found only in a document of exactly
-those words; rows that repeat a doc_id or item_id count as one, with the largest
+nothing; an item of one to four words is one shingle, searched in every document
+by the word n-grams of its own length; rows that repeat a doc_id or item_id count as one, with the largest
 overlap of any of them; a null id is an id; extra columns are ignored; an empty
 table gives no rows.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, cut, small_batches
-from .hashing import shingle_sets
+from .hashing import SHINGLE, shingle_sets, short_gram_sets, word_hashes
 
 PERCENT = 75
 BLOCK_HASHES = 1 << 20
@@ -41,13 +41,18 @@ _PAIRS = "doc_id long, item_id long, n_shared long, n_item long"
 def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [s.view(np.int64) for s in shingle_sets(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["item", "n", "hashes"])
+        words = np.diff(word_hashes(batch.column(1))[1])
+        short = pa.array(np.where(words < SHINGLE, words, 0), pa.int64())  # the length of an item of too few words
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64())), short], names=["item", "n", "hashes", "short"])
 
 
 class Index:
     """Sketches and full sets of a block of items, as arrays."""
 
-    def __init__(self, ids: list[int | None], sets: list[np.ndarray]):
+    def __init__(self, ids: list[int | None], sets: list[np.ndarray], short: list[int] = ()):
+        #: Lengths of the items of under five words, and their hashes.
+        self.lengths = sorted({n for n in short if n})
+        self.short = np.unique(np.concatenate([s for s, n in zip(sets, short) if n])) if self.lengths else np.zeros(0, np.uint64)
         self.ids, self.sizes = ids, np.array([len(s) for s in sets], np.int64)
         sketches = []
         for s in sets:
@@ -85,7 +90,10 @@ def _search(index) -> "callable":
         block: Index = index.value
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            rows = [(docs[k], block.ids[i], n, int(block.sizes[i])) for k, s in enumerate(shingle_sets(batch.column(1))) if len(s) for i, n in block.search(s)]
+            sets = shingle_sets(batch.column(1))
+            if block.lengths:
+                sets = (np.union1d(s, x) for s, x in zip(sets, short_gram_sets(batch.column(1), block.lengths, block.short)))
+            rows = [(docs[k], block.ids[i], n, int(block.sizes[i])) for k, s in enumerate(sets) if len(s) for i, n in block.search(s)]
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_shared", "n_item"])
 
@@ -96,14 +104,14 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, block_hashes: int = B
     """doc_id, item_id, n_shared, n_item, containment: every item that a document holds."""
     spark = docs.sparkSession
     small_batches(spark)
-    sets = cut(benchmark.select(F.col("item_id").cast("long").alias("item"), "text").mapInArrow(_item_sets, "item long, n long, hashes array<long>").where("n > 0"))
+    sets = cut(benchmark.select(F.col("item_id").cast("long").alias("item"), "text").mapInArrow(_item_sets, "item long, n long, hashes array<long>, short long").where("n > 0"))
     total = sets.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-2 * total // block_hashes)) if total > block_hashes else 1
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
     for b in range(blocks):
         rows = sets.where(F.pmod(F.xxhash64("item", "hashes"), F.lit(blocks)) == b).collect()  # about half of block_hashes
-        index = Index([r["item"] for r in rows], [np.sort(np.array(r["hashes"], np.int64).view(np.uint64)) for r in rows])
+        index = Index([r["item"] for r in rows], [np.sort(np.array(r["hashes"], np.int64).view(np.uint64)) for r in rows], [r["short"] for r in rows])
         part = texts.mapInArrow(_search(spark.sparkContext.broadcast(index)), _PAIRS)
         found = part if found is None else found.unionAll(part)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("c"), "n_shared", "n_item")).alias("x"))

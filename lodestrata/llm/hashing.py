@@ -108,6 +108,30 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.searchsorted(starts, at)
 
 
+def short_gram_sets(texts: pa.Array, lengths: list[int], wanted: np.ndarray) -> Iterator[np.ndarray]:
+    """For each text which of the sorted hashes ``wanted`` are those of its runs of so many words, under five, hashed like whole sequences."""
+    words, at = word_hashes(texts)
+    owners, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    for m in lengths:
+        n = len(words) - m + 1
+        if n <= 0:
+            continue
+        runs = np.full(n, m, np.uint64)
+        for k in range(m):
+            runs += words[k : k + n] * _MUL[k]
+        runs = mix(runs)
+        place = np.minimum(np.searchsorted(wanted, runs), len(wanted) - 1)
+        hit = np.nonzero((wanted[place] == runs) & (doc[:n] == doc[m - 1 : m - 1 + n]))[0]
+        owners.append(doc[hit])
+        hashes.append(runs[hit])
+    owner, found = np.concatenate(owners), np.concatenate(hashes)
+    order = np.argsort(owner, kind="stable")
+    ends = np.searchsorted(owner[order], np.arange(len(at)))
+    for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        yield found[order[i:j]]
+
+
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """For each text its set of five-word shingles as a sorted array of distinct hashes.
 

@@ -276,6 +276,14 @@ def test_decontamination(spark, docs, texts, empty, monkeypatch):
     assert decontaminate.contained_items(empty, bench).count() == 0 and decontaminate.contained_items(docs, bench.where("false")).count() == 0
 
 
+def test_short_items_inside_long_documents(spark):
+    filler = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"{filler} Paris is big {filler}"), (2, f"{filler} Paris"), (3, f"is big {filler}"), (4, "see Paris is"), (5, "a b"), (6, None), (7, "yes")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "paris is big"), (2, "paris"), (3, "a b c d"), (4, "yes"), (5, "w38 w39 paris is big w0")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in decontaminate.contained_items(docs, bench).collect()}
+    assert got == {(1, 1, 1, 1), (1, 2, 1, 1), (2, 2, 1, 1), (4, 2, 1, 1), (7, 4, 1, 1), (1, 5, 2, 2)}
+
+
 # -- language model --------------------------------------------------------------------------------
 
 
