@@ -1,31 +1,36 @@
 """Operator 5: main text of web pages, with site templates removed.
 
-A tolerant one-pass parser cuts a page into text blocks and knows, for each, the
-elements above it.  Elements that never hold main text (navigation, page headers
-and footers, sidebars, forms, scripts, adverts, notices, reader comments) are
-dropped by tag, role or class.  If the page marks its article (``article``, else
-``main``, else a content container), only that is taken, else all that is left.
-
-Templates that carry no such mark are found by their recurrence: every remaining
-container's subtree is hashed together with its host, hashes are counted over all
-pages in Spark (once a distinct page body, so that copies of an article make no
-template; map-side combined, so a host with a third of all pages is no hot key),
-and subtrees found in at least ``MIN_PAGES`` bodies and ``MIN_PERCENT`` percent of
-their host's bodies are deleted.  A body is the main text before templates go.
-Where the templates found hold more than ``MOST_PERCENT`` percent of a page's main
-text, as in copies that differ in a few words, nothing is deleted from the page; so
-a page of almost only unmarked boilerplate keeps it.  Inside a marked article only
-containers can be templates; a paragraph that many articles quote stays.  Template hashes are stored as sorted arrays in the shared folder and
-memory-mapped by the second pass, so pages are never shuffled.
+A tolerant one-pass parser makes a tree of every element of a page, before any rule
+looks at tags or classes.  Then, in this order:
+
+1. Site templates.  The subtree of every block element, whatever its tag, is hashed
+   together with the page's host.  Hashes are counted over all pages in Spark (once
+   a distinct page body, so that copies of an article make no template; map-side
+   combined, so a host with a third of all pages is no hot key).  Subtrees found in
+   at least ``MIN_PAGES`` bodies and ``MIN_PERCENT`` percent of their host's bodies
+   are deleted.
+2. What is left is judged by tag, role and class: elements that never hold main text
+   (navigation, footers, sidebars, forms, adverts, notices, reader comments) go.
+3. If the page marks its article (``main`` or ``article``, else a content container),
+   only that is taken, else all that is left.
+
+A body is the main text without step 1.  Where templates hold more than
+``MOST_PERCENT`` percent of it, as in copies that differ in a few words, the main text
+keeps them; so a page of almost only unmarked boilerplate keeps it.  Inside a marked
+article only containers can be templates; a paragraph that many articles quote stays.
+``n_template`` and ``n_ruled`` tell how many code points of a page went by step 1, and
+by steps 2 and 3.  Template hashes are stored as sorted arrays in the shared folder
+and memory-mapped by the second pass, so pages are never shuffled.
 
 Blocks are decoded, their white space turned into single spaces, trimmed, and
 joined by an empty line.
 
 Defined cases: a null or empty html, or one without text, gives the empty text;
 a null url is the host "" ; rows equal in page_id are pages each; unclosed,
-misnested and unknown tags are tolerated, and an unclosed script, style or
-comment reaches to the end; extra columns are ignored; an empty table gives no
-rows.
+misnested and unknown tags are tolerated, an unclosed script, style or comment
+reaches to the end, and elements nested deeper than ``MAX_DEPTH`` count as siblings,
+so that any html takes linear time; extra columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urlsplit
@@ -46,8 +52,12 @@ from pyspark.sql import functions as F
 from .common import cut, map_shared, open_shared, remove_shared, shared_dir, small_batches
 
 MIN_PAGES, MIN_PERCENT, MOST_PERCENT = 5, 5, 75
+MAX_DEPTH = 512
+#: Tags whose attributes have an unclosed quote are read again without quotes; after so many, all are.
+MAX_UNCLOSED = 100
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]++)*+)>""", re.S)
+_UNQUOTED = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -61,7 +71,8 @@ _ENDS_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "body": {"head"}}
 #: An implied end never reaches beyond these.
 _FENCE = frozenset("article body div main section table ul ol dl blockquote header footer nav aside form html".split())
-_CONTAINERS = frozenset("div section ul ol dl table figure blockquote details center fieldset address header".split())
+#: What can be a template even inside a marked article.
+_CONTAINERS = frozenset("div section ul ol dl table figure details center fieldset address header footer nav aside form menu dialog".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 
 
@@ -69,92 +80,126 @@ def _named(words: str) -> re.Pattern:
     return re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])")
 
 
-#: Class or id words of what is never part of the article.
-_NEVER = _named(
-    r"ads?|adverts?|advertising|advertisements?|adslot|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?"
-    r"|newsletters?|subscribe|subscription|signup|login|comments?|commentlist|commentary|respond|repl(?:y|ies)|disqus|shar(?:e|ing)|social|related|recommend(?:ed|ations?)?|trending|breadcrumbs?|pagination|pager|copyright"
-)
+#: Class or id words of what is never part of an article.
+_NEVER = _named(r"ads?|adverts?|advertising|advertisements?|adslot|adsense|sponsor(?:ed|s)?|promos?|cookies?|consent|gdpr|notices?|popups?|modals?|newsletters?|subscribe|signup|login|comments?|commentlist|disqus|shar(?:e|ing)|social|breadcrumbs?|pagination|pager")
+#: Those that mean so only outside a marked article.
+_OUTSIDE = _named(r"banners?|promotions?|alerts?|overlays?|subscription|commentary|respond|repl(?:y|ies)|related|recommend(?:ed|ations?)?|trending|copyright")
 #: Those of layout, which may still enclose an article.
 _LAYOUT = _named(r"menus?|nav|navbar|navigation|sidebars?|side|masthead|header|footer|topbar|toolbar|widgets?|skip|search|site-info")
 _CONTENT = _named(r"content|article|post|entry|story|body-text|main-text|article-body|post-body|entry-content")
+_MARKED = 2
+
+
+def _judge(tag: str, attributes: str, dropped: int, region: int) -> tuple[int, int]:
+    """Whether an element is dropped (0 no, 1 by layout, 2 for good), and how surely its text is the article (2 marked, 1 content)."""
+    if tag in _DROP:
+        return 2, region
+    names = role = ""
+    if attributes.strip():
+        a = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
+        names, role = f"{a.get('class', '')} {a.get('id', '')}".strip(), a.get("role", "")
+        if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
+            return 2, region
+    if tag in ("html", "body"):
+        return dropped, region
+    if role in _ROLES or (names and _NEVER.search(names)):
+        return 2, region
+    if tag in ("article", "main") or role == "main":
+        return 0, _MARKED
+    if region < _MARKED:
+        if names and _OUTSIDE.search(names):
+            return 2, region
+        if tag == "header" or (names and _LAYOUT.search(names)):
+            return 1, region
+        if names and _CONTENT.search(names) and not dropped:
+            return 0, 1
+    return dropped, region
 
 
 class Page:
-    """Blocks of a page: (text, element); elements: (parent, hash or 0, whether only a template outside articles)."""
-
-    def __init__(self, html: str):
-        self.blocks: list[tuple[str, int, int]] = []  # text, element, region
-        self.elements: list[list] = []  # parent, hash, is container
+    """The tree of a page: elements, parents first, and pieces of text that know their element and block."""
+
+    def __init__(self, html: str, host: str = ""):
+        self._seed = hashlib.blake2b(host.encode("utf-8", "replace"), digest_size=16).digest()
+        self.parents: list[int] = []
+        self.hashes: list[int] = []  # of the subtree and host; 0 without text, and where no template can be
+        self.judged: list[tuple[int, int]] = []
+        self.pieces: list[tuple[int, str, int]] = []  # block, text, element
         self._parse(html)
-        best = max((r for _, _, r in self.blocks), default=0)
-        self.marked = best > 0
-        self.blocks = [b for b in self.blocks if b[2] == best]
 
     def _parse(self, html: str) -> None:
-        # of an open element: tag, dropped (0 no, 1 by layout, 2 for good), region, element number, parts of its hash
-        stack: list[tuple[str, int, int, int, list]] = [("", 0, 0, -1, [])]
-        text: list[str] = []
-        at, n = 0, len(html)
-
-        def flush() -> None:
-            words = "".join(text).split()
-            text.clear()
-            if words:
-                block = " ".join(words)
-                _, dropped, region, element, parts = stack[-1]
-                parts.append(block)
-                if not dropped:
-                    self.blocks.append((block, element, region))
+        stack: list[tuple[str, int, list[bytes]]] = [("", -1, [])]  # tag, element, parts of its hash
+        flat: Counter[str] = Counter()  # open elements below MAX_DEPTH, which are not on the stack
+        block, at, last, token, unclosed = 0, 0, html.rfind(">"), _TOKEN, 0
+
+        def say(piece: str) -> None:
+            if "&" in piece:
+                piece = unescape(piece)
+            self.pieces.append((block, piece, stack[-1][1]))
+            if words := piece.split():
+                stack[-1][2].append(" ".join(words).encode("utf-8", "replace"))
 
         def close(down_to: int) -> None:
+            nonlocal block
             while len(stack) > down_to:
-                flush_if_block = stack[-1][0] in _BLOCK
-                if flush_if_block and text:
-                    flush()
-                tag, _, _, element, parts = stack.pop()
+                tag, element, parts = stack.pop()
+                block += tag in _BLOCK
                 if parts:
-                    digest = hashlib.blake2b("\0".join((tag, *parts)).encode("utf-8", "replace"), digest_size=8).hexdigest()
-                    stack[-1][4].append(digest)
-                    if element >= 0 and (not stack or stack[-1][3] != element):
-                        self.elements[element][1] = digest
-
-        for m in _TOKEN.finditer(html):
-            if m.start() < at:
-                continue  # inside raw text
-            if m.start() > at:
-                piece = html[at : m.start()]
-                text.append(unescape(piece) if "&" in piece else piece)
-            at = m.end()
-            tag = m[2]
+                    digest = hashlib.blake2b(b"\0".join((tag.encode("utf-8", "replace"), *parts)), digest_size=8, key=self._seed).digest()
+                    stack[-1][2].append(digest)
+                    dropped, region = self.judged[element]
+                    if tag in _BLOCK and tag not in ("html", "body") and (tag in _CONTAINERS or region < _MARKED):
+                        self.hashes[element] = int.from_bytes(digest, "little", signed=True)
+
+        while (lt := html.find("<", at)) >= 0:
+            mark = html[lt + 1 : lt + 2]
+            if lt > last and mark not in ("!", "?"):
+                break  # no tag ends after this
+            m = token.match(html, lt)
+            if m is None and (mark.isalpha() or mark == "/"):
+                m = _UNQUOTED.match(html, lt)
+                unclosed += m is not None
+                if unclosed == MAX_UNCLOSED:
+                    token = _UNQUOTED
+            if m is None:
+                say(html[at : lt + 1])
+                at = lt + 1
+                continue
+            if lt > at:
+                say(html[at:lt])
+            at, tag = m.end(), m[2]
             if tag is None:
                 continue
             tag = tag.lower()
             if m[1]:  # end tag
                 if tag == "br":
-                    text.append(" ")
-                    continue
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-                    if stack[i][0] in _FENCE and tag not in _FENCE:
-                        break
+                    say(" ")
+                elif flat[tag]:
+                    flat[tag] -= 1
+                    block += tag in _BLOCK
+                else:
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i][0] == tag:
+                            close(i)
+                            break
+                        if stack[i][0] in _FENCE and tag not in _FENCE:
+                            break
                 continue
             if tag in _RAW:
                 if not m[3].endswith("/") or tag in ("script", "style"):
-                    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
-                    at = end.end() if end else n
+                    end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
+                    at = end.end() if end else len(html)
                 if tag in ("textarea", "iframe"):
-                    text.append(" ")
+                    say(" ")
                 continue
-            if tag == "br" or tag in _VOID:
+            if tag in _VOID:
                 if tag == "hr":
-                    flush()
+                    block += 1
                 elif tag == "br":
-                    text.append(" ")
+                    say(" ")
                 continue
             if tag in _BLOCK:
-                flush()
+                block += 1
                 ended = _ENDS.get(tag)
                 for i in range(len(stack) - 1, 0, -1):
                     above = stack[i][0]
@@ -166,90 +211,68 @@ class Page:
                             break
                     elif above in _FENCE:
                         break
-            if m[3].endswith("/") and tag not in _BLOCK:
+            elif m[3].endswith("/"):
+                continue
+            elif tag in _DROP:
+                say(" ")
+            if len(stack) > MAX_DEPTH:
+                flat[tag] += 1
                 continue
-            _, dropped, region, element, _ = stack[-1]
-            if dropped < 2:
-                dropped, region = self._judge(tag, m[3], dropped, region)
-                if not dropped and (tag in _CONTAINERS or tag[0] == "p" or tag in ("li", "h1", "h2", "h3", "h4", "h5", "h6")) and tag in _BLOCK:
-                    self.elements.append([element, 0, tag in _CONTAINERS])
-                    element = len(self.elements) - 1
-            stack.append((tag, dropped, region, element, []))
-        if at < n:
-            piece = html[at:]
-            text.append(unescape(piece) if "&" in piece else piece)
+            parent = stack[-1][1]
+            dropped, region = self.judged[parent] if parent >= 0 else (0, 0)
+            self.judged.append((dropped, region) if dropped == 2 else _judge(tag, m[3], dropped, region))
+            self.parents.append(parent)
+            self.hashes.append(0)
+            stack.append((tag, len(self.parents) - 1, []))
+        if at < len(html):
+            say(html[at:])
         close(1)
-        flush()
 
-    @staticmethod
-    def _judge(tag: str, attributes: str, dropped: int, region: int) -> tuple[int, int]:
-        """Whether an element is dropped, and how surely its text is the article (3 article, 2 main, 1 content)."""
-        if tag in _DROP:
-            return 2, region
-        names = role = ""
-        if attributes.strip():
-            a = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
-            names, role = f"{a.get('class', '')} {a.get('id', '')}".strip(), a.get("role", "")
-            if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
-                return 2, region
-        if tag in ("html", "body"):
-            return dropped, region
-        if role in _ROLES or (names and _NEVER.search(names)):
-            return 2, region
-        if tag == "article":
-            return 0, 3
-        if tag == "main" or role == "main":
-            return 0, max(region, 2)
-        if region < 2:
-            if tag == "header" or (names and _LAYOUT.search(names)):
-                return 1, region
-            if names and _CONTENT.search(names) and not dropped:
-                return 0, 1
-        return dropped, region
-
-    def subtrees(self, host: str) -> set[int]:
+    def _main(self, gone: list[bool]) -> tuple[str, int, int]:
+        """Main text without the elements that are gone; code points of blocks that went with them, and by rule."""
+        region = [self.judged[e] if e >= 0 else (0, 0) for _, _, e in self.pieces]
+        best = max((r for (dropped, r), (_, piece, e) in zip(region, self.pieces) if not dropped and not (e >= 0 and gone[e]) and not piece.isspace()), default=0)
+        blocks, texts, lost = [], [], [0, 0]
+        at, of = [], -1
+        for (dropped, r), (block, piece, e) in zip(region, self.pieces):
+            if e >= 0 and gone[e]:
+                lost[0] += len(" ".join(piece.split()))
+            elif dropped or r != best:
+                lost[1] += len(" ".join(piece.split()))
+            else:
+                if block != of:
+                    at, of = [], block
+                    blocks.append(at)
+                at.append(piece)
+        for at in blocks:
+            if words := "".join(at).split():
+                texts.append(" ".join(words))
+        return "\n\n".join(texts), *lost
+
+    def subtrees(self) -> set[int]:
         """Hashes, with the host, of the subtrees that may be templates."""
-        used, out = {e for _, e, _ in self.blocks}, set()
-        above: set[int] = set()
-        for e in used:
-            while e >= 0 and e not in above:
-                above.add(e)
-                e = self.elements[e][0]
-        for e in above:
-            _, digest, container = self.elements[e]
-            if digest and (container or not self.marked):
-                out.add(_key(host, digest))
-        return out
+        return set(self.hashes) - {0}
 
     def body(self) -> int:
         """Hash of the main text with templates."""
-        return int.from_bytes(hashlib.blake2b(self.text().encode("utf-8", "replace"), digest_size=8).digest(), "big")
-
-    def text(self, host: str = "", is_template=None) -> str:
-        if is_template is None:
-            return "\n\n".join(t for t, _, _ in self.blocks)
-        gone: dict[int, bool] = {-1: False}
-
-        def removed(e: int) -> bool:
-            chain = []
-            while e not in gone:
-                chain.append(e)
-                e = self.elements[e][0]
-            state = gone[e]
-            for x in reversed(chain):
-                _, digest, container = self.elements[x]
-                state = state or bool(digest and (container or not self.marked) and is_template(_key(host, digest)))
-                gone[x] = state
-            return state
-
-        kept = [t for t, e, _ in self.blocks if not removed(e)]
-        if 100 * sum(map(len, kept)) < (100 - MOST_PERCENT) * sum(len(t) for t, _, _ in self.blocks):
-            return self.text()
-        return "\n\n".join(kept)
-
-
-def _key(host: str, digest: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{host}\0{digest}".encode("utf-8", "replace"), digest_size=8).digest(), "big")
+        return int.from_bytes(hashlib.blake2b(self.text().encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+    def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
+        return self.judge(templates)[0]
+
+    def judge(self, templates: frozenset[int] | set[int] = frozenset()) -> tuple[str, int, int]:
+        """Main text, code points of templates, and code points dropped by rule."""
+        gone: list[bool] = []
+        for parent, k in zip(self.parents, self.hashes):
+            gone.append((parent >= 0 and gone[parent]) or (k != 0 and k in templates))
+        whole = self._main([False] * len(gone))
+        if not any(gone):
+            return whole
+        rest = self._main(gone)
+        if 100 * len(rest[0]) >= (100 - MOST_PERCENT) * len(whole[0]):
+            return rest
+        # the main text keeps its templates; those elsewhere go
+        return whole
 
 
 def host_of(url: str | None) -> str:
@@ -260,22 +283,19 @@ def host_of(url: str | None) -> str:
 
 
 def _host_key(host: str) -> int:
-    return _key(host, "host")
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    return int.from_bytes(hashlib.blake2b(host.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, bodies, keys = [], [], []
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            host, page = host_of(url), Page(html or "")
-            own = [_host_key(host), *page.subtrees(host)]
-            keys += map(_signed, own)
-            hosts += [_signed(own[0])] * len(own)
-            bodies += [_signed(page.body())] * len(own)
+            host = host_of(url)
+            page, of = Page(html or "", host), _host_key(host)
+            own = [of, *page.subtrees()]
+            keys += own
+            hosts += [of] * len(own)
+            bodies += [page.body()] * len(own)
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(bodies, pa.int64()), pa.array(keys, pa.int64())], names=["host", "body", "k"])
 
 
@@ -284,7 +304,7 @@ def _store(folder: str):
         shard = table["shard"][0].as_py()
         path = f"{folder}/templates-{shard:06d}-{TaskContext.get().taskAttemptId()}"
         with open_shared(path, "wb") as f:
-            f.write(np.sort(table["k"].to_numpy().view(np.uint64)).tobytes())
+            f.write(np.sort(table["k"].to_numpy()).astype("<i8").tobytes())
         return pa.table({"shard": pa.array([shard], pa.int32()), "path": [path]})
 
     return run
@@ -305,29 +325,41 @@ def find_templates(pages: DataFrame, folder: str, min_pages: int = MIN_PAGES, mi
     return shards, {r["shard"]: r["path"] for r in rows}
 
 
+_RESULT = "page_id long, url string, text string, n_chars long, n_template long, n_ruled long"
+
+
 def _extract(shards: int, paths: dict[int, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = {s: map_shared(p, "<u8") for s, p in paths.items()}
-
-        def is_template(key: int) -> bool:
-            table = maps.get(_signed(key) % shards)
-            if table is None:
-                return False
-            i = int(np.searchsorted(table, np.uint64(key)))
-            return i < len(table) and int(table[i]) == key
+        maps = {s: map_shared(p, "<i8") for s, p in paths.items()}
+
+        def templates(keys: np.ndarray) -> set[int]:
+            found: set[int] = set()
+            shard = keys % shards
+            for s in np.unique(shard).tolist():
+                table = maps.get(s)
+                if table is not None and len(table):
+                    own = keys[shard == s]
+                    place = np.minimum(np.searchsorted(table, own), len(table) - 1)
+                    found.update(own[table[place] == own].tolist())
+            return found
 
         for batch in batches:
-            texts = [Page(html).text(host_of(url), is_template) if html else "" for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            rows, size = [], 0
+            for page, url, html in zip(*(c.to_pylist() for c in batch.columns[:3])):
+                tree = Page(html or "", host_of(url))
+                rows.append((page, url, *tree.judge(templates(np.array(list(tree.subtrees()), np.int64)))))
+            page, url, texts, template, ruled = zip(*rows) if rows else ([],) * 5
+            longs = [pa.array(x, pa.int64()) for x in (page, [len(t) for t in texts], template, ruled)]
+            yield pa.RecordBatch.from_arrays([longs[0], pa.array(url, pa.string()), pa.array(texts, pa.string()), *longs[1:]], names=["page_id", "url", "text", "n_chars", "n_template", "n_ruled"])
 
     return run
 
 
 def main_text(pages: DataFrame, folder: str) -> DataFrame:
-    """page_id, url, text, n_chars."""
+    """page_id, url, text, n_chars, n_template, n_ruled."""
     shards, paths = find_templates(pages, folder)
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return src.mapInArrow(_extract(shards, paths), "page_id long, url string, text string, n_chars long")
+    return src.mapInArrow(_extract(shards, paths), _RESULT)
 
 
 def extract(pages: DataFrame) -> DataFrame:

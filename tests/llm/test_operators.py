@@ -256,6 +256,75 @@ def test_copies_of_an_article_are_no_template(spark, tmp_path):
     assert all(got[i] == f"Quite another story, number {i}." for i in range(50, 55))
 
 
+def test_templates_by_brute_force(spark, tmp_path):
+    """Random trees without any mark: counted, deleted and joined by plain recursion over the trees."""
+    rng = random.Random(11)
+    shared = [("div", [("span", [f"menu {i}"]), ("ul", [("li", [f"entry {i} {j}"]) for j in range(3)])]) for i in range(12)]
+    host = lambda i: "ab"[i % 3 == 0]
+
+    def tree(i):
+        own = [("p", [f"paragraph {i} {j} " + "of some more words " * rng.randint(1, 9)]) for j in range(rng.randint(1, 5))]
+        parts = own + rng.sample(shared, rng.randint(0, 4)) + [("div", [("p", [f"notice of the day {rng.randrange(3)}"])])]
+        rng.shuffle(parts)
+        return ("body", [("section", parts[:3]), ("div", parts[3:])])
+
+    render = lambda x: x if isinstance(x, str) else f"<{x[0]}>{''.join(map(render, x[1]))}</{x[0]}>"
+
+    def nodes(x):
+        if not isinstance(x, str):
+            yield render(x)
+            for y in x[1]:
+                yield from nodes(y)
+
+    def blocks(x, gone):
+        if isinstance(x, str):
+            return [" ".join(x.split())]
+        return [] if render(x) in gone else [b for y in x[1] for b in blocks(y, gone)]
+
+    trees = [tree(i) for i in range(60)]
+    trees += trees[:4] * 6  # copies
+    count, bodies = collections.defaultdict(set), collections.defaultdict(set)
+    for i, x in enumerate(trees):
+        whole = "\n\n".join(blocks(x, ()))
+        bodies[host(i)].add(whole)
+        for y in nodes(x):
+            if not y.startswith(("<body", "<span")):
+                count[host(i), y].add(whole)
+    want, changed = {}, 0
+    for i, x in enumerate(trees):
+        gone = {y for (h, y), n in count.items() if h == host(i) and len(n) >= 5 and 100 * len(n) >= 5 * len(bodies[h])}
+        whole, rest = "\n\n".join(blocks(x, ())), "\n\n".join(blocks(x, gone))
+        want[i] = rest if 100 * len(rest) >= 25 * len(whole) else whole
+        changed += want[i] != whole
+    df = spark.createDataFrame([(i, f"https://{host(i)}.example/{i}", render(x)) for i, x in enumerate(trees)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_text.main_text(df.repartition(4), f"file://{tmp_path}/t").collect()}
+    assert {i: r["text"] for i, r in got.items()} == want and changed > 30
+    assert sum(r["n_template"] > 0 for r in got.values()) >= changed and all(r["n_ruled"] == 0 for r in got.values())
+
+
+def test_templates_go_before_rules(spark, tmp_path):
+    page = lambda i: f"<nav><ul><li>Home</ul></nav><main><h1>Head {i}</h1><article><p>Story {i} is long enough.</p><div class='related'><p>Related {i}</p></div></article></main><footer>Imprint {i}</footer>"
+    df = spark.createDataFrame([(i, "http://a.example/x", page(i)) for i in range(9)], "page_id long, url string, html string")
+    for r in html_text.main_text(df, f"file://{tmp_path}/t").collect():
+        i = r["page_id"]
+        assert r["text"] == f"Head {i}\n\nStory {i} is long enough.\n\nRelated {i}"
+        assert (r["n_template"], r["n_ruled"]) == (len("Home"), len(f"Imprint {i}"))
+
+
+def test_any_html_takes_linear_time():
+    import time
+
+    n = 30_000
+    odd = ['<a "' * n, "<a '\"" * n, '<a ">"' * n, "<" * n, "<!" * n, "<b>" * n + "<p>" * n, "<div>" * n + "</x>" * n, "<p><b>" * n, "<b>" * n + "<li>" * n, "</b>" * n, "<div><span>" * n + "</div>" * n, "&" * n, "<script>" * n, "<!--" * n, "<a =" * n + ">"]
+    for html in odd:
+        began = time.perf_counter()
+        tree = html_text.Page(html + "end")
+        tree.text()
+        assert time.perf_counter() - began < 5, html[:12]
+    assert html_text.Page("<p>before<a title=\"x>one</a> <b>two</b>").text() == "beforeone two"
+    assert html_text.Page("<p>a</p><main><p>m</p></main><article><p>x<button>no</button>y</p></article>").text() == "m\n\nx y"
+
+
 # -- benchmark -----------------------------------------------------------------------------------
 
 
