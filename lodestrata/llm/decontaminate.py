@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, small_batches
+from .common import bounded, cut, own_name, small_batches
 from .hashing import SHINGLE, shingle_sets, short_gram_sets, word_hashes
 
 PERCENT = 75
@@ -120,5 +120,6 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, block_hashes: int = B
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    bad = cut(contained_items(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct())
-    return docs.join(bounded(bad), docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    mark = own_name(docs, "bad")
+    bad = cut(contained_items(docs, benchmark).select(F.col("doc_id").alias(mark)).distinct())
+    return docs.join(bounded(bad), docs["doc_id"].cast("long").eqNullSafe(F.col(mark)), "left_anti")
