@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +36,14 @@ def strip(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``), with its file system's scheme; a temporary one only where that is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``), with its file system's scheme; a temporary one only where that is unset and all runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
     if not at and context.getCheckpointDir().isDefined():
         at = context.getCheckpointDir().get()
     if not at:
+        if not context.isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
@@ -63,6 +66,24 @@ def bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+#: Members of a group that make it a hot key.
+HOT = 4096
+
+
+def meet(rows: DataFrame, groups: DataFrame, key: str, at: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with their ``groups`` (unique ``key``; ``m``, the rows of the group).
+
+    Groups of more than ``at`` rows (HOT by default) are sent to the rows if they are at most BROADCAST_IDS, so no group gathers in a task.
+    """
+    at = HOT if at is None else at
+    hot = groups.where(F.col("m") > at).drop("m")
+    if not (count := hot.count()):
+        return rows.join(groups.drop("m"), key)
+    hot = F.broadcast(hot) if count <= BROADCAST_IDS else hot
+    cold = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col("m") <= at).drop("m"), key)
+    return cold.unionByName(rows.join(hot, key))
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
@@ -83,28 +104,103 @@ def open_shared(uri: str, mode: str):
         if "w" in mode:
             os.makedirs(os.path.dirname(path), exist_ok=True)
         return open(path, mode)
+    import io
+
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
     if "w" in mode:
         store.create_dir(os.path.dirname(path), recursive=True)
         return store.open_output_stream(path)
-    return store.open_input_file(path)
-
-
-def map_shared(uri: str, dtype: str):
-    """A memory-mapped array of a shared file; from stores that can't be mapped, of an unlinked copy that ends with the process."""
-    import numpy as np
-
+    return io.BufferedReader(store.open_input_file(path), 1 << 16)
+
+
+class StoreArray:
+    """An array in a file that can't be memory-mapped: blocks are read as they are needed, and the last few kept in memory.
+
+    Takes sorted keys in ``searchsorted``, and indices, slices and field names like a NumPy array.
+    """
+
+    BLOCK, KEPT = 1 << 20, 64
+
+    def __init__(self, source, dtype, field: str | None = None):
+        self._source, self.dtype, self._field = source, np.dtype(dtype), field
+        self._n = source.seek(0, 2) // self.dtype.itemsize
+        self._step = max(1, self.BLOCK // self.dtype.itemsize)
+        self._blocks: dict[int, np.ndarray] = {}
+
+    def __len__(self) -> int:
+        return self._n
+
+    def _block(self, i: int) -> np.ndarray:
+        block = self._blocks.pop(i, None)
+        if block is None:
+            self._source.seek(i * self._step * self.dtype.itemsize)
+            block = np.frombuffer(self._source.read(min(self._step, self._n - i * self._step) * self.dtype.itemsize), self.dtype)
+            while len(self._blocks) >= self.KEPT:
+                del self._blocks[next(iter(self._blocks))]
+        self._blocks[i] = block
+        return block if self._field is None else block[self._field]
+
+    def __getitem__(self, index):
+        if isinstance(index, str):
+            other = StoreArray(self._source, self.dtype, index)
+            other._blocks = self._blocks
+            return other
+        if isinstance(index, slice):
+            index = np.arange(*index.indices(self._n))
+        index = np.asarray(index)
+        out = np.zeros(index.shape, self.dtype if self._field is None else self.dtype[self._field])
+        of = index // self._step
+        for i in np.unique(of).tolist():
+            own = of == i
+            out[own] = self._block(i)[index[own] - i * self._step]
+        return out
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        whole = self[:]
+        return whole if dtype is None else whole.astype(dtype)
+
+    def searchsorted(self, keys, side: str = "left", sorter=None) -> np.ndarray:
+        keys = np.asarray(keys)
+        out = np.zeros(len(keys), np.int64)
+        todo = [(0, len(keys), 0, -(-self._n // self._step))] if self._n else []
+        while todo:
+            i, j, lo, hi = todo.pop()
+            if i == j:
+                continue
+            if hi - lo == 1:
+                out[i:j] = np.searchsorted(self._block(lo), keys[i:j], side) + lo * self._step
+                continue
+            middle = (lo + hi) // 2
+            # keys up to the block's first element may end before it
+            cut = i + int(np.searchsorted(keys[i:j], self._block(middle)[0], "right" if side == "left" else "left"))
+            todo += [(i, cut, lo, middle), (cut, j, middle, hi)]
+        return out
+
+
+class Lazily(dict):
+    """``make(names[key])``, made on first use."""
+
+    def __init__(self, make, names: dict):
+        super().__init__()
+        self._make, self._names = make, names
+
+    def __contains__(self, key) -> bool:
+        return key in self._names
+
+    def __missing__(self, key):
+        value = self[key] = self._make(self._names[key])
+        return value
+
+
+def map_shared(uri: str, dtype):
+    """A memory-mapped array of a shared file; of stores that can't be mapped, a ``StoreArray``."""
     scheme, _, rest = uri.partition("://")
     if not rest or scheme == "file":
         path = rest or uri.removeprefix("file:")
         return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-    with open_shared(uri, "rb") as source, tempfile.TemporaryFile() as copy:
-        while data := source.read(1 << 22):
-            copy.write(data)
-        copy.flush()
-        return np.memmap(copy, dtype, "r") if copy.tell() else np.zeros(0, dtype)
+    return StoreArray(open_shared(uri, "rb"), dtype)
 
 
 def remove_shared(spark: SparkSession, folder: str) -> None:
@@ -113,6 +209,9 @@ def remove_shared(spark: SparkSession, folder: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
-    """Bound what one Arrow batch holds in a Python worker, for very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb << 20}")
+    """Bound what one Arrow batch holds in a Python worker, for very long texts; stricter bounds of the session stay."""
+    for key, value, name in (("maxRecordsPerBatch", rows, str(rows)), ("maxBytesPerBatch", mb << 20, f"{mb << 20}")):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        if not (now and now.isdigit() and 0 < int(now) <= value):
+            spark.conf.set(key, name)

@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_shared, open_shared, remove_shared, shared_dir, small_batches
+from .common import Lazily, cut, map_shared, open_shared, remove_shared, shared_dir, small_batches
 
 MIN_PAGES, MIN_PERCENT, MOST_PERCENT = 5, 5, 75
 MAX_DEPTH = 512
@@ -330,21 +330,20 @@ _RESULT = "page_id long, url string, text string, n_chars long, n_template long,
 
 def _extract(shards: int, paths: dict[int, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = {s: map_shared(p, "<i8") for s, p in paths.items()}
+        maps = Lazily(lambda path: map_shared(path, "<i8"), paths)
 
         def templates(keys: np.ndarray) -> set[int]:
             found: set[int] = set()
             shard = keys % shards
             for s in np.unique(shard).tolist():
-                table = maps.get(s)
-                if table is not None and len(table):
-                    own = keys[shard == s]
+                if s in maps and len(maps[s]):
+                    table, own = maps[s], np.sort(keys[shard == s])
                     place = np.minimum(np.searchsorted(table, own), len(table) - 1)
                     found.update(own[table[place] == own].tolist())
             return found
 
         for batch in batches:
-            rows, size = [], 0
+            rows = []
             for page, url, html in zip(*(c.to_pylist() for c in batch.columns[:3])):
                 tree = Page(html or "", host_of(url))
                 rows.append((page, url, *tree.judge(templates(np.array(list(tree.subtrees()), np.int64)))))

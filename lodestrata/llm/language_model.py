@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_shared, open_shared, shared_dir, small_batches
+from .common import Lazily, cut, map_shared, open_shared, shared_dir, small_batches
 from .hashing import slices, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
@@ -52,6 +52,8 @@ END = np.uint64(0x5EED0F7E57E4D000)  # the hash that stands for the end token
 BUFFER = 2_000_000
 LOW = np.uint64(0xFFFFFFFF)
 W32 = np.uint64(32)
+#: Counts that 32 bits cannot hold, and the statistics of a context: c, n1, n2, n3+.
+MANY, STATS = np.dtype([("key", "<u8"), ("n", "<i8")]), np.dtype([("n", "<i8", 4)])
 
 
 def is_held_out() -> Column:
@@ -179,11 +181,11 @@ class Model:
     # -- look-ups in a worker ----------------------------------------------------------
 
     def open(self) -> Model:
-        starts = np.cumsum([0] + [n for _, _, n in self.words])
-        self._words = {s: (map_shared(f"{name}.hash", "<u8"), map_shared(f"{name}.count", "<i8"), int(at)) for (s, name, _), at in zip(self.words, starts)}
-        self._pairs = {s: (map_shared(f"{name}.key", "<u8"), map_shared(f"{name}.count", "<u4")) for s, name in self.pairs.items()}
-        self._contexts = {s: (map_shared(f"{name}.context", "<u4"), map_shared(f"{name}.stats", "<i8")) for s, name in self.pairs.items()}
-        self._tails = {s: map_shared(name, "<u4") for s, name in self.tails.items()}
+        starts = np.cumsum([0] + [n for _, _, n in self.words]).tolist()
+        self._words = Lazily(lambda x: (map_shared(f"{x[0]}.hash", "<u8"), map_shared(f"{x[0]}.count", "<i8"), x[1]), {s: (name, at) for (s, name, _), at in zip(self.words, starts)})
+        self._pairs = Lazily(lambda name: (map_shared(f"{name}.key", "<u8"), map_shared(f"{name}.count", "<u4"), map_shared(f"{name}.many", MANY)), self.pairs)
+        self._contexts = Lazily(lambda name: (map_shared(f"{name}.context", "<u4"), map_shared(f"{name}.stats", STATS)), self.pairs)
+        self._tails = Lazily(lambda name: map_shared(name, "<i8"), self.tails)
         return self
 
     @staticmethod
@@ -212,8 +214,12 @@ class Model:
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             if s in self._pairs:
                 i, j = cuts[s], cuts[s + 1]
-                at, hit = self._find(self._pairs[s][0], keys[i:j])
-                out[i:j][hit] = self._pairs[s][1][at[hit]]
+                table, counts, many = self._pairs[s]
+                at, hit = self._find(table, keys[i:j])
+                found = counts[at[hit]].astype(np.int64)
+                if len(many) and (more := found == LOW).any():
+                    found[more] = many["n"][np.searchsorted(many["key"], keys[i:j][hit][more])]
+                out[i:j][hit] = found
         return out
 
     def contexts(self, numbers: np.ndarray) -> np.ndarray:
@@ -226,7 +232,7 @@ class Model:
                 i, j = np.searchsorted(shard, [s, s + 1])
                 array, stats = self._contexts[s]
                 at, hit = self._find(array, numbers[i:j].astype(np.uint32))
-                out[i:j][hit] = stats.reshape(-1, 4)[at[hit]]
+                out[i:j][hit] = stats[at[hit]]["n"]
         for k in np.flatnonzero(np.isin(numbers, list(self.split))).tolist() if self.split else ():
             out[k] = self.split[int(numbers[k])]
         return out
@@ -293,7 +299,10 @@ def _store_pairs(folder: str):
         rows = np.stack([counts, counts == 1, counts == 2, counts >= 3], axis=1).astype("<i8")
         stats = np.add.reduceat(rows, starts, axis=0)
         name = f"{folder}/pairs-{shard:06d}-{TaskContext.get().taskAttemptId()}"
-        for end, array in ((".key", keys), (".count", counts.astype("<u4")), (".context", heads[starts]), (".stats", stats)):
+        more = np.flatnonzero(counts >= int(LOW))
+        many = np.zeros(len(more), MANY)
+        many["key"], many["n"] = keys[more], counts[more]
+        for end, array in ((".key", keys), (".count", np.minimum(counts, int(LOW)).astype("<u4")), (".many", many), (".context", heads[starts]), (".stats", stats)):
             _write(name + end, array)
         of = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         values = [shard, name, *of, len(keys), int(heads[0]), stats[0].tolist(), int(heads[-1]), stats[-1].tolist()]
@@ -311,7 +320,7 @@ def _count_tails(size: int, shards: int):
         bounds = (np.arange(1, shards, dtype=np.uint64)) * np.uint64(size)
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                keys = map_shared(f"{name}.key", "<u8")
+                keys = np.asarray(map_shared(f"{name}.key", "<u8"))
                 words, n = np.unique(keys & LOW, return_counts=True)
                 yield _chunks(words, n, bounds)
 
@@ -325,8 +334,8 @@ def _store_tails(folder: str, size: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         words, counts = _joined(table)
-        dense = np.zeros(size, "<u4")
-        dense[words.astype(np.int64) - shard * size] = np.minimum(counts, 0xFFFFFFFF)
+        dense = np.zeros(size, "<i8")
+        dense[words.astype(np.int64) - shard * size] = counts
         name = f"{folder}/tails-{shard:06d}-{TaskContext.get().taskAttemptId()}"
         _write(name, dense)
         of = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
@@ -393,7 +402,7 @@ def _masses(shards: list[tuple[int, str, int]], goal: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                counts = map_shared(f"{name}.count", "<i8")
+                counts = np.asarray(map_shared(f"{name}.count", "<i8"))
                 heavy = np.flatnonzero(counts > goal)
                 full = np.cumsum(counts) // goal
                 bounds = np.flatnonzero(np.diff(full, prepend=0)) + 1 + starts[name]

@@ -12,15 +12,20 @@ Plan
 2. Equal sets collapse to their smallest document by a map-side combined
    aggregate, so thousands of exact copies go on as one row.
 3. Bands are buckets.  Each bucket emits a star: its smallest document paired
-   with every other member, so the number of pairs is linear.
-4. Pairs are confirmed on the full sets, recomputed from the texts of the
-   documents in question only.
-5. Components come from hash-to-min rounds with pointer jumping on DataFrames.
+   with every other member, so the number of pairs is linear.  Buckets with many
+   members are told apart by a count first and never meet in one task.
+4. Pairs are confirmed on the full sets.  The sets of documents that share a bucket
+   are made once and dealt by document; every pair ships the set of its end with
+   fewer partners to the other end, whose partners are dealt to tasks ``CHUNK`` at
+   a time, so neither a popular centre nor its set gathers in one task.
+5. Components come from hash-to-min rounds with pointer jumping on DataFrames;
+   the links of a document with many are dealt ``CHUNK`` at a time as well.
 6. A star misses a link between two members that its centre is not linked to.
-   So buckets that still span several components go on: their members meet in
-   one task (large buckets as pairs of blocks) with bottom-``KEPT`` sketches, and
-   all pairs across components are judged there by bit counts.  Only pairs that
-   may be linked leave the task: sketches of up to KEPT shingles are whole sets
+   So buckets that still span several components go on: their members are dealt by
+   bucket (large buckets as pairs of blocks), many buckets a task, with bottom-``KEPT``
+   sketches.  There a pair across components is judged once, in the first bucket
+   that it shares, by array operations over all buckets of the task.  Only pairs
+   that may be linked leave the task: sketches of up to KEPT shingles are whole sets
    and tell exactly, larger ones leave a margin of five standard errors.  These
    pairs are confirmed on the full sets.  Nothing is capped, and neither pairs
    within a component nor pairs that cannot be linked are ever emitted.
@@ -45,14 +50,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, small_batches
+from .common import bounded, cut, meet, own_name, small_batches
 from .hashing import mix, shingle_sets
 
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 PERCENT = 75
-#: Hashes in a bottom sketch, the similarity that it must show, and members of a block.
-KEPT, MARGIN, MEMBERS = 256, 0.61, 1024
+#: Hashes in a bottom sketch, and the similarity that it must show.
+KEPT, MARGIN = 256, 0.61
+#: Members of a block, rows dealt to a task, and pairs judged at a time.
+MEMBERS, DEALT, AT_ONCE = 8192, 16384, 8192
+FILLED = np.uint32(0xFFFFFFFF)
+#: Partners of a document that meet it in one task.
+CHUNK = 256
 
 _ORDER = mix(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(77)).reshape(BINS, BINS) >> np.uint64(32)
 _BAND = mix(np.arange(BINS, dtype=np.uint64) + np.uint64(991)) | np.uint64(1)
@@ -84,7 +94,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(s))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             bands.append(band_hashes(signature(s)) if len(s) else np.zeros(0, np.int64))
-            bottoms.append((s[:KEPT] >> np.uint64(32)).astype("<u4").tobytes())
+            bottoms.append(np.minimum((s[:KEPT] >> np.uint64(32)).astype("<u4"), FILLED - np.uint32(1)).tobytes())
         offsets = np.zeros(len(bands) + 1, np.int32)
         np.cumsum([len(b) for b in bands], out=offsets[1:])
         flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
@@ -101,147 +111,192 @@ def sketches(docs: DataFrame) -> DataFrame:
     return ids.mapInArrow(_sketch, "d long, n long, key binary, bands array<long>, bottom binary")
 
 
-def _may_link(n: np.ndarray, bottoms: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers of the pairs from ``left`` times ``right`` in different components whose sets may be similar enough."""
-    flat = np.concatenate(bottoms)
-    owner = np.repeat(np.arange(len(bottoms)), [len(b) for b in bottoms])
-    _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = often[column] > 1
-    columns, place = np.unique(column[shared], return_inverse=True)
-    bits = np.zeros((len(bottoms), (len(columns) + 7) // 8 * 8 or 8), bool)
-    bits[owner[shared], place] = True
-    packed = np.packbits(bits, axis=1)
-    whole = n <= KEPT
-    last = np.array([b[-1] for b in bottoms])
-    for i in left.tolist():
-        j = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))]
-        if not len(j):
-            continue
-        common = np.bitwise_count(packed[j] & packed[i]).sum(axis=1, dtype=np.int64)
-        exact = whole[j] & whole[i]
-        linked = exact & (100 * common >= PERCENT * (n[j] + n[i] - common))
-        rough = j[~exact]
-        for k, x in zip(np.flatnonzero(~exact).tolist(), rough.tolist()):
-            # the union's smallest hashes, as far as both sketches reach
-            if common[k] < MARGIN * min(len(bottoms[i]), len(bottoms[x])) / 2:
-                continue
-            reach = min(last[i] if not whole[i] else 0xFFFFFFFF, last[x] if not whole[x] else 0xFFFFFFFF)
-            a, b = bottoms[i][bottoms[i] <= reach], bottoms[x][bottoms[x] <= reach]
-            both = len(np.intersect1d(a, b))
-            linked[k] = both >= MARGIN * (len(a) + len(b) - both)
-        yield np.full(int(linked.sum()), i), j[linked]
+def _ends(start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) with start[i] <= j < stop[i], about AT_ONCE at a time."""
+    n = np.maximum(stop - start, 0)
+    done = np.cumsum(n)
+    i, total = 0, len(n)
+    while i < total:
+        j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + AT_ONCE, "right")))
+        own = np.arange(i, j)
+        for at in range(0, int(n[i]) if j == i + 1 else 1, AT_ONCE):  # a row may have more partners than that
+            lo = start[i:j] + at
+            size = np.minimum(n[i:j] - at, AT_ONCE) if j == i + 1 else n[i:j]
+            first = np.repeat(own, size)
+            yield first, np.arange(len(first)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+        i = j
+
+
+def _alike(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of bottom sketches (rows filled up with FILLED) may belong to linked sets."""
+    x, y = sketch[i], sketch[j]
+    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    common = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] < FILLED)).sum(axis=1)
+    whole = (n[i] <= KEPT) & (n[j] <= KEPT)
+    # the union's smallest hashes, as far as both sketches reach
+    reach = np.minimum(np.minimum(x[:, -1], y[:, -1]), FILLED - np.uint32(1))[:, None]
+    union = (x <= reach).sum(axis=1) + (y <= reach).sum(axis=1) - common
+    return np.where(whole, 100 * common >= PERCENT * (n[i] + n[j] - common), common >= MARGIN * union)
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """Pairs of a bucket, or of two of its blocks (``side`` tells which), that may be linked."""
-    d, n, comp, side, of = (table[c].to_numpy() for c in ("d", "n", "comp", "side", "blocks"))
-    order = np.argsort(d, kind="stable")
-    d, n, comp, side = d[order], n[order], comp[order], side[order]
-    bottoms = [np.frombuffer(x, "<u4") for x in table["bottom"].take(pa.array(order)).to_pylist()]
-    both = of[0] < 0  # one block against itself
-    left = np.arange(len(d)) if both else np.flatnonzero(side == 0)
-    right = np.arange(len(d)) if both else np.flatnonzero(side == 1)
-    found = list(_may_link(n, bottoms, comp, left, right))
-    a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-    b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
-    if both:
-        a, b = a[a < b], b[a < b]
-    return pa.table({"a": np.minimum(d[a], d[b]), "b": np.maximum(d[a], d[b])})
+    """Pairs of the buckets dealt to this task, or of two blocks (``i``, ``j``) of one, that may be linked."""
+    columns = {c: table[c].to_numpy() for c in ("k", "i", "j", "side", "d", "n", "comp", "band")}
+    order = np.lexsort([columns[c] for c in ("d", "side", "j", "i", "k")])
+    k, bi, bj, side, d, n, comp, band = (columns[c][order] for c in ("k", "i", "j", "side", "d", "n", "comp", "band"))
+    taken = pa.array(order)
+    bands = table["bands"].combine_chunks().take(taken).flatten().to_numpy().reshape(-1, BANDS)
+    sketch = np.full((len(d), KEPT), FILLED, np.uint32)
+    for row, raw in enumerate(table["bottom"].take(taken).to_pylist()):
+        own = np.frombuffer(raw, "<u4")
+        sketch[row, : len(own)] = own
+    new = np.ones(len(d), bool)
+    new[1:] = (k[1:] != k[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(d)))
+    stop = np.repeat(first + size, size)
+    right = np.repeat(first + np.add.reduceat((side == 0).astype(np.int64), first), size)  # where the other block begins
+    start = np.where(bi == bj, np.arange(len(d)) + 1, np.where(side == 0, right, stop))
+    a, b = [d[:0]], [d[:0]]
+    for x, y in _ends(start, stop):
+        near = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
+        x, y = x[near], y[near]
+        mine = (bands[x] == bands[y]).argmax(axis=1) == band[x]
+        x, y = x[mine], y[mine]
+        linked = _alike(n, sketch, x, y)
+        a.append(d[x[linked]])
+        b.append(d[y[linked]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cells = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.blake2b(c, digest_size=16).digest() for c in cells], pa.binary()), pa.array(cells, pa.binary())], names=["d", "key", "set"])
+
+
+def make_sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(d, set): the shingle sets of the documents ``ids`` (d), each distinct one once; dealt by d.  texts: (d, t)."""
+    # counted ids go to the scan, so that other texts are not shuffled
+    used = texts.join(bounded(ids), "d", "left_semi")
+    return cut(used.mapInArrow(_make_sets, "d long, key binary, set binary").repartition("d").dropDuplicates(["d", "key"]).select("d", "set"))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last_id, last = None, None
+    at, hubs = None, []
     for batch in batches:
-        ids = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
-        new = [i for i in range(len(ids)) if ids[i] != (ids[i - 1] if i else last_id)]
-        left = dict(zip(new, shingle_sets(batch.column(3).take(pa.array(new, pa.int64())))))
-        linked = []
-        for i, right in enumerate(shingle_sets(batch.column(4))):
-            if i in left:
-                last = left[i]
-            shared = len(np.intersect1d(last, right, assume_unique=True))
-            linked.append(shared > 0 and 100 * shared >= PERCENT * (len(last) + len(right) - shared))
-        last_id = ids[-1] if ids else last_id
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (a, b) whose full sets are similar enough.  texts: (d, t)."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
-    # counted ids go to the scan, so that texts without a pair are not shuffled
-    used = texts.join(bounded(ends), "d", "left_semi")
-    with_b = pairs.join(used.select(F.col("d").alias("b"), F.col("t").alias("tb")), "b")
-    with_a = with_b.join(used.select(F.col("d").alias("a"), F.col("t").alias("ta"), F.xxhash64("t").alias("ra")), "a")
-    return with_a.select("a", "b", "ra", "ta", "tb").sortWithinPartitions("a", "ra").mapInArrow(_confirm, "a long, b long")
+        a, b = [], []
+        for hub, chunk, leaf, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            own = np.frombuffer(raw, "<u8")
+            if (hub, chunk) != at:
+                at, hubs = (hub, chunk), []
+            if leaf is None:
+                hubs.append(own)
+                continue
+            for of in hubs:
+                if 100 * min(len(of), len(own)) >= PERCENT * max(len(of), len(own)):
+                    shared = len(np.intersect1d(of, own, assume_unique=True))
+                    if shared and 100 * shared >= PERCENT * (len(of) + len(own) - shared):
+                        a.append(min(hub, leaf))
+                        b.append(max(hub, leaf))
+                        break
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct (a, b) whose full sets are similar enough.  sets: (d, set)."""
+    partners = cut(pairs.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("m")))
+    both = pairs.join(partners.select(F.col("d").alias("a"), F.col("m").alias("ma")), "a").join(partners.select(F.col("d").alias("b"), F.col("m").alias("mb")), "b")
+    more = F.col("ma") >= F.col("mb")
+    chunk = F.pmod(F.xxhash64("leaf"), F.ceil(F.greatest("ma", "mb") / CHUNK)).cast("int")
+    dealt = cut(both.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("leaf"), "ma", "mb").select("hub", "leaf", chunk.alias("chunk")))
+    hubs = dealt.select("hub", "chunk").distinct().join(sets, F.col("hub") == F.col("d")).select("hub", "chunk", F.lit(None).cast("long").alias("leaf"), "set")
+    leaves = dealt.join(sets, F.col("leaf") == F.col("d")).select("hub", "chunk", "leaf", "set")
+    met = hubs.unionAll(leaves).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.col("leaf").asc_nulls_first())
+    return met.mapInArrow(_confirm, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(d, comp) for every end of a link: the smallest id that links reach."""
-    both = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = cut(both.groupBy(F.col("a").alias("d")).agg(F.least(F.min("b"), F.col("d")).alias("comp")))
+    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = cut(both.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(1 << 16))))
+    state = cut(both.groupBy(F.col("a").alias("d")).agg(F.least(F.min("b"), F.col("d")).alias("comp"), F.count(F.lit(1)).alias("m")).withColumn("parts", F.ceil(F.col("m") / CHUNK).cast("int")))
+    # a document with many links meets them in several tasks
+    both = cut(meet(both, state.select(F.col("d").alias("a"), "m", "parts"), "a", CHUNK).select("a", "b", F.pmod("part", "parts").alias("part")).repartition("a", "part"))
+    state = state.drop("m")
     while True:
-        seen = both.join(state, both["a"] == state["d"]).groupBy(F.col("b").alias("e")).agg(F.min("comp").alias("near"))
-        step = state.join(seen, state["d"] == seen["e"], "left").select("d", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
-        jump = state.select(F.col("d").alias("j"), F.col("comp").alias("over"))
-        new = cut(step.join(jump, step["next"] == jump["j"], "left").select("d", F.least("next", "over").alias("comp"), "was"))
+        told = state.select("d", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of"))
+        seen = both.join(told, (both["a"] == told["d"]) & (both["part"] == told["of"])).groupBy(F.col("b").alias("e")).agg(F.min("comp").alias("near"))
+        step = state.join(seen, state["d"] == seen["e"], "left").select("d", F.least("comp", "near").alias("next"), F.col("comp").alias("was"), "parts")
+        over = state.select(F.col("d").alias("j"), F.col("comp").alias("over"))
+        # many documents ask for the same component: asked once each, answers go back by document
+        asked = step.groupBy("next").agg(F.count(F.lit(1)).alias("m")).join(over, F.col("next") == F.col("j")).select("next", "m", "over")
+        new = cut(meet(step, cut(asked), "next", CHUNK).select("d", F.least("next", "over").alias("comp"), "was", "parts"))
         changed = new.where(F.col("comp") < F.col("was")).limit(1).count()
-        state = new.select("d", "comp")
+        state = new.select("d", "comp", "parts")
         if not changed:
-            return state
+            return state.select("d", "comp")
 
 
-def _across(shared: DataFrame, comps: DataFrame, chosen: DataFrame) -> DataFrame:
+def _across(shared: DataFrame, comps: DataFrame, sketched: DataFrame) -> DataFrame:
     """(a, b): pairs that share a bucket, lie in different components and may be linked."""
-    marked = shared.join(comps, "d", "left").withColumn("comp", F.coalesce("comp", "d"))
-    mixed = marked.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
-    alive = marked.join(mixed.select("k", F.ceil(F.col("m") / MEMBERS).cast("int").alias("g")), "k").join(chosen.select("d", "bottom"), "d")
+    marked = cut(shared.join(comps, "d", "left").withColumn("comp", F.coalesce("comp", "d")))
+    mixed = cut(marked.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("k", "m", F.ceil(F.col("m") / MEMBERS).cast("int").alias("g")))
+    tasks = 1 + (mixed.agg(F.sum(F.col("m") * F.col("g"))).first()[0] or 0) // DEALT
+    alive = cut(meet(marked, mixed, "k"))
+    # only the sketches of these documents are shuffled
+    wanted = sketched.join(bounded(alive.select("d").distinct()), "d", "left_semi").repartition("d").dropDuplicates(["d", "key"])
+    alive = alive.join(wanted.select("d", "bands", "bottom"), "d")
     # a bucket of g blocks meets as g * (g + 1) / 2 pairs of blocks; for g = 1 as itself
     mine = F.pmod(F.xxhash64("d", "k"), F.col("g")).cast("int")
     split = alive.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     ends = split.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    ready = ends.select("k", "i", "j", "d", "n", "comp", "bottom", F.when(F.col("mine") == F.col("i"), 0).otherwise(1).alias("side"), F.when(F.col("i") == F.col("j"), -1).otherwise(1).alias("blocks"))
-    return ready.groupBy("k", "i", "j").applyInArrow(_judge, "a long, b long").distinct()
+    side = F.when(F.col("mine") == F.col("i"), 0).otherwise(1).alias("side")
+    ready = ends.select("k", "i", "j", side, "d", "n", "comp", "band", "bands", "bottom", F.pmod(F.xxhash64("k", "i", "j"), F.lit(tasks)).alias("task"))
+    return ready.groupBy("task").applyInArrow(_judge, "a long, b long").distinct()
 
 
 def _fits(a: str, b: str):
     return 100 * F.least(F.col(a), F.col(b)) >= PERCENT * F.greatest(F.col(a), F.col(b))
 
 
-def link(sketched: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
+def link(chosen: DataFrame, sketched: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
     """(d, comp) of the documents that some link reaches.
 
-    sketched: (d, n, bands, bottom), a row for each distinct set; texts: (d, t); known: (a, b), links to start from.
+    chosen: (d, n, bands), a row for each distinct set; sketched: (d, key, bands, bottom); texts: (d, t); known: (a, b), links to start from.
     """
-    buckets = sketched.select("d", "n", F.explode("bands").alias("k"))
-    centres = buckets.groupBy("k").agg(F.min("d").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k", "a")
-    shared = cut(buckets.join(centres, "k").select("k", "d", "n", "a"))
+    buckets = chosen.select("d", "n", F.posexplode("bands").alias("band", "k"))
+    centres = cut(buckets.groupBy("k").agg(F.min("d").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    shared = cut(meet(buckets, centres, "k").select("k", "band", "d", "n", "a"))
+    sets = make_sets(shared.select("d").distinct(), texts)
     stars = shared.where("d <> a").select("a", F.col("d").alias("b"), F.col("n").alias("nb")).distinct()
-    sizes = sketched.select(F.col("d").alias("a"), F.col("n").alias("na"))
+    sizes = chosen.select(F.col("d").alias("a"), F.col("n").alias("na"))
     tested = cut(stars.join(sizes, "a").where(_fits("na", "nb")).select("a", "b").distinct())
-    links = cut(confirm(tested, texts).unionAll(known))
+    links = cut(confirm(tested, sets).unionAll(known))
     comps = components(links)
 
-    fresh = cut(_across(shared.select("k", "d", "n"), comps, sketched).join(tested, ["a", "b"], "left_anti"))
+    fresh = cut(_across(shared.select("k", "band", "d", "n"), comps, sketched).join(tested, ["a", "b"], "left_anti"))
     if fresh.isEmpty():
         return comps
-    return components(links.unionAll(confirm(fresh, texts)))
+    return components(links.unionAll(confirm(fresh, sets)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     sketched = cut(sketches(docs))
     some = sketched.where("n > 0 and d is not null")
-    reps = cut(some.groupBy("key").agg(F.min("d").alias("rep")))
-    members = sketched.select("d", "n", "key").join(reps, "key", "left")
+    reps = cut(some.groupBy("key").agg(F.min("d").alias("rep"), F.count(F.lit(1)).alias("m")))
+    lone = sketched.where("n = 0 or d is null").select("d", "n", "key", F.lit(None).cast("long").alias("rep"))
+    members = meet(some.select("d", "n", "key"), reps, "key").select("d", "n", "key", "rep").unionAll(lone)
 
     # a doc_id with several texts ties their sets together
     twice = members.where("rep is not null").groupBy("d").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("d", "a")
     ties = members.join(twice, "d").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
 
-    first = reps.select(F.col("key").alias("rk"), "rep")
-    chosen = cut(some.join(first, (F.col("key") == F.col("rk")) & (F.col("d") == F.col("rep"))).dropDuplicates(["key"]).select("d", "n", "bands", "bottom"))
-    comps = link(chosen, docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t")), ties)
-    out = members.join(comps.select(F.col("d").alias("rep"), "comp"), "rep", "left")
+    chosen = meet(some.drop("bottom"), reps, "key").where("d = rep").dropDuplicates(["key"]).select("d", "n", "bands")
+    comps = link(cut(chosen), some, docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t")), ties)
+    out = meet(members, cut(reps.groupBy("rep").agg(F.sum("m").alias("m")).join(comps.select(F.col("d").alias("rep"), "comp"), "rep", "left")), "rep").unionByName(members.where("rep is null").withColumn("comp", F.lit(None).cast("long")))
     component = F.when(F.col("d").isNotNull(), F.coalesce("comp", "rep", "d"))
     return out.select(
         F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
@@ -252,8 +307,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document stays: one of each group, once."""
     found = cut(near_duplicates(docs).select("doc_id", "kept"))
-    gone = cut(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct())
-    out = docs.join(bounded(gone), docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
+    mark = own_name(docs, "gone")
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias(mark)).distinct())
+    out = docs.join(bounded(gone), docs["doc_id"].cast("long") == F.col(mark), "left_anti")
     if found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return out
     return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))

@@ -48,10 +48,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_archives(read(spark, sf_dir, "pages"), folder)
     records = warc.read_archives(files)
     history = warc.merge_index(files, folder)
-    # a URL key lies in one part, so a capture's number in its history is its place after the first one of the key
-    begun = history.groupBy(F.col("url_key").alias("key")).agg(F.min("place").alias("first"))
-    history = history.join(begun.hint("merge"), F.col("url_key") == F.col("key"))
-    where = history.groupBy(F.col("task").alias("t"), F.col("page_id").alias("p"), F.col("digest").alias("d")).agg(F.min(F.struct((F.col("place") - F.col("first") + 1).alias("number"), "url_key", "timestamp")).alias("h"))
+    where = history.groupBy(F.col("task").alias("t"), F.col("page_id").alias("p"), F.col("digest").alias("d")).agg(F.min(F.struct("number", "url_key", "timestamp")).alias("h"))
     same = (F.col("task") == F.col("t")) & F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d"))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     # the merge reads a table of a few ranges, which hides the size of its result from the planner: never broadcast it

@@ -22,9 +22,11 @@ Suffixes of a whole corpus cannot be sorted in place, so buckets are made first:
    into the cover.  Ties of all buckets are resolved together by partitioning
    around pivots.  Memory is bounded by the block.
 
-A class with an outsized share of all documents (found in a sample of them; only
-how rows are dealt depends on it) is dealt by context, and its edges are compared
-by fingerprints of their strings, since one bucket of it may exceed a task.
+A class of an outsized number of documents (found in a sample of them; only how rows
+are dealt depends on it) is dealt by context.  Its edges, and those of any class with
+more contexts than a block holds, are compared by 128-bit fingerprints of their
+strings, dealt by fingerprint, since one bucket of it may exceed a task.  Contexts are
+taken for identical by 64-bit hashes of anchor and context, 128 bits together.
 
 Marks go into sorted arrays in the shared folder, keyed by a hash of id and text,
 and are memory-mapped by the tasks that read the documents again, so texts are
@@ -47,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_shared, open_shared, remove_shared, shared_dir, small_batches
+from .common import Lazily, cut, map_shared, open_shared, remove_shared, shared_dir, small_batches
 from .hashing import buffers, mix
 
 SPAN, GRAM = 200, 56
@@ -59,7 +61,8 @@ COVER = np.array(sorted({*range(_R), *range(0, V, _R)}))
 DEPTH = SPAN - V  # bytes that the sample's ranks compare
 #: Bytes of documents hashed together, and of contexts sorted together.
 PIECE, BLOCK = 2 << 20, 2 << 20
-HOT_SAMPLE, HOT_COUNT = 20_000, 400
+#: Documents sampled to find outsized classes, at least and as a share, and in how many of them such a class occurs: others have about a million at most.
+HOT_SAMPLE, HOT_SHARE, HOT_COUNT = 20_000, 4e-4, 400
 
 _P = 0x9E3779B97F4A7C13
 _BYTE = np.random.Generator(np.random.PCG64(4)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -205,7 +208,9 @@ def _sort_classes(shards: int):
         contexts = _group_starts(a["cls"], a["ctx"])
         members = np.diff(np.append(contexts, len(a)))
         of_class = np.searchsorted(_group_starts(a["cls"]), contexts, "right") - 1
-        mixed = (np.bincount(of_class) > 1)[of_class] | (a["hot"][contexts] == 1)
+        distinct = np.bincount(of_class)[of_class]
+        mixed = (distinct > 1) | (a["hot"][contexts] == 1)
+        large = np.repeat((a["hot"][contexts] == 1) | (distinct > BLOCK // SPAN), members)
         repeated = np.repeat(members > 1, members)
         first = np.zeros(len(a), bool)
         first[contexts] = True
@@ -215,7 +220,7 @@ def _sort_classes(shards: int):
             some = a[which]
             marks = np.zeros(len(some), MARK)
             marks["key"], marks["lo"], marks["hi"], marks["cls"] = some["key"], some["lo"], some["lo"] + some["reach"], some["cls"]
-            marks["kind"] = np.where((some["hot"] == 1) & (kind != COVERED), kind + 2, kind)
+            marks["kind"] = np.where(large[which] & (kind != COVERED), kind + 2, kind)
             out = np.concatenate([out, marks])
         return pa.Table.from_batches([_deal(out, out["key"], shards)])
 
@@ -246,7 +251,7 @@ class Marks:
     def of(self, keys: np.ndarray) -> np.ndarray:
         """Marks of the keys, with the number of the key in ``cls_row``: (row, mark) sorted by row."""
         if not hasattr(self, "_maps"):
-            self._maps = {s: map_shared(p, "u1").view(MARK) for s, p in self.paths.items()}
+            self._maps = Lazily(lambda path: map_shared(path, MARK), self.paths)
         shard = (mix(keys) % np.uint64(self.shards)).astype(np.int64)
         rows, marks = [], []
         for s in np.unique(shard).tolist():
@@ -464,8 +469,8 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hot_classes(src: DataFrame) -> np.ndarray:
-    """Classes that hold more than HOT_COUNT / HOT_SAMPLE of the documents, judged on about HOT_SAMPLE of them."""
-    share = min(1.0, HOT_SAMPLE / max(1, src.count()))
+    """Classes that occur in more than HOT_COUNT documents of a sample of HOT_SAMPLE or HOT_SHARE of them."""
+    share = min(1.0, max(HOT_SHARE, HOT_SAMPLE / max(1, src.count())))
     counts = src.sample(share, 4).mapInArrow(_classes, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n"))
     rows = counts.where(F.col("n") > HOT_COUNT).select("cls").collect()  # at most the sample's anchors / HOT_COUNT
     return np.sort(np.array([r["cls"] for r in rows], np.int64)).view(np.uint64)

@@ -6,14 +6,23 @@ smallest id among those with equal payloads is a ``response``; the others are
 below ``min_revisit`` bytes are always responses.
 
 Plan: payloads are compared by SHA-1 and length in a map-side combined
-aggregate.  Each task then writes one archive and, beside it, a run: its
-captures sorted by URL key and timestamp.  Runs are merged by k-way loser trees,
-``FAN_IN`` at a time, in rounds; the last round is split into ranges of URL keys
-so that it runs in parallel, and the parts in order are the global capture
-history.  Tasks write under attempt names and rename when complete; only files
-that a finished task reported are read, so lost executors leave no trace in the
-result.  Archives are read back record by record, and payloads checked against
-their digests.
+aggregate; a payload of very many pages is sent to its pages instead of gathering
+them.  Each task then writes one archive and, beside it, runs: at most ``RUN_ROWS``
+captures each, sorted by URL key, timestamp and page.  Runs are merged by k-way
+loser trees, ``FAN_IN`` at a time, in rounds; the last round is split into ranges of
+(URL key, timestamp, page), as many as there are captures for, so that it runs in
+parallel and a URL with a large share of all captures is split too.  The bounds of
+the ranges come from at most FAN_IN * ``SAMPLES`` captures read at even distances;
+a task finds its range in each run by bisecting the file, so no index of the runs is
+ever collected.  The parts in order are the global capture history; a capture's number in
+its URL's history is counted by the merge, and carried over from part to part by one
+row a part.  Tasks write under attempt names; only files that a finished task reported
+are read, so lost executors leave no trace in the result.  Archives are read back
+record by record, and payloads checked against their digests.
+
+The pages have no capture time unless a timestamp column is named (``captured``), so
+dates are invented: as many seconds after the start of 2024 as the page's id says,
+before it for negative ids, held within the years 1000 to 9999; 0 for a null id.
 
 Defined cases: a null html is an empty payload; a null url has the empty key;
 rows equal in page_id and payload are written each, and all of them are
@@ -26,7 +35,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import io
 import zlib
 from collections.abc import Iterator
@@ -38,12 +46,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, open_shared, small_batches
+from .common import cut, meet, open_shared, small_batches
 
 FAN_IN = 64
-#: Captures between two entries of a run's sparse index.
-SPARSE = 512
+#: Captures of a sorted run, and of a part of the history; parts at most; captures sampled of a run for the bounds of the parts.
+RUN_ROWS, PART_ROWS, MAX_PARTS, SAMPLES = 200_000, 4096, 1024, 256
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
+FIRST, LAST = datetime(1000, 1, 1, tzinfo=timezone.utc), datetime(9999, 12, 31, 23, 59, 59, tzinfo=timezone.utc)
 _URN = "urn:page:"
 _TAB = str.maketrans("\t\n\r", "   ")
 
@@ -66,6 +75,12 @@ def url_key(url: str | None) -> str:
     return f"{labels}{at}){parts.path or '/'}{query}".lower()
 
 
+def invented_date(page: int | None) -> datetime:
+    """So many seconds after EPOCH."""
+    low, high = (round((end - EPOCH).total_seconds()) for end in (FIRST, LAST))
+    return EPOCH + timedelta(seconds=min(max(page or 0, low), high))
+
+
 def _urn(page: int | None) -> str:
     return f"<{_URN}{'-' if page is None else page}>"
 
@@ -77,7 +92,7 @@ def record(page: int | None, url: str | None, moment: datetime, payload: bytes,
         "WARC/1.1",
         f"WARC-Type: {'revisit' if is_revisit else 'response'}",
         f"WARC-Record-ID: {_urn(page)}",
-        f"WARC-Date: {moment:%Y-%m-%dT%H:%M:%SZ}",
+        f"WARC-Date: {moment:%Y-%m-%dT%H:%M:%SZ}",  # FIRST keeps years at four digits
         f"WARC-Target-URI: {(url or '').translate(_TAB)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -152,54 +167,85 @@ def _key(line: str) -> tuple:
     return key, moment, (page == "-", 0 if page == "-" else int(page))
 
 
-def _run_rows(uri: str, start: int = 0) -> Iterator[tuple]:
+def _run_rows(uri: str, lo: tuple | None = None, hi: tuple | None = None) -> Iterator[tuple]:
+    """Rows of a run from the first one of at least ``lo`` to the last one below ``hi``."""
     with open_shared(uri, "rb") as f:
-        f.seek(start)
-        for raw in f:
+        f.seek(0 if lo is None else _place(f, lo))
+        while raw := f.readline():
             line = raw.decode()
-            yield _key(line), line
+            key = _key(line)
+            if lo is not None and key < lo:
+                continue
+            if hi is not None and key >= hi:
+                return
+            yield key, line
 
 
-def _write_run(uri: str, rows: Iterator[tuple]) -> tuple[int, list[tuple[str, int]]]:
-    """Writes sorted rows; their number and a sparse index of (URL key, place)."""
-    n, at, sparse = 0, 0, []
+def _line_after(f, at: int) -> str:
+    """The first line that begins at ``at`` or later; empty at the end."""
+    f.seek(max(at - 1, 0))
+    if at:
+        f.readline()
+    return f.readline().decode()
+
+
+def _place(f, key: tuple) -> int:
+    """A place in a sorted file from which the first row of at least ``key`` is at most a few lines away."""
+    low, high = 0, f.seek(0, 2)
+    while high - low > 4096:
+        middle = (low + high) // 2
+        line = _line_after(f, middle)
+        if line and _key(line) < key:
+            low = middle
+        else:
+            high = middle
+    if low:
+        f.seek(low - 1)
+        f.readline()
+        return f.tell()
+    return 0
+
+
+def _write_run(uri: str, rows: Iterator[tuple]) -> int:
+    """Writes sorted rows; tells their number."""
+    n = 0
     with open_shared(uri, "wb") as f:
-        for key, line in rows:
-            if n % SPARSE == 0:
-                sparse.append((key[0], at))
-            raw = line.encode()
-            f.write(raw)
-            at += len(raw)
+        for _, line in rows:
+            f.write(line.encode())
             n += 1
-    return n, sparse
+    return n
 
 
 # -- Spark ---------------------------------------------------------------------------------
 
-_SPARSE_TYPE = "sparse array<struct<key:string,at:long>>"
-_FILES = f"task int, warc string, run string, n long, {_SPARSE_TYPE}"
+_FILES = "task int, seq int, warc string, run string, n long"
 
 
 def _manifest(rows: list[tuple]) -> pa.RecordBatch:
-    sparse = pa.list_(pa.struct([("key", pa.string()), ("at", pa.int64())]))
-    task, warc, run, n, index = zip(*rows) if rows else ([], [], [], [], [])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(task, pa.int32()), pa.array(warc, pa.string()), pa.array(run, pa.string()), pa.array(n, pa.int64()), pa.array([[{"key": k, "at": a} for k, a in x] for x in index], sparse)],
-        names=["task", "warc", "run", "n", "sparse"],
-    )
+    columns = list(zip(*rows)) if rows else [[]] * 5
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["task", "seq", "warc", "run", "n"])
 
 
-def _writer(folder: str):
+def _writer(folder: str, run_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         task, attempt = context.partitionId(), context.taskAttemptId()
-        name, at, captures, out = f"{folder}/part-{task:06d}-{attempt}", 0, [], None
+        name, at, captures, runs, out = f"{folder}/part-{task:06d}-{attempt}", 0, [], [], None
+
+        def end_run() -> None:
+            captures.sort()
+            seq = len(runs)
+            uri = f"{name}-{seq:04d}.cdx"
+            runs.append((task, seq, None if seq else f"{name}.warc.gz", uri, _write_run(uri, captures)))
+            captures.clear()
+
         for batch in batches:
-            for page, url, html, refers in zip(*(c.to_pylist() for c in batch.columns[:4])):
+            for page, url, html, moment, refers in zip(*(c.to_pylist() for c in batch.columns[:5])):
                 out = out or open_shared(f"{name}.warc.gz", "wb")
                 payload = (html or "").encode()
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                moment = EPOCH + timedelta(seconds=(page or 0) % 10**9)
+                moment = invented_date(page) if moment is None else EPOCH + timedelta(microseconds=moment)
                 press = zlib.compressobj(1, zlib.DEFLATED, 31)
                 revisit = refers is not None
                 raw = press.compress(record(page, url, moment, payload, digest, refers, revisit)) + press.flush()
@@ -207,26 +253,32 @@ def _writer(folder: str):
                 line = "\t".join([url_key(url), f"{moment:%Y%m%d%H%M%S}", "-" if page is None else str(page), "revisit" if revisit else "response", digest, str(task), str(at), str(len(raw))]) + "\n"
                 captures.append((_key(line), line))
                 at += len(raw)
+                if len(captures) >= run_rows:
+                    end_run()
         if out:
             out.close()
-            captures.sort()
-            n, sparse = _write_run(f"{name}.cdx", captures)
-            yield _manifest([(task, f"{name}.warc.gz", f"{name}.cdx", n, sparse)])
+            if captures or not runs:
+                end_run()
+            yield _manifest(runs)
 
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0) -> DataFrame:
-    """Writes archives and sorted runs into ``folder``; one row for each file pair: task, warc, run, n, sparse."""
+def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, captured: str | None = None) -> DataFrame:
+    """Writes archives and sorted runs into ``folder``; a row for each run, the first of a task names its archive: task, seq, warc, run, n.
+
+    captured: the timestamp column that holds the time of capture, if there is one.
+    """
     spark = pages.sparkSession
     small_batches(spark, rows=500)
     html = F.coalesce(F.col("html"), F.lit(""))
-    src = pages.select(F.col("page_id").cast("long").alias("page"), "url", "html", F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("size"))
-    ids = src.where(F.col("size") >= min_revisit).select("page", "sha", "size")
-    first = ids.groupBy("sha", "size").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    later = ids.join(first.select("sha", "size", "first"), ["sha", "size"]).where(~F.col("page").eqNullSafe(F.col("first"))).select(F.col("page").alias("p"), F.col("sha").alias("s"), "first").distinct()
-    joined = src.join(later, F.col("page").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left")
-    return cut(joined.select("page", "url", "html", "first").mapInArrow(_writer(folder), _FILES))
+    moment = F.greatest(F.unix_micros(F.col(captured).cast("timestamp")), F.lit(round((FIRST - EPOCH).total_seconds() + EPOCH.timestamp()) * 10**6)) - int(EPOCH.timestamp()) * 10**6 if captured else F.lit(None).cast("long")
+    src = pages.select(F.col("page_id").cast("long").alias("page"), "url", "html", moment.alias("moment"), F.concat(F.sha1(html.cast("binary")), F.lit(":"), F.octet_length(html)).alias("payload"), F.octet_length(html).alias("size"))
+    ids = src.where(F.col("size") >= min_revisit).select("page", "payload")
+    first = cut(ids.groupBy("payload").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1 and first is not null"))
+    later = meet(ids, first, "payload").where(~F.col("page").eqNullSafe(F.col("first"))).select(F.col("page").alias("p"), F.col("payload").alias("s"), "first").distinct()
+    joined = src.join(later, F.col("page").eqNullSafe(F.col("p")) & (F.col("payload") == F.col("s")), "left")
+    return cut(joined.select("page", "url", "html", "moment", "first").mapInArrow(_writer(folder, RUN_ROWS), _FILES))
 
 
 def _merge_some(folder: str, level: int):
@@ -234,40 +286,63 @@ def _merge_some(folder: str, level: int):
         for batch in batches:
             for group, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 name = f"{folder}/merge-{level}-{group:06d}-{TaskContext.get().taskAttemptId()}.cdx"
-                n, sparse = _write_run(name, iter(LoserTree([_run_rows(r) for r in runs])))
-                yield _manifest([(group, None, name, n, sparse)])
+                yield _manifest([(group, 0, None, name, _write_run(name, iter(LoserTree([_run_rows(r) for r in runs]))))])
 
     return run
 
 
-def _merge_range(runs: list[tuple[str, list[tuple[str, int]]]]):
-    """Merges the rows of a range of URL keys out of all runs, starting in each at its sparse index."""
+def _sample(samples: int):
+    """Captures at even distances of a run: URL key, timestamp, page and the rows that each stands for."""
 
-    def slice_of(uri, sparse, lo, hi):
-        start = max((at for key, at in sparse if lo is not None and key < lo), default=0)
-        for key, line in _run_rows(uri, start):
-            if lo is not None and key[0] < lo:
-                continue
-            if hi is not None and key[0] >= hi:
-                return
-            yield key, line
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for uri, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open_shared(uri, "rb") as f:
+                    size = f.seek(0, 2)
+                    found = [_key(line) for i in range(samples) if (line := _line_after(f, size * i // samples))]
+                rows += [(key, moment, page[1], page[0], n / len(found)) for key, moment, page in found]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["url_key", "timestamp", "page", "no_page", "rows"])
+
+    return run
+
+
+def _bounds(files: DataFrame, parts: int) -> list[tuple]:
+    """Captures that cut all of them into about equal ranges: at most ``parts`` - 1 of at most FAN_IN * SAMPLES sampled ones."""
+    kinds = "url_key string, timestamp string, page long, no_page boolean, rows double"
+    rows = sorted(((r[0], r[1], (r[3], r[2])), r[4]) for r in files.select("run", "n").mapInArrow(_sample(SAMPLES), kinds).collect())
+    total, seen, cuts = sum(n for _, n in rows), 0.0, []
+    for key, n in rows:
+        if seen >= total * (len(cuts) + 1) / parts and (not cuts or key > cuts[-1]):
+            cuts.append(key)
+        seen += n
+    return cuts
+
+
+def _merge_range(runs: list[str]):
+    """Merges the captures of a range out of all runs, and counts those of each URL key within it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, lo, hi in zip(*(c.to_pylist() for c in batch.columns[:3])):
-                rows: list[list[str]] = []
-                place = 0
+                lo, hi = (None if x is None else (x["key"], x["moment"], (x["no_page"], x["page"])) for x in (lo, hi))
+                rows: list[list] = []
+                place, number, last = 0, 0, None
 
                 def out():
                     cols = list(zip(*rows))
                     ints = [pa.array([None if v == "-" else int(v) for v in cols[i]], pa.int64()) for i in (2, 5, 6, 7)]
                     return pa.RecordBatch.from_arrays(
-                        [pa.array([part] * len(rows), pa.int32()), pa.array(range(place - len(rows), place), pa.int64()), pa.array(cols[0]), pa.array(cols[1]), ints[0], pa.array(cols[3]), pa.array(cols[4]), ints[1], ints[2], ints[3]],
-                        names=["part", "place", "url_key", "timestamp", "page_id", "record_type", "digest", "task", "at", "length"],
+                        [pa.array([part] * len(rows), pa.int32()), pa.array(range(place - len(rows), place), pa.int64()), pa.array(cols[8], pa.int64()), pa.array(cols[0]), pa.array(cols[1]), ints[0], pa.array(cols[3]), pa.array(cols[4]), ints[1], ints[2], ints[3]],
+                        names=["part", "place", "number", "url_key", "timestamp", "page_id", "record_type", "digest", "task", "at", "length"],
                     )
 
-                for _, line in LoserTree([slice_of(u, s, lo, hi) for u, s in runs]):
-                    rows.append(line.rstrip("\n").split("\t"))
+                for key, line in LoserTree([_run_rows(u, lo, hi) for u in runs]):
+                    number = number + 1 if key[0] == last else 1
+                    last = key[0]
+                    rows.append([*line.rstrip("\n").split("\t"), number])
                     place += 1
                     if len(rows) == 5000:
                         yield out()
@@ -278,29 +353,51 @@ def _merge_range(runs: list[tuple[str, list[tuple[str, int]]]]):
     return run
 
 
-_HISTORY = "part int, place long, url_key string, timestamp string, page_id long, record_type string, digest string, task long, at long, length long"
+_HISTORY = "part int, place long, number long, url_key string, timestamp string, page_id long, record_type string, digest string, task long, at long, length long"
+_BOUND = "struct<key:string,moment:string,no_page:boolean,page:long>"
 
 
-def merge_index(files: DataFrame, folder: str, parts: int = 16) -> DataFrame:
-    """The capture histories in global order of (part, place): url_key, timestamp, page_id, record_type, digest, task, at, length."""
+def merge_index(files: DataFrame, folder: str, parts: int | None = None) -> DataFrame:
+    """The capture histories in global order of (part, place): number, url_key, timestamp, page_id, record_type, digest, task, at, length.
+
+    number: the capture's place, from 1, among all of its URL key.
+    """
     spark = files.sparkSession
     level = 0
-    while files.count() > FAN_IN:
-        grouped = files.groupBy((F.col("task") / FAN_IN).cast("int").alias("g")).agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    while True:
+        count, captures, seqs = files.agg(F.count(F.lit(1)), F.sum("n"), F.max("seq")).first()
+        if count <= FAN_IN:
+            break
+        group = F.floor((F.col("task").cast("long") * (seqs + 1) + F.col("seq")) / FAN_IN).cast("int")
+        grouped = files.groupBy(group.alias("g")).agg(F.sort_array(F.collect_list("run")).alias("runs"))
         files = cut(grouped.mapInArrow(_merge_some(folder, level), _FILES))
         level += 1
-    runs = [(r["run"], [(x["key"], x["at"]) for x in r["sparse"]]) for r in files.orderBy("task").collect()]  # at most FAN_IN
-    keys = list(heapq.merge(*([k for k, _ in s] for _, s in runs)))
-    cuts = sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
+    runs = [r["run"] for r in files.select("run").collect()]  # at most FAN_IN names
+    parts = parts or min(MAX_PARTS, -(-(captures or 0) // PART_ROWS) or 1)
+    cuts = [(key, moment, *page) for key, moment, page in _bounds(files, parts)] if parts > 1 else []
     ranges = list(zip(range(len(cuts) + 1), [None, *cuts], [*cuts, None]))
-    table = spark.createDataFrame(ranges, "part int, lo string, hi string").repartition(len(ranges), "part")
-    return table.mapInArrow(_merge_range(runs), _HISTORY)
+    table = spark.createDataFrame(ranges, f"part int, lo {_BOUND}, hi {_BOUND}").repartition(len(ranges), "part")
+    merged = cut(table.mapInArrow(_merge_range(runs), _HISTORY))
+    ends = merged.groupBy("part").agg(F.min("url_key").alias("first"), F.max(F.struct("place", "url_key", "number")).alias("end")).orderBy("part").collect()  # at most MAX_PARTS
+    carried, before, number = [], None, 0
+    for r in ends:
+        same = r["first"] == before
+        carried.append((r["part"], r["first"], number if same else 0))
+        before, number = r["end"]["url_key"], r["end"]["number"] + (number if same and r["end"]["url_key"] == r["first"] else 0)
+    over = F.broadcast(spark.createDataFrame(carried, "of int, key string, over long"))
+    joined = merged.join(over, (F.col("part") == F.col("of")) & (F.col("url_key") == F.col("key")), "left")
+    return joined.withColumn("number", F.col("number") + F.coalesce("over", F.lit(0))).drop("of", "key", "over")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for task, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows = []
+            rows: list[tuple] = []
+
+            def out():
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "task"])
+
             with open_shared(uri, "rb") as f:
                 for raw in members(f):
                     fields, block = parse(raw)
@@ -311,12 +408,15 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         raise ValueError(f"{uri}: payload of {fields['WARC-Record-ID']} differs from its digest")
                     ids = [None if (v := fields.get(k, f"<{_URN}->")[len(_URN) + 1 : -1]) == "-" else int(v) for k in ("WARC-Record-ID", "WARC-Refers-To")]
                     rows.append((ids[0], int(http["Content-Length"]), digest, kind, ids[1], task))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "task"])
+                    if len(rows) == 5000:
+                        yield out()
+                        rows.clear()
+            if rows:
+                yield out()
 
 
 def read_archives(files: DataFrame) -> DataFrame:
     """Every record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to, task."""
+    files = files.where("warc is not null")
     n = max(1, files.count())
     return files.select("task", "warc").repartition(n, "task").mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, task long")

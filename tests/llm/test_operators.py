@@ -11,19 +11,24 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, hashing, html_text, language_model, line_dedup, near_dedup, packing, quality, queries, secrets, suffix_dedup, warc
+from lodestrata.llm import common, decontaminate, hashing, html_text, language_model, line_dedup, near_dedup, packing, quality, queries, secrets, suffix_dedup, warc
 from lodestrata.llm.common import read, shared_dir
 
 from .. import oracle
 from . import brute
 
 SF = "/root/testdata/sf0.001"
-EXTRA = "doc_id long, text string, lang string, source string, n_chars long, d long, t string, r string, h string, k string, ws string, row string, kind string, text_hash string"
+#: Names that operators use inside, and which documents may have too.
+CLASHING = (
+    "d t r h k ws row kind text_hash gone bad bad_id _bad a b m n i j l s e x key rep comp band bands prints bottom set hub leaf chunk part task side item item_id shard rows kept score doc of at "
+    "hash hot first last place pos col value line lines runs keep n_lines n_dropped keep_runs word words n_words bucket c f g o p q u v w z label quality toxic trusted target size length start piece offset sequence_id"
+).split()
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
 def rows_of(texts):
     """Documents with columns whose names clash with those that operators use inside."""
-    return [(d, t, "en", "s", len(t or ""), 1, "x", "x", "x", None, "x", "x", "x", None) for d, t in texts]
+    return [(d, t, "en", "s", len(t or ""), *(None if c in ("k", "text_hash") else "x" for c in CLASHING)) for d, t in texts]
 
 
 def awkward():
@@ -158,6 +163,7 @@ def test_links_that_stars_miss(spark):
 
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "MEMBERS", 4)
+    monkeypatch.setattr(near_dedup, "AT_ONCE", 7)
     monkeypatch.setattr(near_dedup, "KEPT", 32)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(150)]
@@ -171,6 +177,35 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute.near_duplicates(texts)
 
 
+def test_hot_groups_of_copies(spark, monkeypatch):
+    """Keys, buckets, centres and components with more members than a task is meant to hold."""
+    monkeypatch.setattr(common, "HOT", 3)
+    for name, value in (("CHUNK", 4), ("DEALT", 8), ("AT_ONCE", 5), ("MEMBERS", 6)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = [(1000 + i, " ".join(base)) for i in range(30)]
+    for i in range(50):
+        w = list(base)
+        for _ in range(rng.randint(1, 6)):
+            w[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        texts.append((i * 7, " ".join(w)))
+    texts += [(5000 + i, f"lone text number {i} of no group at all") for i in range(10)] + [(5000, " ".join(base)), (0, ""), (3, None)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute.near_duplicates(texts)
+
+
+def test_links_at_the_threshold_are_found(spark):
+    """Pairs of exactly 75 %: 120 of 160 shingles."""
+    texts, pairs = [], 300
+    for p in range(pairs):
+        shared = [f"s{p}x{i}" for i in range(124)]  # 120 shingles
+        a, b = [f"a{p}x{i}" for i in range(20)], [f"b{p}x{i}" for i in range(20)]  # 20 more on either side
+        texts += [(2 * p, " ".join(shared + a)), (2 * p + 1, " ".join(shared + b))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sum(r["component_id"] == r["doc_id"] - 1 for r in got.where("doc_id % 2 = 1").collect()) == pairs
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
@@ -390,9 +425,10 @@ def test_probabilities_sum_to_one(spark, tmp_path):
 
 def test_warc(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FAN_IN", 2)
-    monkeypatch.setattr(warc, "SPARSE", 3)
+    monkeypatch.setattr(warc, "RUN_ROWS", 4)
+    monkeypatch.setattr(common, "HOT", 5)
     rng = random.Random(4)
-    rows = [(i, rng.choice(["http://b.example/p?x=1", "https://www.a.example:8080/", "http://a.example/q#frag", None, "not a url", "http://[bad"]), rng.choice([None, "", "<p>é</p>", f"<p>{i}</p>", "<p>same</p>"])) for i in range(60)] + [(None, "http://n.example/", "<p>same</p>"), (70, "http://t.example/\t\r\nx", "<p>tab</p>"), (5, "http://again.example/", "<p>dup id</p>")]
+    rows = [(i, rng.choice(["http://b.example/p?x=1", "https://www.a.example:8080/", "http://a.example/q#frag", None, "not a url", "http://[bad"]), rng.choice([None, "", "<p>é</p>", f"<p>{i}</p>", "<p>same</p>"])) for i in range(60)] + [(None, "http://n.example/", "<p>same</p>"), (70, "http://t.example/\t\r\nx", "<p>tab</p>"), (5, "http://again.example/", "<p>dup id</p>"), (1_000_000_003, "http://a.example/q", "<p>same</p>"), (-5, "http://a.example/q", "early"), (2**62, "http://a.example/q", "late"), (-(2**62), "http://a.example/q", "never")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, sha string").repartition(7)
     files = warc.write_archives(pages, f"file://{tmp_path}/w")
     got = warc.read_archives(files).drop("task")
@@ -409,6 +445,15 @@ def test_warc(spark, tmp_path, monkeypatch):
     history = warc.merge_index(files, f"file://{tmp_path}/w", parts=4).orderBy("part", "place").collect()
     order = [(r["url_key"], r["timestamp"], (r["page_id"] is None, r["page_id"] or 0)) for r in history]
     assert order == sorted(order) and len(order) == len(rows)
+    assert len({r["part"] for r in history}) == 4
+    seen = collections.Counter()
+    for r in history:
+        seen[r["url_key"]] += 1
+        assert r["number"] == seen[r["url_key"]]
+    dates = {r["page_id"]: r["timestamp"] for r in history}
+    assert [dates[i] for i in (-(2**62), -5, 1_000_000_003, 2**62)] == ["10000101000000", "20231231235955", "20550909014643", "99991231235959"]
+    timed = warc.write_archives(pages.withColumn("seen", F.timestamp_seconds(F.lit(86400))), f"file://{tmp_path}/c", captured="seen")
+    assert {r["timestamp"] for r in warc.merge_index(timed, f"file://{tmp_path}/c").collect()} == {"19700102000000"}
     kept = warc.write_archives(pages, f"file://{tmp_path}/v", min_revisit=5)
     assert warc.read_archives(kept).where("record_type = 'revisit' and payload_bytes < 5").count() == 0
     none = warc.write_archives(pages.where("false"), f"file://{tmp_path}/e")
@@ -565,5 +610,36 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near", "benchmark", "packing"]
 
 
+def test_arrays_of_stores_that_cannot_be_mapped(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    rng = np.random.default_rng(1)
+    kind = np.dtype([("key", "<u8"), ("n", "<i8")])
+    whole = np.zeros(5000, kind)
+    whole["key"], whole["n"] = np.sort(rng.integers(0, 3000, 5000)), rng.integers(0, 99, 5000)
+    (tmp_path / "a").write_bytes(whole.tobytes())
+    (tmp_path / "none").write_bytes(b"")
+    monkeypatch.setattr(common.StoreArray, "BLOCK", 160)
+    monkeypatch.setattr(common.StoreArray, "KEPT", 3)
+    opened = lambda name: common.StoreArray(fs.LocalFileSystem().open_input_file(str(tmp_path / name)), kind)
+    a, keys = opened("a"), np.unique(rng.integers(0, 3100, 700)).astype(np.uint64)
+    for side in ("left", "right"):
+        assert (np.searchsorted(a["key"], keys, side) == np.searchsorted(whole["key"], keys, side)).all()
+    at = rng.integers(0, 5000, 900)
+    assert (a[at] == whole[at]).all() and (a["n"][at] == whole["n"][at]).all() and (a[17:333] == whole[17:333]).all() and (np.asarray(a["n"]) == whole["n"]).all() and len(a._blocks) <= 3
+    assert len(opened("none")) == 0 and np.searchsorted(opened("none")["key"], keys).sum() == 0
+
+
+def test_counts_beyond_32_bits(tmp_path):
+    name = f"{tmp_path}/pairs"
+    keys, counts = np.array([5, 7, 9], np.uint64), np.array([2, 2**32 - 1, 2**35 + 1])
+    many = np.zeros(2, language_model.MANY)
+    many["key"], many["n"] = keys[1:], counts[1:]
+    for end, array in ((".key", keys), (".count", np.minimum(counts, int(language_model.LOW)).astype("<u4")), (".many", many)):
+        language_model._write(name + end, array)
+    model = language_model.Model(str(tmp_path), 0, [], pairs={0: name}).open()
+    assert model.pair_counts(np.array([4, 5, 7, 8, 9], np.uint64)).tolist() == [0, 2, 2**32 - 1, 0, 2**35 + 1]
+
+
 def test_shared_dir_is_the_session_setting(spark):
     assert shared_dir(spark).removeprefix("file:") == spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
