@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from lodestrata.llm.common import read, shared_dir
+from lodestrata.llm.common import cut, read, remove_shared, shared_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again, and deleted at the end."""
     docs = read(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = cut(STAGES[-1][1](spark, docs, sf_dir))
+    remove_shared(spark, at)
+    return out
