@@ -104,10 +104,17 @@ class NotesSource(DataSource):
 
 
 def read_key_values(spark: SparkSession, path: str) -> DataFrame:
-    """An entity-attribute-value table (id, key, value) as one row an id."""
-    t = spark.read.parquet(path)
-    keys = [r["key"] for r in t.select("key").distinct().orderBy("key").limit(1000).collect()]  # columns of the result
-    return t.groupBy("id").pivot("key", keys).agg(F.first("value"))
+    """An entity-attribute-value table (id, key, value) as one row an id, a column each key.
+
+    More keys than ``spark.sql.pivotMaxValues`` are an error; ``read_key_maps`` has no such limit.
+    """
+    return spark.read.parquet(path).groupBy("id").pivot("key").agg(F.first("value"))
+
+
+def read_key_maps(spark: SparkSession, path: str) -> DataFrame:
+    """An entity-attribute-value table as (id, entries), a map of all its keys; of a repeated key the smallest value."""
+    pairs = spark.read.parquet(path).where("key is not null").groupBy("id", "key").agg(F.min("value").alias("value"))
+    return pairs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("entries"))
 
 
 def export_markdown(drawers: DataFrame, path: str) -> None:
