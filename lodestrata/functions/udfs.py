@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 RANKERS: dict[str, Callable[[], Column]] = {}
 FEATURES: dict[str, tuple[str, str, Callable[[], Column]]] = {}
+EMBEDDERS: dict[str, Callable[[Column], Column]] = {}
+TRANSFORMS: dict[str, Callable[[Column], Column]] = {}
 SIMILARITIES: dict[str, Callable[[Column, Column], Column]] = {}
 STEPS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 #: Which ranker a consumer's queries use; others use the default.
@@ -39,6 +41,52 @@ def register_feature(name: str, subject: str, kind: str, compute: Callable[[], C
     FEATURES[name] = (subject, kind, compute)
 
 
+def register_embedder(name: str, embed_batch: Callable[[pd.Series], pd.Series]) -> None:
+    """An embedder of batches of texts as a column function; nulls are empty texts."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield embed_batch(texts.fillna(""))
+
+    EMBEDDERS[name] = run
+
+
+def register_similarity(name: str, similarity: Callable[[Column, Column], Column]) -> None:
+    SIMILARITIES[name] = similarity
+
+
+def register_transform(name: str, transform: Callable[[Column], Column]) -> None:
+    TRANSFORMS[name] = transform
+
+
+def transformed(text: Column, *names: str) -> Column:
+    for name in names:
+        text = TRANSFORMS[name](text)
+    return text
+
+
+def verify(assertions: DataFrame, renderer: Callable[[], Column], similarity: str, least: float) -> DataFrame:
+    """Assertions rendered as text and held against their ``evidence`` by a registered similarity."""
+    rendered = assertions.withColumn("rendered", renderer())
+    scored = rendered.withColumn("similarity", SIMILARITIES[similarity](F.col("rendered"), F.col("evidence")))
+    return scored.withColumn("supported", F.col("similarity") >= least)
+
+
+def coupling(x: Column, y: Column) -> Column:
+    """Correlation of two series as an aggregate; 0 where either is constant."""
+    r = F.corr(x, y)
+    return F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))
+
+
+def ranker_of(consumer: Column) -> Column:
+    """Name of the ranker that a consumer's queries use."""
+    out = F.lit(DEFAULT_RANKER)
+    for kind, name in DISPATCH.items():
+        out = F.when(consumer == kind, name).otherwise(out)
+    return out
+
+
 def register_step(name: str, step: Callable[[DataFrame], DataFrame]) -> None:
     STEPS[name] = step
 
@@ -75,6 +123,7 @@ def _defaults() -> None:
         register_feature(name, "node", "unit", lambda n=name: F.col(n))
     register_feature("velocity", "node", "float", lambda: F.col("velocity"))
     SIMILARITIES["jaccard"] = lambda a, b: c.jaccard(c.token_set(a), c.token_set(b), 1.0)
+    register_similarity("contained", lambda a, b: F.coalesce(F.try_divide(F.size(F.array_intersect(c.token_set(a), c.token_set(b))), F.size(c.token_set(a))), F.lit(0.0)))
     SIMILARITIES["rhyme"] = lambda a, b: c.rhyme(c.jaccard(c.token_set(a), c.token_set(b), 1.0))
 
 
@@ -100,42 +149,14 @@ def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.fillna("").map(lambda t: cold_start_vector(t).tolist())
 
 
-def blake2b_hex(size: int = 8):
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else hashlib.blake2b(t.encode(), digest_size=size).hexdigest())
-
-    return run
-
-
-def edit_distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
+register_embedder("cold_start", lambda texts: texts.map(lambda t: cold_start_vector(t).tolist()))
+register_embedder("sha256", lambda texts: texts.map(lambda t: (np.frombuffer(hashlib.sha256(t.encode()).digest(), np.uint8) / 127.5 - 1).tolist()))
 
-def spellchecker(words: list[str], names: list[str], distance: int = 1):
-    """Corrects words one edit away from a known word; names, code, numbers and capitals stay."""
-    known, keep = sorted(set(words)), {n.lower() for n in names}
-    by_length: dict[int, list[str]] = {}
-    for w in known:
-        by_length.setdefault(len(w), []).append(w)
-    lookup = set(known)
-
-    def fix(word: str) -> str:
-        low = word.lower()
-        if len(word) < 4 or low in lookup or low in keep or not word.isalpha() or word != low:
-            return word
-        near = [w for n in range(len(low) - distance, len(low) + distance + 1) for w in by_length.get(n, ()) if edit_distance(low, w) <= distance]
-        return min(near, default=word)
 
+def blake2b_hex(size: int = 8):
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
-        memory: dict[str, str] = {}
-        return texts.fillna("").map(lambda t: " ".join(memory.setdefault(w, fix(w)) for w in t.split(" ")))
+        return texts.map(lambda t: None if t is None else hashlib.blake2b(t.encode(), digest_size=size).hexdigest())
 
     return run
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,6 +43,67 @@ def asof(left: DataFrame, right: DataFrame, by: str, at: str, when: str, values:
     return both.select(*left.columns, *[F.col("_hit")[f"_{v}"].alias(v) for v in values])
 
 
+def fold_events(events: DataFrame, keys: list[str], order: list[str], start: Callable[[], Any], step: Callable, schema: str, finish: Callable | None = None, most: int = 1000) -> DataFrame:
+    """Streams each key's events, in order, through a state: ``step(state, rows) -> (state, rows out or None)``.
+
+    A task goes through sorted partitions batch by batch and calls ``step`` with at most ``most`` events, so it holds a
+    state and a chunk, never a key's history; chunks do not depend on batches.  ``finish(key, state)`` gives a last row.
+    """
+    import pandas as pd
+
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, held = None, None, []
+
+        def flush(last: bool) -> Iterator[pd.DataFrame]:
+            nonlocal state, held
+            rows = pd.concat(held) if held else None
+            at, total = 0, 0 if rows is None else len(rows)
+            while total - at >= most or (last and at < total):
+                state, out = step(state, rows.iloc[at : at + most])
+                at += most
+                if out is not None and len(out):
+                    yield out[names]
+            held = [rows.iloc[at:]] if at < total else []
+
+        def end() -> Iterator[pd.DataFrame]:
+            if now is not None:
+                yield from flush(True)
+                if finish and (row := finish(now, state)) is not None:
+                    yield pd.DataFrame([row], columns=names)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            values = list(zip(*(batch[k] for k in keys)))
+            cuts = [0, *(i for i in range(1, len(values)) if values[i] != values[i - 1]), len(values)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if values[i] != now:
+                    yield from end()
+                    now, state, held = values[i], start(), []
+                held.append(batch.iloc[i:j])
+                yield from flush(False)
+        yield from end()
+
+    return events.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def blocks_of(rows: DataFrame, most: int = 10_000) -> list[DataFrame]:
+    """A stated query set as blocks of about ``most`` rows (counted), each of which may be broadcast."""
+    blocks = max(1, -(-rows.count() // most))
+    return [rows] if blocks == 1 else [rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def with_blocks(rows: DataFrame, queries: DataFrame, join: Callable[[DataFrame, DataFrame], DataFrame], most: int = 10_000) -> DataFrame:
+    """``join(rows, block)`` over all blocks of the query set, each broadcast by itself."""
+    out = None
+    for block in blocks_of(queries, most):
+        part = join(rows, F.broadcast(block))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def keep_top(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)

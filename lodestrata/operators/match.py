@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import DAY_MS, cosine, jaccard
+from .fold import fold_events, with_blocks
 
 GATE_1, GATE_2A, GATE_2B, GATE_2C, GATE_2 = 0.4, 0.2, 0.25, 0.15, 0.3
 
@@ -45,10 +46,11 @@ def cascade(pairs: DataFrame) -> DataFrame:
 
 
 def best_semantic(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a: store, v, a stated query set (broadcast); b: store, v.  (max cosine + 1) / 2 between the vectors of two stores."""
+    """a: store, v, a stated query set (broadcast by blocks); b: store, v.  (max cosine + 1) / 2 between the vectors of two stores."""
     x = a.select(F.col("store").alias("a"), F.col("v").alias("va"))
     y = b.select(F.col("store").alias("b"), F.col("v").alias("vb"))
-    c = y.join(F.broadcast(x), F.col("a") != F.col("b")).groupBy("a", "b").agg(F.max(cosine(F.col("va"), F.col("vb"))).alias("c"))
+    part = with_blocks(y, x, lambda rows, block: rows.join(block, F.col("a") != F.col("b")).groupBy("a", "b").agg(F.max(cosine(F.col("va"), F.col("vb"))).alias("c")))
+    c = part.groupBy("a", "b").agg(F.max("c").alias("c"))
     return c.select("a", "b", F.round((F.col("c") + 1) / 2, 6).alias("semantic"))
 
 
@@ -109,21 +111,19 @@ def first_encounter(themes: DataFrame, now: DataFrame, promotions: DataFrame, si
 
 def rate_limit(requests: DataFrame, per_hour: float) -> DataFrame:
     """requests: peer, ts_ms, request.  Token bucket per peer: at most ``per_hour`` at once, refilled steadily; decided in order of time."""
-    import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "request"])
-        level, last, allowed = per_hour, None, []
-        for ts in pdf["ts_ms"]:
+    def step(state, rows):
+        (level, last), allowed = state, []
+        for ts in rows["ts_ms"].tolist():
             if last is not None:
                 level = min(per_hour, level + (ts - last) * per_hour / 3_600_000)
             last = ts
             ok = level >= 1
             level -= ok
             allowed.append(ok)
-        return pdf.assign(allowed=allowed)
+        return (level, last), rows.assign(allowed=allowed)
 
-    return requests.select("peer", "ts_ms", "request").groupBy("peer").applyInPandas(run, "peer long, ts_ms long, request long, allowed boolean")
+    return fold_events(requests.select("peer", "ts_ms", "request"), ["peer"], ["ts_ms", "request"], lambda: (per_hour, None), step, "peer long, ts_ms long, request long, allowed boolean")
 
 
 def window_rank(df: DataFrame, by: list[str], *order: Column) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import SPACE, clamp, contains_any, cosine, count_contained, first_max, jaccard
+from .fold import with_blocks
+from .graph import components
 
 # Keywords of the enrichment pass.
 MEMORY_TYPES = {
@@ -117,10 +119,13 @@ def feedback_loss(events: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def resolve_canonical(surfaces: DataFrame, canon: DataFrame, threshold: float) -> DataFrame:
-    """surfaces: id, surface, v; canon: canonical_id, name, cv (a small table).  Exact name, else the most similar above the threshold."""
-    exact = surfaces.join(F.broadcast(canon.select(F.col("canonical_id").alias("exact"), F.lower(F.trim("name")).alias("n"))), F.lower(F.trim("surface")) == F.col("n"), "left").drop("n")
-    near = exact.join(F.broadcast(canon)).withColumn("s", F.round(cosine(F.col("v"), F.col("cv")), 6))
-    best = near.groupBy("id").agg(F.max(F.struct("s", (-F.col("canonical_id")).alias("c"))).alias("b"), F.first("exact").alias("exact"))
+    """surfaces: id, surface, v; canon: canonical_id, name, cv (broadcast by blocks).  Exact name, else the most similar above the threshold."""
+    exact = surfaces.join(canon.select(F.col("canonical_id").alias("exact"), F.lower(F.trim("name")).alias("n")), F.lower(F.trim("surface")) == F.col("n"), "left").drop("n")
+    def nearest(rows: DataFrame, block: DataFrame) -> DataFrame:
+        near = rows.join(block).withColumn("s", F.round(cosine(F.col("v"), F.col("cv")), 6))
+        return near.groupBy("id").agg(F.max(F.struct("s", (-F.col("canonical_id")).alias("c"))).alias("b"), F.first("exact").alias("exact"))
+
+    best = with_blocks(exact, canon, nearest).groupBy("id").agg(F.max("b").alias("b"), F.first("exact").alias("exact"))
     similar = F.when(F.col("b.s") >= threshold, -F.col("b.c"))
     return best.select("id", F.coalesce("exact", similar).alias("canonical_id"), F.when(F.col("exact").isNotNull(), "exact").when(similar.isNotNull(), "similar").otherwise("candidate").alias("how"))
 
@@ -133,6 +138,44 @@ def promotions(members: DataFrame) -> DataFrame:
     return size.join(mode, "cluster").where((F.col("members") >= PROMOTION_MEMBERS) & (F.col("passes") >= PROMOTION_PASSES))
 
 
+# Patterns of names and addresses of robots among authors of commits.
+BOT_NAMES = (
+    r"\[bot\]", r"^dependabot", r"^renovate", r"^github-actions", r"^actions-user", r"-bot$", r"\bbot$", r"^bot-", r"^snyk", r"^greenkeeper", r"^semantic-release", r"^allcontributors",
+    r"-autoroll$", r"^auto-format", r"^pre-commit-ci",
+)
+BOT_EMAILS = (r"bot@", r"-bot@", r"\[bot\]@")
+
+
+def is_bot(name: Column, email: Column) -> Column:
+    return F.lower(name).rlike("|".join(BOT_NAMES)) | F.lower(email).rlike("|".join(BOT_EMAILS))
+
+
+def scan_projects(commits: DataFrame, name: str, email: str, top: int = 5, share: float = 0.1, many: int = 20) -> DataFrame:
+    """commits: repo, name, email, a row a commit.  repo, total, mine, is_mine, without robots.
+
+    A project is the user's if they are among its ``top`` authors, or made a fair share or many of its commits.
+    """
+    human = commits.where(~is_bot(F.col("name"), F.col("email")))
+    own = (F.col("name") == name) | (F.col("email") == email)
+    totals = human.groupBy("repo").agg(F.count(F.lit(1)).alias("total"), F.sum(own.cast("long")).alias("mine"))
+    authors = human.groupBy("repo", "name").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("n"), "name"))
+    first = authors.withColumn("place", place).where((F.col("place") <= top) & (F.col("name") == name)).select("repo", F.lit(True).alias("leads"))
+    known = F.coalesce("leads", F.lit(False)) | (F.col("mine") / F.col("total") >= share) | (F.col("mine") >= many)
+    return totals.join(first, "repo", "left").select("repo", "total", "mine", ((F.col("mine") > 0) & known).alias("is_mine"))
+
+
+def merge_people(commits: DataFrame) -> DataFrame:
+    """commits: name, email.  Persons, as sets of names and addresses that commits tie together: person, commits, names, most frequent name."""
+    human = commits.where(~is_bot(F.col("name"), F.col("email")))
+    counted = human.groupBy("name", "email").agg(F.count(F.lit(1)).alias("n"))
+    node = F.concat(F.lit("n:"), "name")
+    comp = components(counted.select(node.alias("a"), F.concat(F.lit("e:"), "email").alias("b")).distinct())
+    named = counted.groupBy("name").agg(F.sum("n").alias("n")).withColumn("node", node).join(comp, "node")
+    # a component's smallest node may be an address
+    return named.groupBy(F.col("component").alias("person")).agg(F.sum("n").alias("commits"), F.count(F.lit(1)).alias("names"), F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("name"))
+
+
 def mean_vectors(vectors: DataFrame, by: list[str]) -> DataFrame:
     """Element-wise means, a row per position until the last step, so partial sums combine map-side."""
     p = vectors.select(*by, F.posexplode("v").alias("i", "x")).groupBy(*by, "i").agg(F.avg("x").alias("x"))

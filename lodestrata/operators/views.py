@@ -9,31 +9,32 @@ from ..functions.columns import DAY_MS, SPACE
 from .fold import last_where, latest_wins, since_create
 
 DEFAULT_HEAT, BUMP, HEAT_CAP, CANON_FLOOR, HEAT_HALF_LIFE = 0.5, 0.05, 1.0, 0.95, 30.0
+NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"
 SELF_ENTITY = "ent_self_self0000"
 
 
-def current_nodes(log: DataFrame) -> DataFrame:
-    """log: offset, kind, node_id, field, value, k.  The state of each node since its last creation."""
-    live = since_create(log.where(F.col("kind").isin("node_created", "node_property_set")), "node_id", F.col("kind") == "node_created")
-    is_set = F.col("kind") == "node_property_set"
+def current_nodes(events: DataFrame) -> DataFrame:
+    """events: offset, kind, node_id, field, value (JSON text).  The state of each node since its last creation.
 
-    def field(name: str) -> Column:
-        return is_set & (F.col("field") == name)
-
-    return live.groupBy("node_id", F.col("created").alias("created_offset")).agg(
-        F.max("offset").alias("modified_offset"),
-        F.coalesce(last_where(F.col("value") >= 30, field("canonical")), F.lit(False)).alias("canonical"),
-        F.round(F.coalesce(last_where(F.col("value") / 100, field("importance")), last_where(F.col("value") / 100, F.col("kind") == "node_created")), 6).alias("importance"),
-        last_where(F.concat(F.lit("p"), F.col("k")), field("canon_path")).alias("canon_path"),
-        F.count_distinct(F.when(is_set, F.col("field"))).alias("n_properties"),
-    )
+    Every set lands in ``properties`` (field to JSON text, the latest); a creation may set a field as well.  canonical and
+    importance are lifted only from a boolean and a number; a canon_path that is no string is null.
+    """
+    live = since_create(events.where(F.col("kind").isin("node_created", "node_property_set")), "node_id", F.col("kind") == "node_created")
+    last = live.groupBy("node_id", F.col("created").alias("created_offset"), "field").agg(
+        F.max("offset").alias("modified"), last_where(F.col("value"), F.lit(True)).alias("value"),
+        last_where(F.col("value"), F.col("value").isin("true", "false")).alias("flag"), last_where(F.col("value"), F.col("value").rlike(NUMBER)).alias("number"),
+    )
 
+    def of(name: str, value: Column) -> Column:
+        return F.max(F.when(F.col("field") == name, value))
 
-def edge_events(log: DataFrame) -> DataFrame:
-    """Edge lifecycle events read off the log: views create, errors invalidate, sign-ups revalidate."""
-    kind = F.when(F.col("event_type") == "view", "created").when(F.col("event_type") == "error", "invalidated").when(F.col("event_type") == "signup", "revalidated")
-    edge = F.concat_ws("-", F.lit("e"), F.col("node_id"), F.col("k") % 10)
-    return log.select("offset", "ts_ms", kind.alias("kind"), edge.alias("edge_id"), "node_id", "k", F.round("value", 4).alias("weight")).where("kind is not null")
+    return last.groupBy("node_id", "created_offset").agg(
+        F.max("modified").alias("modified_offset"),
+        F.coalesce(of("canonical", F.col("flag") == "true"), F.lit(False)).alias("canonical"),
+        of("importance", F.col("number").cast("double")).alias("importance"),
+        of("canon_path", F.when(F.col("value").startswith('"'), F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"])).alias("canon_path"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "value"))))).alias("properties"),
+    )
 
 
 def current_edges(events: DataFrame) -> DataFrame:
@@ -52,10 +53,8 @@ def current_interpretations(log: DataFrame) -> DataFrame:
     return latest_wins(sets, ["node_id", "field"]).withColumn("interpretation_id", F.concat_ws("::", "node_id", "field"))
 
 
-def current_schemas(log: DataFrame) -> DataFrame:
-    """Schema inductions read off purchases: schema k, superseding 7 k mod 100 when the value is above 50."""
-    supersedes = F.when(F.col("value") > 50, (F.col("k") * 7) % 100)
-    induced = log.where("event_type = 'purchase'").select(F.col("k").alias("schema_id"), "offset", supersedes.alias("supersedes"), F.round("value", 4).alias("stability"))
+def current_schemas(induced: DataFrame) -> DataFrame:
+    """induced: schema_id, offset, supersedes and more.  The latest induction of each schema."""
     return latest_wins(induced, ["schema_id"])
 
 
@@ -147,11 +146,6 @@ def canon_set(log: DataFrame) -> DataFrame:
     return folded.where("canonical").select("node_id", "canon_path", "since_offset")
 
 
-def contradiction_events(log: DataFrame) -> DataFrame:
-    edge = F.concat_ws("-", F.lit("x"), F.col("node_id"), F.col("k") % 5)
-    return log.where("event_type in ('error', 'signup')").select(edge.alias("edge_id"), "offset", F.when(F.col("event_type") == "error", "asserted").otherwise("resolved").alias("kind"))
-
-
 def open_contradictions(events: DataFrame) -> DataFrame:
     """Asserted edges that were never resolved."""
     asserted = events.where("kind = 'asserted'").groupBy("edge_id").agg(F.max("offset").alias("asserted_offset"), F.count(F.lit(1)).alias("times"))
@@ -170,14 +164,6 @@ def pending_review(log: DataFrame) -> DataFrame:
     return last.select(F.concat_ws("_", F.lit("pri"), "category", "ref").alias("item_id"), "category", "ref", F.col("offset").alias("added_offset"))
 
 
-def match_events(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requests (views) and findings (clicks) by match id."""
-    match = F.concat_ws("-", F.lit("m"), F.col("node_id"), F.col("k"))
-    request = log.where("event_type = 'view'").select(match.alias("match_id"), "offset", F.col("node_id").alias("requester"), (F.col("k") % 20).alias("target"), F.col("ts_ms").alias("requested_at"))
-    finding = log.where("event_type = 'click'").select(match.alias("match_id"), "offset", F.col("ts_ms").alias("completed_at"), F.round("value", 4).alias("strength"))
-    return latest_wins(request, ["match_id"]).drop("offset"), latest_wins(finding, ["match_id"]).drop("offset")
-
-
 def iso_week(ms: Column) -> Column:
     at = F.timestamp_millis(ms)
     return F.concat(F.extract(F.lit("YEAROFWEEK"), at).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(at).cast("string"), 2, "0"))

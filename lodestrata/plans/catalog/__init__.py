@@ -1,3 +1,3 @@
 """Queries and their SQL oracles, by family."""
 
-from . import graph, ingest, logs, match, mine, retrieve, rules, store, streams, text, views  # noqa: F401
+from . import extend, graph, ingest, logs, match, mine, retrieve, rules, store, streams, text, views  # noqa: F401

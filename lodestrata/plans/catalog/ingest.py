@@ -8,6 +8,7 @@ from ...operators import context as M
 from ...operators import derived as H
 from ...operators import ingest as C
 from ...sources.tables import NOW_MS
+from ...operators.retrieve import STANCE_FIELDS, STANCES
 from ..registry import query
 
 _DAY = 86_400_000
@@ -68,7 +69,7 @@ def _(t):
     return d.select("conv_id", F.size(C.split_entries(F.col("text"))).cast("long").alias("entries"))
 
 
-@query("c07_normalize_chat")
+@query("c07_normalize_chat", "turns", "SELECT conv_id AS file, count(*) AS messages, sum(length(text))::BIGINT AS chars FROM turns GROUP BY conv_id")
 def _(t):
     as_list = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))))
     docs = t.turns.groupBy(F.col("conv_id").alias("file")).agg(as_list.alias("value")).withColumn("kind", F.lit("messages"))
@@ -200,7 +201,7 @@ def _(t):
     return M.weighted_by_rate(f, "node_id", ["recency", "heat", "canonicality"])
 
 
-@query("m01_stances")
+@query("m01_stances", None, "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {', '.join(f'{x}::DOUBLE' for x in v)})" for k, v in STANCES.items()) + f") v(consumer, {', '.join(STANCE_FIELDS)})")
 def _(t):
     from ...operators.retrieve import stances
 

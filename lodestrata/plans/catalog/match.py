@@ -130,6 +130,13 @@ def _(t):
     return M.first_encounter(scored("k"), scored("node_id", "click"), scored("node_id", "purchase"))
 
 
-@query("f16_rate_limit")
+RATE_LIMIT = (
+    """r AS MATERIALIZED (SELECT node_id % 5 AS peer, ts_ms, "offset" AS request, row_number() OVER (PARTITION BY node_id % 5 ORDER BY ts_ms, "offset") AS i FROM log)""",
+    """bucket AS (SELECT peer, ts_ms, request, i, 0.0::DOUBLE AS level, true AS allowed FROM r WHERE i = 1 UNION ALL SELECT peer, ts_ms, request, i, CASE WHEN x >= 1 THEN x - 1 ELSE x END, x >= 1 FROM (
+  SELECT r.*, least(1.0::DOUBLE, b.level + (r.ts_ms - b.ts_ms) * 1.0::DOUBLE / 3600000) AS x FROM bucket b JOIN r ON r.peer = b.peer AND r.i = b.i + 1))""",
+)
+
+
+@query("f16_rate_limit", "log", "SELECT peer, ts_ms, request, allowed FROM bucket", *RATE_LIMIT, recursive=True)
 def _(t):
     return M.rate_limit(t.log.select((F.col("node_id") % 5).alias("peer"), "ts_ms", F.col("offset").alias("request")), 1.0)

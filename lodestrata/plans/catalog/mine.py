@@ -73,13 +73,16 @@ def _(t):
     return t.drawers.select(F.explode(F.array("wing", "room", F.concat_ws("/", "wing", "room"))).alias("theme")).groupBy("theme").agg(F.count(F.lit(1)).alias("drawers"))
 
 
-@query("n06_schema_induction", "log", """SELECT coalesce(a.shape, b.shape) AS shape, coalesce(n, 0) AS n, coalesce(was, 0) AS was, CASE WHEN coalesce(was, 0) = 0 THEN 'new' WHEN coalesce(n, 0) = 0 THEN 'broken' WHEN abs(n - was) / was < 0.5 THEN 'stable' ELSE 'drifting' END AS status
-  FROM (SELECT shape, count(*) AS n FROM s WHERE "offset" >= 4000 GROUP BY shape HAVING count(*) >= 3) a FULL JOIN (SELECT shape, count(*) AS was FROM s WHERE "offset" < 4000 AND shape NOT LIKE '%error' GROUP BY shape) b ON a.shape = b.shape""",
-    """s AS (SELECT concat(node_id % 12, '|', k % 5, '|', event_type) AS shape, "offset" FROM log WHERE NOT (event_type = 'click' AND "offset" >= 4000))""")
+_SPLIT = 4000  # the offset at which the second period begins
+
+
+@query("n06_schema_induction", "log", f"""SELECT coalesce(a.shape, b.shape) AS shape, coalesce(n, 0) AS n, coalesce(was, 0) AS was, CASE WHEN coalesce(was, 0) = 0 THEN 'new' WHEN coalesce(n, 0) = 0 THEN 'broken' WHEN abs(n - was) / was < 0.5 THEN 'stable' ELSE 'drifting' END AS status
+  FROM (SELECT shape, count(*) AS n FROM s WHERE "offset" >= {_SPLIT} GROUP BY shape HAVING count(*) >= 3) a FULL JOIN (SELECT shape, count(*) AS was FROM s WHERE "offset" < {_SPLIT} GROUP BY shape) b ON a.shape = b.shape""",
+    """s AS (SELECT concat(node_id % 12, '|', k % 5, '|', event_type) AS shape, "offset" FROM log)""")
 def _(t):
-    s = t.log.where(~((F.col("event_type") == "click") & (F.col("offset") >= 4000))).select(F.concat_ws("|", F.col("node_id") % 12, F.col("k") % 5, "event_type").alias("shape"), "offset")
-    before = s.where("offset < 4000").where(~F.col("shape").endswith("error")).groupBy("shape").agg(F.count(F.lit(1)).alias("was"))
-    return N.induce_schemas(s.where("offset >= 4000").select("shape"), before)
+    s = t.log.select(F.concat_ws("|", F.col("node_id") % 12, F.col("k") % 5, "event_type").alias("shape"), "offset")
+    before = s.where(F.col("offset") < _SPLIT).groupBy("shape").agg(F.count(F.lit(1)).alias("was"))
+    return N.induce_schemas(s.where(F.col("offset") >= _SPLIT).select("shape"), before)
 
 
 @query("n07_auto_promotion", "log", """SELECT node_id AS key, arg_min(value, "offset") / 50 AS confidence, count(*) FILTER (event_type = 'click') AS confirmed, count(*) FILTER (event_type = 'error' AND k < 5) AS rejected,
@@ -178,7 +181,15 @@ def _(t):
     return N.triage(a).select("pair", "score", "passed")
 
 
-@query("n14_triage_feedback")
+_CUT = {a: f"CASE WHEN m.{a} >= 0.5 THEN greatest({w * N.TRIAGE_FLOOR!r}::DOUBLE, w.{a} * {N.TRIAGE_FACTOR}::DOUBLE) ELSE w.{a} END" for a, w in N.TRIAGE.items()}
+_CUTS = ", ".join(f"{x} AS {a}" for a, x in _CUT.items())
+_SUM = " + ".join(N.TRIAGE)
+
+
+@query("n14_triage_feedback", "log", f"""SELECT user, {', '.join(f'round(arg_max({a}, i), 6) AS {a}' for a in N.TRIAGE)} FROM w WHERE i > 0 GROUP BY user""",
+    "moves AS MATERIALIZED (SELECT node_id AS user, row_number() OVER (PARTITION BY node_id ORDER BY \"offset\") AS i, " + ", ".join(f"((k * {i + 1}) % 100) / 100 AS {a}" for i, a in enumerate(N.TRIAGE)) + " FROM log WHERE event_type = 'error')",
+    f"""w AS (SELECT DISTINCT user, 0::BIGINT AS i, {', '.join(f'{x}::DOUBLE AS {a}' for a, x in N.TRIAGE.items())} FROM moves UNION ALL SELECT user, i, {', '.join(f'{a} / ({_SUM})' for a in N.TRIAGE)} FROM (SELECT w.user, m.i, {_CUTS} FROM w JOIN moves m ON m.user = w.user AND m.i = w.i + 1))""",
+    recursive=True)
 def _(t):
     fp = t.log.where("event_type = 'error'").select(F.col("node_id").alias("user"), "offset", *[(((F.col("k") * (i + 1)) % 100) / 100).alias(x) for i, x in enumerate(N.TRIAGE)])
     return N.triage_feedback(fp)

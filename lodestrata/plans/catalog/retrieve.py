@@ -79,9 +79,10 @@ def _(t):
     return _scored(t).select("node_id", "consumer", F.round("base", 6).alias("score"))
 
 
-@query("r13_exploration")
+@query("r13_exploration", "log", f"""SELECT node_id, consumer, round(greatest(0, least(1, base + (('0x' || substr(sha256(concat(node_id, ':', consumer, ':', CAST(round(round(base, 6) * 1000000) AS BIGINT))), 1, 16))::UBIGINT::DOUBLE / 18446744073709551615::DOUBLE * 2 - 1) * entropy * {R.NOISE})), 6) AS score FROM scored""", HEAT, _FEATURES, _STANCE, _FACTORED)
 def _(t):
-    seed = F.concat_ws(":", "node_id", "consumer", F.round("base", 6))
+    # millionths, since engines write decimals differently
+    seed = F.concat_ws(":", "node_id", "consumer", F.round(F.round("base", 6) * 1_000_000).cast("long"))
     noisy = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("base") + R.exploration_noise(seed, F.col("entropy"))))
     return _scored(t).select("node_id", "consumer", F.round(noisy, 6).alias("score"))
 

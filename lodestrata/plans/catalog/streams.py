@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions import udfs as U
 from ...operators import explore as P
+from ...operators import text as X
 from ...streaming import views as S
 from ...streaming.views_registry import Bridge
 from ...operators.retrieve import stances
@@ -14,6 +15,7 @@ from .retrieve import _FACTORED as R_FACTORED
 from .retrieve import _FEATURES as R_FEATURES
 from .retrieve import _NEURAL as R_NEURAL
 from .retrieve import _STANCE as R_STANCE
+from .match import RATE_LIMIT
 from .retrieve import features
 from .views import HEAT
 
@@ -44,12 +46,13 @@ def _(t):
     return S.drain(S.unseen(_log(t), "offset", "ts"), "append").groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("h09_session_stream")
+@query("h09_session_stream", "log", """SELECT CAST(make_timestamp(min(ts_ms) * 1000) AS TIMESTAMP) AS begun, node_id, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY node_id ORDER BY ts_ms, "offset") AS session FROM (
+  SELECT *, coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY node_id ORDER BY ts_ms, "offset") > 7200000, true)::INT AS new FROM log)) GROUP BY node_id, session""")
 def _(t):
-    return S.drain(S.sessions(_log(t)), "complete")
+    return S.drain(S.sessions(_log(t)), "complete").withColumn("begun", F.date_trunc("millisecond", "begun").cast("timestamp_ntz"))
 
 
-@query("f16_rate_limit_stream")
+@query("f16_rate_limit_stream", "log", 'SELECT peer, request AS "offset", allowed FROM bucket', *RATE_LIMIT, recursive=True)
 def _(t):
     return S.drain(S.rate_limit(_log(t), 1.0), "append")
 
@@ -130,10 +133,18 @@ def _(t):
     return P.match_patterns(t.drawers, "doc_id", patterns)
 
 
-@query("x22_spellcheck")
+_KNOWN, _NAMES = ("there", "other", "ring", "small"), ("Thor",)
+_FIX = "coalesce(fixed, w)"
+
+
+@query("x22_spellcheck", None, rf"""WITH known AS (SELECT unnest([{', '.join(f"'{w}'" for w in _KNOWN)}]) AS k), tokens AS (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS p FROM documents)),
+  odd AS (SELECT DISTINCT w FROM tokens WHERE length(w) >= 4 AND regexp_full_match(w, '\p{{L}}+') AND w = lower(w) AND w NOT IN ({', '.join(f"'{w}'" for w in (*_KNOWN, 'thor'))})), fixes AS (SELECT w, min(k) AS fixed FROM odd, known WHERE levenshtein(w, k) <= 1 GROUP BY w)
+  SELECT doc_id, md5(string_agg({_FIX}, ' ' ORDER BY i)) AS digest, count(fixed) AS fixed FROM tokens LEFT JOIN fixes USING (w) GROUP BY doc_id""")
 def _(t):
-    fix = U.spellchecker(["there", "other", "ring", "small"], ["Thor"])
-    return t.drawers.select("doc_id", F.length(fix(F.col("text"))).alias("chars"))
+    fixed = X.spellcheck(t.drawers, "doc_id", list(_KNOWN), list(_NAMES)).select("doc_id", F.split("text", " ").alias("new"), "text")
+    old = t.drawers.select("doc_id", F.split(F.coalesce("text", F.lit("")), " ").alias("old"))
+    changed = F.size(F.filter(F.arrays_zip("old", "new"), lambda x: x["old"] != x["new"])).cast("long")
+    return fixed.join(old, "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), changed.alias("fixed"))
 
 
 @query("x26_embed")

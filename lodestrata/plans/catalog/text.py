@@ -7,19 +7,21 @@ from pyspark.sql.window import Window
 
 from ...functions.columns import cosine, hashed_set, jaccard, rhyme
 from ...operators import text as X
+from ...operators.fold import with_blocks
 from ..registry import query
 
 W = r"list_filter(regexp_split_to_array(lower({0}), '[ \t\n\r\f\v]+'), lambda x: x <> '')"
 S = "list_distinct(" + W + ")"
 JAC = "CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN {e} ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END"
-_PAIRS = f"""pairs AS (SELECT b.item_id AS a, d.doc_id AS b, b.text AS ta, d.text AS tb, {S.format('b.text')} AS wa, {S.format('d.text')} AS wb FROM benchmark b, documents d)"""
+_PAIRS = """asked AS MATERIALIZED (SELECT item_id AS a, text AS ta FROM benchmark), texts AS MATERIALIZED (SELECT doc_id AS b, text AS tb FROM documents), pairs AS (SELECT * FROM asked, texts)"""
 
 
 def pairs(t):
     """Every benchmark item, a stated query set, with every document; what belongs to one side is computed before they meet."""
     text = F.col("text")
     b = t.queries.select(F.col("item_id").alias("a"), hashed_set(text).alias("wa"), X.keywords(text).alias("kw"), X.person_names(text).alias("names"))
-    return t.drawers.select(F.col("doc_id").alias("b"), F.lower(text).alias("low"), hashed_set(text).alias("wb")).join(F.broadcast(b))
+    docs = t.drawers.select(F.col("doc_id").alias("b"), F.lower(text).alias("low"), hashed_set(text).alias("wb"))
+    return with_blocks(docs, b, lambda rows, block: rows.join(block))
 
 
 def _overlaps(t):
@@ -70,8 +72,9 @@ def _(t):
     return X.cluster_by_rhyme(t.raw("documents").select(F.col("doc_id").alias("id"), "text"), 0.3)
 
 
-@query("x04_near_duplicates", None, f"""WITH i AS (SELECT doc_id AS id, {S.format('text')} AS words, doc_id * 2000 AS ts FROM documents)
-  SELECT a, b, similarity FROM (SELECT x.id AS a, y.id AS b, round({JAC.format(a='x.words', b='y.words', e='1.0')}, 6) AS similarity FROM i x JOIN i y ON x.id < y.id AND y.ts - x.ts <= 300000) WHERE similarity >= 0.85""")
+@query("x04_near_duplicates", None, f"""WITH i AS MATERIALIZED (SELECT *, len(words) AS n FROM (SELECT doc_id AS id, {S.format('text')} AS words FROM documents)),
+  p AS (SELECT x.id AS a, y.id AS b, x.n + y.n AS total, len(list_intersect(x.words, y.words)) AS shared FROM i x JOIN i y ON y.id BETWEEN x.id + 1 AND x.id + 150 AND least(x.n, y.n) >= 0.85 * greatest(x.n, y.n))
+  SELECT a, b, similarity FROM (SELECT a, b, round(CASE WHEN total = 0 THEN 1.0 ELSE shared / (total - shared) END, 6) AS similarity FROM p) WHERE similarity >= 0.85""")
 def _(t):
     return X.near_duplicates(t.drawers.select(F.col("doc_id").alias("id"), hashed_set(F.col("text")).alias("words"), (F.col("doc_id") * 2000).alias("ts")))
 
@@ -88,12 +91,18 @@ def _sketches(t):
     return X.graph_sketch(e)
 
 
-@query("x07_graph_sketch")
+_EDGE_W = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in X.EDGE_WEIGHTS.items()) + " ELSE 2 END"
+_SKETCH = f"""steps AS (SELECT DISTINCT node_id AS owner, concat(k % 8, '|', kind, '|', CAST(floor(value / 10) AS BIGINT)) AS step, {_EDGE_W} AS w FROM (SELECT node_id, k, value, CASE WHEN event_type = 'view' THEN 'derived_from' ELSE event_type END AS kind FROM log)),
+  minima AS (SELECT step, s, min(('0x' || substr(md5(concat(s, '|', step, '|', copy)), 1, 15))::BIGINT) AS h FROM (SELECT DISTINCT step, w FROM steps), range(128) r(s), range(1, 9) c(copy) WHERE copy <= w GROUP BY step, s),
+  sketch AS (SELECT owner, s, min(h) AS h FROM steps JOIN minima USING (step) GROUP BY owner, s)"""
+
+
+@query("x07_graph_sketch", "log", "SELECT owner, string_agg(CAST(h AS VARCHAR), ',' ORDER BY s) AS head FROM sketch WHERE s < 8 GROUP BY owner", _SKETCH)
 def _(t):
     return _sketches(t).select("owner", F.array_join(F.transform(F.slice("sketch", 1, 8), lambda x: x.cast("string")), ",").alias("head"))
 
 
-@query("x08_sketch_jaccard")
+@query("x08_sketch_jaccard", "log", "SELECT a.owner AS a, b.owner AS b, round(avg((a.h = b.h)::INT::DOUBLE), 6) AS similarity FROM sketch a JOIN sketch b ON b.owner = a.owner + 1 AND a.s = b.s GROUP BY 1, 2", _SKETCH)
 def _(t):
     s = _sketches(t)
     a, b = s.select(F.col("owner").alias("a"), F.col("sketch").alias("sa")), s.select((F.col("owner") - 1).alias("a"), F.col("owner").alias("b"), F.col("sketch").alias("sb"))
@@ -134,7 +143,7 @@ def _(t):
     return pairs(t).select("a", "b", F.round(X.contained_share(F.col("names"), F.col("low")), 6).alias("boost"))
 
 
-@query("x13_fused_distance", None, f"WITH {_PAIRS}, {_KEYED} SELECT a, b, round((1 - {_J}) * (1 - 0.3 * {_OVER}), 6) AS distance FROM (SELECT k.*, wa, wb FROM keyed k JOIN pairs USING (a, b))")
+@query("x13_fused_distance", None, f"""WITH {_TERMS}, {_PAIRS}, {_KEYED} SELECT a, b, round((1 - coalesce(j, 0)) * (1 - 0.3 * {_OVER}), 6) AS distance FROM keyed LEFT JOIN (SELECT a, b, k / (ka + kb - k) AS j FROM full_) USING (a, b)""")
 def _(t):
     return pairs(t).select("a", "b", F.round(X.fuse(1 - jaccard(F.col("wa"), F.col("wb"), 1.0), X.keyword_overlap(F.col("kw"), F.col("low"))), 6).alias("distance"))
 
@@ -151,7 +160,7 @@ def _(t):
   SELECT qid, label, v.vec_id, round(1 - list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q)), 6) AS distance FROM vectors v, (SELECT vec_id AS qid, v AS q FROM vectors WHERE vec_id % 50 = 0)) GROUP BY qid, label)""")
 def _(t):
     asked = t.vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("v").alias("q"))
-    n = t.vectors.join(F.broadcast(asked)).select("qid", "vec_id", F.col("label").alias("corpus"), F.round(1 - cosine(F.col("q"), F.col("v")), 6).alias("distance"))
+    n = with_blocks(t.vectors, asked, lambda rows, block: rows.join(block)).select("qid", "vec_id", F.col("label").alias("corpus"), F.round(1 - cosine(F.col("q"), F.col("v")), 6).alias("distance"))
     best = n.groupBy("qid", "corpus").agg(F.min_by("vec_id", F.struct("distance", "vec_id")).alias("vec_id"), F.min("distance").alias("distance"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id")))
 

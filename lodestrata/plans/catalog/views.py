@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import views as V
+from ...sources import fixtures as X
 from ...sources.tables import NOW_MS
 from ..registry import query
 
-_CREATED = """live AS (SELECT * FROM (SELECT *, max(CASE WHEN kind = 'node_created' THEN "offset" END) OVER (PARTITION BY node_id) AS created FROM log
-  WHERE kind IN ('node_created', 'node_property_set')) WHERE "offset" >= created)"""
+_NODE_EVENTS = """node_events AS (SELECT "offset", kind, node_id, field, CASE field WHEN 'importance' THEN concat('0.', lpad(CAST(k AS VARCHAR), 2, '0')) WHEN 'canonical' THEN CASE WHEN k % 4 = 3 THEN '1' WHEN value >= 30 THEN 'true' ELSE 'false' END
+  ELSE CASE WHEN k % 5 = 0 THEN '7' ELSE concat('"p', k, '"') END END AS value FROM (SELECT * REPLACE (CASE WHEN kind = 'node_created' THEN 'importance' ELSE field END AS field) FROM log WHERE kind IN ('node_created', 'node_property_set')))"""
+_CREATED = """live AS (SELECT * FROM (SELECT *, max(CASE WHEN kind = 'node_created' THEN "offset" END) OVER (PARTITION BY node_id) AS created FROM node_events) WHERE "offset" >= created)"""
 
 
 @query("v01_current_nodes", "log", """
-SELECT node_id, created AS created_offset, max("offset") AS modified_offset,
-  coalesce(arg_max(value >= 30, "offset") FILTER (kind = 'node_property_set' AND field = 'canonical'), false) AS canonical,
-  round(coalesce(arg_max(value / 100, "offset") FILTER (kind = 'node_property_set' AND field = 'importance'), arg_max(value / 100, "offset") FILTER (kind = 'node_created')), 6) AS importance,
-  arg_max(concat('p', k), "offset") FILTER (kind = 'node_property_set' AND field = 'canon_path') AS canon_path,
-  count(DISTINCT field) FILTER (kind = 'node_property_set') AS n_properties
-FROM live GROUP BY node_id, created""", _CREATED)
+SELECT node_id, created_offset, modified_offset, canonical, importance, canon_path, n_properties, properties FROM (SELECT node_id, created AS created_offset, max("offset") AS modified_offset,
+  coalesce(arg_max(value = 'true', "offset") FILTER (field = 'canonical' AND value IN ('true', 'false')), false) AS canonical,
+  arg_max(TRY_CAST(value AS DOUBLE), "offset") FILTER (field = 'importance') AS importance,
+  nullif(trim(arg_max(CASE WHEN value LIKE '"%' THEN value ELSE '' END, "offset") FILTER (field = 'canon_path'), '"'), '') AS canon_path FROM live GROUP BY node_id, created)
+JOIN (SELECT node_id, count(*) AS n_properties, string_agg(concat(field, '=', value), ';' ORDER BY field) AS properties FROM (SELECT node_id, field, arg_max(value, "offset") AS value FROM live GROUP BY node_id, field) GROUP BY node_id) USING (node_id)""", _NODE_EVENTS, _CREATED)
 def _(t):
-    return V.current_nodes(t.log)
+    entries = F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return V.current_nodes(X.node_events(t.log)).withColumn("n_properties", F.size("properties").cast("long")).withColumn("properties", F.array_join(entries, ";"))
 
 
 _EDGE_EVENTS = """edge_events AS (SELECT "offset", ts_ms, CASE event_type WHEN 'view' THEN 'created' WHEN 'error' THEN 'invalidated' WHEN 'signup' THEN 'revalidated' END AS kind,
@@ -33,7 +35,7 @@ _EDGES_NOW = """edges_now AS (SELECT edge_id, arg_max(node_id, "offset") FILTER
 
 @query("v02_current_edges", "log", "SELECT * FROM edges_now", _EDGE_EVENTS, _EDGES_NOW)
 def _(t):
-    return V.current_edges(V.edge_events(t.log))
+    return V.current_edges(X.edge_events(t.log))
 
 
 @query("v03_current_interpretations", "log", """
@@ -49,12 +51,12 @@ _SCHEMAS = """schemas AS (SELECT k AS schema_id, max("offset") AS "offset", arg_
 
 @query("v04_current_schemas", "log", "SELECT * FROM schemas", _SCHEMAS)
 def _(t):
-    return V.current_schemas(t.log)
+    return V.current_schemas(X.induced_schemas(t.log))
 
 
 @query("v04_active_schema_heads", "log", "SELECT * FROM schemas WHERE schema_id NOT IN (SELECT supersedes FROM schemas WHERE supersedes IS NOT NULL)", _SCHEMAS)
 def _(t):
-    return V.active_schema_heads(V.current_schemas(t.log))
+    return V.active_schema_heads(V.current_schemas(X.induced_schemas(t.log)))
 
 
 HEAT = f"""heat AS (
@@ -124,7 +126,7 @@ def _(t):
   SELECT edge_id, CASE WHEN source % 2 = 0 THEN '{V.SELF_ENTITY}' ELSE concat('u', source) END AS source_id, concat('period', source % 12) AS target, recorded_at
   FROM edges_now WHERE invalidated_at IS NULL AND weight >= 10) WHERE source_id = '{V.SELF_ENTITY}'""", _EDGE_EVENTS, _EDGES_NOW)
 def _(t):
-    e = V.current_edges(V.edge_events(t.log))
+    e = V.current_edges(X.edge_events(t.log))
     self_or_user = F.when(F.col("source") % 2 == 0, F.lit(V.SELF_ENTITY)).otherwise(F.concat(F.lit("u"), F.col("source")))
     roles = e.select("edge_id", F.when(F.col("weight") >= 10, "role_in_period").otherwise("mentions").alias("kind"), self_or_user.alias("source"), F.concat(F.lit("period"), F.col("source") % 12).alias("target"), "recorded_at", "invalidated_at")
     return V.active_iams(roles).select("edge_id", "source", "target", "recorded_at")
@@ -146,7 +148,7 @@ def _(t):
 SELECT edge_id, max("offset") AS asserted_offset, count(*) AS times FROM x WHERE kind = 'asserted' AND edge_id NOT IN (SELECT edge_id FROM x WHERE kind = 'resolved') GROUP BY edge_id""",
     """x AS (SELECT concat('x-', node_id, '-', k % 5) AS edge_id, "offset", CASE WHEN event_type = 'error' THEN 'asserted' ELSE 'resolved' END AS kind FROM log WHERE event_type IN ('error', 'signup'))""")
 def _(t):
-    return V.open_contradictions(V.contradiction_events(t.log))
+    return V.open_contradictions(X.contradiction_events(t.log))
 
 
 @query("v12_pending_review", "log", """
@@ -166,22 +168,22 @@ _MATCHES = """requests AS (SELECT concat('m-', node_id, '-', k) AS match_id, arg
 @query("v13_match_cache", "log", """SELECT *, concat(requester, '|', target, '|', window_key) AS cache_key FROM (
   SELECT *, strftime(make_timestamp(completed_at * 1000), '%G-W%V') AS window_key FROM requests JOIN findings USING (match_id))""", _MATCHES)
 def _(t):
-    return V.match_cache(*V.match_events(t.log))
+    return V.match_cache(*X.match_events(t.log))
 
 
 @query("v14_matched_against", "log", "SELECT r.*, completed_at FROM requests r LEFT JOIN findings f ON r.match_id = f.match_id", _MATCHES)
 def _(t):
-    return V.matched_against(*V.match_events(t.log))
+    return V.matched_against(*X.match_events(t.log))
 
 
 @query("v14_count_in_window", "log", f"SELECT requester, count(*) FILTER (requested_at > {NOW_MS - 7 * _DAY} AND requested_at <= {NOW_MS}) AS in_window, count(*) AS requests FROM requests GROUP BY requester", _MATCHES)
 def _(t):
-    return V.count_in_window(V.matched_against(*V.match_events(t.log)), NOW_MS, 7 * _DAY)
+    return V.count_in_window(V.matched_against(*X.match_events(t.log)), NOW_MS, 7 * _DAY)
 
 
 @query("v17_outgoing_edges", "log", "SELECT source, count(*) AS out_degree, round(sum(weight), 4) AS out_weight, max(recorded_at) AS newest FROM edges_now WHERE invalidated_at IS NULL GROUP BY source", _EDGE_EVENTS, _EDGES_NOW)
 def _(t):
-    active = V.current_edges(V.edge_events(t.log)).where("invalidated_at is null")
+    active = V.current_edges(X.edge_events(t.log)).where("invalidated_at is null")
     return active.groupBy("source").agg(F.count(F.lit(1)).alias("out_degree"), F.round(F.sum("weight"), 4).alias("out_weight"), F.max("recorded_at").alias("newest"))
 
 

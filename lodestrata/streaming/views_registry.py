@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import views as V
+from ..sources import fixtures as X
 from ..sources.tables import NOW_MS
 from . import views as S
 
@@ -28,18 +29,18 @@ _ALL = ("signup", "view", "click", "purchase", "error")
 VIEWS = {
     v.name: v
     for v in (
-        View("current_nodes", ("signup", "purchase"), "node_id", V.current_nodes),
-        View("current_edges", ("view", "error", "signup"), "edge_id", lambda log: V.current_edges(V.edge_events(log))),
+        View("current_nodes", ("signup", "purchase"), "node_id", lambda log: V.current_nodes(X.node_events(log))),
+        View("current_edges", ("view", "error", "signup"), "edge_id", lambda log: V.current_edges(X.edge_events(log))),
         View("current_interpretations", ("purchase",), "interpretation_id", V.current_interpretations),
-        View("current_schemas", ("purchase",), "schema_id", V.current_schemas),
+        View("current_schemas", ("purchase",), "schema_id", lambda log: V.current_schemas(X.induced_schemas(log))),
         View("heat_field", ("signup", "view", "click", "purchase"), "node_id", lambda log: V.heat_field(log, NOW_MS), S.heat),
         View("velocity_field", ("view", "click"), "node_id", lambda log: V.velocity_field(log, NOW_MS), S.access_counts),
         View("active_periods", ("signup", "purchase"), "period_id", V.active_periods),
         View("canon_set", ("signup", "purchase"), "node_id", V.canon_set),
-        View("open_contradictions", ("error", "signup"), "edge_id", lambda log: V.open_contradictions(V.contradiction_events(log))),
+        View("open_contradictions", ("error", "signup"), "edge_id", lambda log: V.open_contradictions(X.contradiction_events(log))),
         View("pending_review", _ALL, "item_id", V.pending_review),
-        View("match_cache", ("view", "click"), "match_id", lambda log: V.match_cache(*V.match_events(log)), S.matches),
-        View("matched_against", ("view", "click"), "match_id", lambda log: V.matched_against(*V.match_events(log))),
+        View("match_cache", ("view", "click"), "match_id", lambda log: V.match_cache(*X.match_events(log)), S.matches),
+        View("matched_against", ("view", "click"), "match_id", lambda log: V.matched_against(*X.match_events(log))),
         View("invalidation_set", ("error", "signup"), "node_id", V.invalidation_set),
     )
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import columns as c
 from lodestrata.functions import udfs
 from lodestrata.operators import fold, graph, ingest, logs, match, mine, retrieve, rules, store, text, views
-from lodestrata.sources import adapters
+from lodestrata.sources import adapters, fixtures
 from lodestrata.sources.tables import NOW_MS, Tables
 from lodestrata.streaming import views as streams
 from lodestrata.streaming.views_registry import VIEWS, Bridge
@@ -25,10 +25,15 @@ def log(spark, *rows):
 
 def test_node_fold_resets_and_drops_orphans(spark):
     rows = log(spark, (1, "purchase", 1, 0, 50.0), (2, "signup", 1, 9, 10.0), (3, "purchase", 1, 0, 50.0), (4, "signup", 2, 9, 20.0), (5, "purchase", 2, 0, 50.0), (6, "signup", 2, 9, 30.0), (7, "purchase", 3, 1, 5.0))
-    got = {r["node_id"]: r for r in views.current_nodes(rows).collect()}
+    got = {r["node_id"]: r for r in views.current_nodes(fixtures.node_events(rows)).collect()}
     assert set(got) == {1, 2}  # a set without a creation makes no node
     assert got[1]["canonical"] and got[1]["modified_offset"] == 3
-    assert not got[2]["canonical"] and got[2]["created_offset"] == 6 and got[2]["n_properties"] == 0  # created again
+    assert not got[2]["canonical"] and got[2]["created_offset"] == 6 and got[2]["properties"] == {"importance": "0.09"}  # created again
+    raw = [(1, "node_created", 1, None, None), (2, "node_property_set", 1, "canonical", "true"), (3, "node_property_set", 1, "canonical", "3"), (4, "node_property_set", 1, "importance", "\"high\""), (5, "node_property_set", 1, "canon_path", "\"a\\\"b\""), (6, "node_property_set", 1, "mood", "{}"), (7, "node_property_set", 1, "importance", "2.5e-1")]
+    events = spark.createDataFrame(raw, "offset long, kind string, node_id long, field string, value string")
+    one = views.current_nodes(events).first()
+    assert (one["canonical"], one["importance"], one["canon_path"]) == (True, 0.25, 'a"b') and one["properties"] == {"canonical": "3", "importance": "2.5e-1", "canon_path": '"a\\"b"', "mood": "{}"}
+    assert views.current_nodes(events.unionByName(events.limit(0)).where("offset < 2")).first()["properties"] == {}
 
 
 def test_heat_is_capped_decays_and_is_floored(spark):
