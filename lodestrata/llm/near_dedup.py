@@ -267,12 +267,11 @@ def link(chosen: DataFrame, sketched: DataFrame, texts: DataFrame, known: DataFr
     chosen: (d, n, bands), a row for each distinct set; sketched: (d, key, bands, bottom); texts: (d, t); known: (a, b), links to start from.
     """
     buckets = chosen.select("d", "n", F.posexplode("bands").alias("band", "k"))
-    centres = cut(buckets.groupBy("k").agg(F.min("d").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1"))
-    shared = cut(meet(buckets, centres, "k").select("k", "band", "d", "n", "a"))
+    centres = buckets.groupBy("k").agg(F.min(F.struct("d", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    centres = cut(centres.select("k", F.col("c.d").alias("a"), F.col("c.n").alias("na"), "m"))
+    shared = cut(meet(buckets, centres, "k").select("k", "band", "d", "n", "a", "na"))
     sets = make_sets(shared.select("d").distinct(), texts)
-    stars = shared.where("d <> a").select("a", F.col("d").alias("b"), F.col("n").alias("nb")).distinct()
-    sizes = chosen.select(F.col("d").alias("a"), F.col("n").alias("na"))
-    tested = cut(stars.join(sizes, "a").where(_fits("na", "nb")).select("a", "b").distinct())
+    tested = cut(shared.where("d <> a").where(_fits("na", "n")).select("a", F.col("d").alias("b")).distinct())
     links = cut(confirm(tested, sets).unionAll(known))
     comps = components(links)
 
