@@ -41,13 +41,14 @@ def walk(edges: DataFrame, starts: DataFrame, max_hops: int = 3, decay: float =
     """
     here, there = ("target", "source") if reverse else ("source", "target")
     step = edges.where("weight > 0").groupBy(F.col(here).alias("at"), F.col(there).alias("to")).agg(F.max("weight").alias("w"))
-    best = starts.select("start", F.col("start").alias("node"), F.lit(1.0).alias("weight"))
-    frontier = best
+    frontier = starts.select("start", F.col("start").alias("node"), F.lit(1.0).alias("weight"))
+    reached = None
     for _ in range(max_hops):
+        # the best walk of each length; only the frontier is kept between hops
         pushed = frontier.join(step, F.col("node") == F.col("at")).groupBy("start", F.col("to").alias("node")).agg(F.max(F.col("weight") * F.col("w") * decay).alias("weight"))
-        known = best.select("start", "node", F.col("weight").alias("old"))
-        frontier = settle(pushed.join(known, ["start", "node"], "left").where("old is null or weight > old").select("start", "node", "weight"))
-        best = settle(best.unionByName(frontier).groupBy("start", "node").agg(F.max("weight").alias("weight")))
+        frontier = settle(pushed)
+        reached = frontier if reached is None else reached.unionByName(frontier)
+    best = (frontier if reached is None else reached).groupBy("start", "node").agg(F.max("weight").alias("weight"))
     return best.where("node <> start")
 
 
