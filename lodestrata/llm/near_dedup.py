@@ -18,8 +18,8 @@ Plan
    are made once and dealt by document; every pair ships the set of its end with
    fewer partners to the other end, whose partners are dealt to tasks ``CHUNK`` at
    a time, so neither a popular centre nor its set gathers in one task.
-5. Components come from hash-to-min rounds with pointer jumping on DataFrames;
-   the links of a document with many are dealt ``CHUNK`` at a time as well.
+5. Components come from hash-to-min rounds with pointer jumping on DataFrames, by
+   joins whose skewed keys adaptive execution splits.
 6. A star misses a link between two members that its centre is not linked to.
    So buckets that still span several components go on: their members are dealt by
    bucket (large buckets as pairs of blocks), many buckets a task, with bottom-``KEPT``
@@ -218,25 +218,23 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(d, comp) for every end of a link: the smallest id that links reach."""
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(1 << 16))))
-    state = cut(both.groupBy(F.col("a").alias("d")).agg(F.least(F.min("b"), F.col("d")).alias("comp"), F.count(F.lit(1)).alias("m")).withColumn("parts", F.ceil(F.col("m") / CHUNK).cast("int")))
-    # a document with many links meets them in several tasks
-    both = cut(meet(both, state.select(F.col("d").alias("a"), "m", "parts"), "a", CHUNK).select("a", "b", F.pmod("part", "parts").alias("part")).repartition("a", "part"))
-    state = state.drop("m")
+    """(d, comp) for every end of a link: the smallest id that links reach.
+
+    Joins take ``d + 0``, so that checkpointed sides are dealt anew and Spark can split the rows of a document with very
+    many links, or of a component that very many documents ask for.
+    """
+    both = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    state = cut(both.groupBy(F.col("a").alias("d")).agg(F.least(F.min("b"), F.col("d")).alias("comp")))
     while True:
-        told = state.select("d", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of"))
-        seen = both.join(told, (both["a"] == told["d"]) & (both["part"] == told["of"])).groupBy(F.col("b").alias("e")).agg(F.min("comp").alias("near"))
-        step = state.join(seen, state["d"] == seen["e"], "left").select("d", F.least("comp", "near").alias("next"), F.col("comp").alias("was"), "parts")
-        over = state.select(F.col("d").alias("j"), F.col("comp").alias("over"))
-        # many documents ask for the same component: asked once each, answers go back by document
-        asked = step.groupBy("next").agg(F.count(F.lit(1)).alias("m")).join(over, F.col("next") == F.col("j")).select("next", "m", "over")
-        new = cut(meet(step, cut(asked), "next", CHUNK).select("d", F.least("next", "over").alias("comp"), "was", "parts"))
+        told = state.select((F.col("d") + 0).alias("t"), F.col("comp").alias("near"))
+        seen = both.join(told, F.col("a") == F.col("t")).groupBy(F.col("b").alias("e")).agg(F.min("near").alias("near"))
+        step = state.join(seen, F.col("d") == F.col("e"), "left").select("d", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
+        jump = state.select((F.col("d") + 0).alias("j"), F.col("comp").alias("over"))
+        new = cut(step.join(jump, F.col("next") == F.col("j"), "left").select("d", F.least("next", "over").alias("comp"), "was"))
         changed = new.where(F.col("comp") < F.col("was")).limit(1).count()
-        state = new.select("d", "comp", "parts")
+        state = new.select("d", "comp")
         if not changed:
-            return state.select("d", "comp")
+            return state
 
 
 def _across(shared: DataFrame, comps: DataFrame, sketched: DataFrame) -> DataFrame:
