@@ -54,20 +54,11 @@ def _(t):
     return _overlaps(t).select("a", "b", F.round(2 * F.col("shared") / (F.col("na") + F.col("nb")), 6).alias("f1"))
 
 
-@query("x03_rhyme_clusters", None, f"""WITH RECURSIVE w AS (SELECT doc_id, lang, {S.format('text')} AS words, n_chars // 10 AS block FROM documents),
-  l AS (SELECT a, b, r FROM (SELECT x.doc_id AS a, y.doc_id AS b, {JAC.format(a='x.words', b='y.words', e='1.0')} AS j, 4 * j * (1 - j * j) / (8 / (3 * sqrt(3))) AS r FROM w x JOIN w y ON x.block = y.block AND x.lang = y.lang AND x.doc_id < y.doc_id) WHERE round(r, 6) >= 0.3),
+@query("x03_rhyme_clusters", None, f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, unnest({S.format('text')}) AS word FROM documents), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+  shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS s FROM w x JOIN w y ON x.word = y.word AND x.doc_id < y.doc_id GROUP BY ALL),
+  l AS MATERIALIZED (SELECT a, b, r FROM (SELECT a, b, s / (x.n + y.n - s) AS j, 4 * j * (1 - j * j) / (8 / (3 * sqrt(3))) AS r FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b) WHERE round(r, 6) >= 0.3),
   e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), cc AS (SELECT a AS node, a AS comp FROM e UNION SELECT b, comp FROM cc JOIN e ON node = a), part AS (SELECT node, min(comp) AS component FROM cc GROUP BY node)
-  SELECT component, size, resonance FROM (SELECT component, count(*) AS size FROM part GROUP BY component) JOIN (SELECT component, round(avg(round(r, 6)), 6) AS resonance FROM l JOIN part ON node = a GROUP BY component) USING (component)""")
-def _(t):
-    d = t.raw("documents").select("doc_id", hashed_set(F.col("text")).alias("words"), F.floor(F.col("n_chars") / 10).alias("block"), "lang")
-    p = X.candidate_pairs(d.withColumn("both", F.struct("block", "lang")), "doc_id", F.col("both"))
-    return X.rhyme_clusters(p.select("a", "b", F.round(rhyme(jaccard(F.col("wa"), F.col("wb"), 1.0)), 6).alias("resonance")), 0.3)
-
-
-@query("x03_rhyme_clusters_all", None, f"""WITH RECURSIVE w AS (SELECT doc_id, {S.format('text')} AS words FROM documents),
-  l AS (SELECT a, b, r FROM (SELECT x.doc_id AS a, y.doc_id AS b, {JAC.format(a='x.words', b='y.words', e='1.0')} AS j, 4 * j * (1 - j * j) / (8 / (3 * sqrt(3))) AS r FROM w x JOIN w y ON x.doc_id < y.doc_id) WHERE round(r, 6) >= 0.3),
-  e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), cc AS (SELECT a AS node, a AS comp FROM e UNION SELECT b, comp FROM cc JOIN e ON node = a), part AS (SELECT node, min(comp) AS component FROM cc GROUP BY node)
-  SELECT component, size, resonance FROM (SELECT component, count(*) AS size FROM part GROUP BY component) JOIN (SELECT component, round(avg(round(r, 6)), 6) AS resonance FROM l JOIN part ON node = a GROUP BY component) USING (component)""")
+  SELECT component, size, resonance FROM (SELECT component, count(*) AS size FROM part GROUP BY component) JOIN (SELECT component, round(sum(CAST(round(r * 1000000) AS BIGINT)) / count(*)) / 1000000 AS resonance FROM l JOIN part ON node = a GROUP BY component) USING (component)""")
 def _(t):
     return X.cluster_by_rhyme(t.raw("documents").select(F.col("doc_id").alias("id"), "text"), 0.3)
 
