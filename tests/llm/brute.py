@@ -6,6 +6,8 @@ import math
 import re
 import zlib
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -147,3 +149,24 @@ def kneser_ney(train, texts):
         base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
         out.append((p, base, len(w), sum(c[x] > 0 for x in w)))
     return out, n
+
+
+def window_hashes(text: bytes, span: int) -> np.ndarray:
+    """A 64-bit polynomial hash of every ``span`` bytes of a text, in the order of their starts."""
+    base, rng = 0x9E3779B97F4A7C15, np.random.default_rng(1)
+    value = rng.integers(1, 1 << 63, 256, dtype=np.uint64)[np.frombuffer(text, np.uint8)]
+    n = max(0, len(text) - span + 1)
+    up = np.cumprod(np.full(len(text), base, np.uint64))
+    down = np.cumprod(np.full(n, pow(base, -1, 1 << 64), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up, dtype=np.uint64)])
+    return (sums[span:] - sums[:n]) * down if n else np.zeros(0, np.uint64)
+
+
+def without(text: bytes, starts, span: int):
+    """n_bytes, n_removed, n_spans and the digest of what is left once ``span`` bytes from each start are gone."""
+    depth = np.zeros(len(text) + 1, np.int64)
+    np.add.at(depth, starts, 1)
+    np.add.at(depth, np.asarray(starts) + span, -1)
+    gone = np.cumsum(depth[:-1]) > 0
+    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+    return len(text), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()

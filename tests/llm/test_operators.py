@@ -565,6 +565,17 @@ def test_query_suffix_dedup(spark):
     assert bag(got) == bag((r["doc_id"], *x) for r, x in zip(rows, brute.remove_repeats([r["text"] for r in rows])))
 
 
+def test_query_suffix_dedup_of_many(spark):
+    """At sf0.1, against the repeated hashes of all windows."""
+    sf, span = SF.replace("0.001", "0.1"), suffix_dedup.SPAN
+    docs = [(r["doc_id"], (r["text"] or "").encode()) for r in read(spark, sf, "documents").select("doc_id", "text").collect()]
+    windows = [brute.window_hashes(text, span) for _, text in docs]
+    _, of, n = np.unique(np.concatenate(windows), return_inverse=True, return_counts=True)
+    repeated = np.split(n[of] > 1, np.cumsum([len(w) for w in windows])[:-1])
+    got = queries.op4_suffix_dedup(spark, sf).collect()
+    assert bag(got) == bag((doc_id, *brute.without(text, np.flatnonzero(starts), span)) for (doc_id, text), starts in zip(docs, repeated))
+
+
 def test_query_language_model(spark):
     rows = read(spark, SF, "documents").select("doc_id", "text").collect()
     held = [zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1 for r in rows]
