@@ -41,7 +41,7 @@ WINDOW = 200_000
 #: Free tokens that no longer make a bin worth passing on.
 SLACK = 8
 FAN_IN = 16
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 _CONTROLS = re.compile("[\x1c-\x1f]")  # Python splits at these, the tokenizer's \s doesn't
 _ASCII_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
@@ -67,11 +67,11 @@ _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@[-`{-
 _encoders: dict[str, Encoder] = {}
 
 
-class Encoder:
-    """Little-endian 32-bit token ids of texts, word by word.
+class Encoder(dict):
+    """Little-endian 32-bit token ids of texts, word by word: ``encoder[word]`` is made on first use and remembered.
 
-    Words seen before come from a table.  Plain new words are cut as the file's pre-tokenizer cuts them, and each
-    part goes straight to the BPE model; all other words go through the whole tokenizer.
+    Plain new words are cut as the file's pre-tokenizer cuts them, and each part, itself a word to remember, goes
+    straight to the BPE model; all other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -80,11 +80,12 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
-        self.known, self.parts = {}, {}
         self.model = self.tokenizer.model
         letters = _byte_letters()
-        self.table = {c: "".join(letters[b] for b in chr(c).encode()) for c in [*range(33, 127), *range(0xC0, 0x100)]}
+        self.table = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}  # printable ASCII stands for itself
+        self.raw = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values(), default=0))]
 
     @classmethod
     def of_worker(cls, path: str) -> Encoder:
@@ -93,39 +94,28 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _part(self, part: str) -> bytes:
-        ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(part.translate(self.table)))
-        if len(self.parts) > self.remembered:
-            self.parts.clear()
-        self.parts[part] = ids
+    def __missing__(self, word: str) -> bytes:
+        raw = self.raw
+        if word.isascii() and word.isalpha():
+            parts = [word.lower()]
+        elif _PLAIN.fullmatch(word) and "<|" not in word:
+            parts = _PARTS.findall(word.lower())
+        else:
+            ids = self[word] = b"".join([raw[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+            return ids
+        if parts == [word]:
+            ids = b"".join([raw[t.id] for t in self.model.tokenize(word if word.isascii() else word.translate(self.table))])
+        else:
+            ids = b"".join([self[p] for p in parts])
+        self[word] = ids
         return ids
 
-    def _learn(self, words: list[str]) -> None:
-        """The words that aren't plain, in one call; white space between them keeps them apart."""
-        starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
-        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(got.ids, "<u4")
-        first = np.searchsorted(starts, np.array([s for s, _ in got.offsets], np.int64), "right") - 1
-        cuts = np.searchsorted(first, np.arange(len(words) + 1))
-        raw = ids.tobytes()
-        for w, i, j in zip(words, (cuts[:-1] * 4).tolist(), (cuts[1:] * 4).tolist()):
-            self.known[w] = raw[i:j]
-
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [_ASCII_SPACE.split(t) if _CONTROLS.search(t) else t.split() for t in texts]
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        known, parts, other = self.known, self.parts, []
-        for w in set().union(*split) - known.keys():
-            if _PLAIN.fullmatch(w) and "<|" not in w:
-                known[w] = b"".join([parts.get(p) or self._part(p) for p in _PARTS.findall(w.lower())])
-            elif w:
-                other.append(w)
-        for i in range(0, len(other), 10_000):
-            self._learn(other[i : i + 10_000])
-        known[""] = b""
-        for ws in split:
-            yield b"".join(map(known.__getitem__, ws))
+        if len(self) > self.remembered:
+            self.clear()
+        ids = self.__getitem__
+        for text in texts:
+            yield b"".join(map(ids, _ASCII_SPACE.split(text) if _CONTROLS.search(text) else text.split()))
 
 
 def best_fit(sizes: list[int], capacity: int = LENGTH) -> tuple[list[int], list[int], list[int]]:
