@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import mmap
 import os
+import sys
 import tempfile
 
 import numpy as np
@@ -116,36 +119,38 @@ def open_shared(uri: str, mode: str):
 
 
 class StoreArray:
-    """An array in a file that can't be memory-mapped: blocks are read as they are needed, and the last few kept in memory.
+    """An array in a file that can't be memory-mapped: blocks are read as they are needed, and the last few of all such arrays kept in memory.
 
     Takes sorted keys in ``searchsorted``, and indices, slices and field names like a NumPy array.
     """
 
     BLOCK, KEPT = 1 << 20, 64
+    _blocks: dict[tuple[int, int], np.ndarray] = {}  # of all arrays of the process
+    _numbers = itertools.count()
 
     def __init__(self, source, dtype, field: str | None = None):
         self._source, self.dtype, self._field = source, np.dtype(dtype), field
         self._n = source.seek(0, 2) // self.dtype.itemsize
         self._step = max(1, self.BLOCK // self.dtype.itemsize)
-        self._blocks: dict[int, np.ndarray] = {}
+        self._number = next(self._numbers)
 
     def __len__(self) -> int:
         return self._n
 
     def _block(self, i: int) -> np.ndarray:
-        block = self._blocks.pop(i, None)
+        block = self._blocks.pop((self._number, i), None)
         if block is None:
             self._source.seek(i * self._step * self.dtype.itemsize)
             block = np.frombuffer(self._source.read(min(self._step, self._n - i * self._step) * self.dtype.itemsize), self.dtype)
             while len(self._blocks) >= self.KEPT:
                 del self._blocks[next(iter(self._blocks))]
-        self._blocks[i] = block
+        self._blocks[self._number, i] = block
         return block if self._field is None else block[self._field]
 
     def __getitem__(self, index):
         if isinstance(index, str):
             other = StoreArray(self._source, self.dtype, index)
-            other._blocks = self._blocks
+            other._number = self._number
             return other
         if isinstance(index, slice):
             index = np.arange(*index.indices(self._n))
@@ -199,7 +204,10 @@ def map_shared(uri: str, dtype):
     scheme, _, rest = uri.partition("://")
     if not rest or scheme == "file":
         path = rest or uri.removeprefix("file:")
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+        if not os.path.getsize(path):
+            return np.zeros(0, dtype)
+        with open(path, "rb") as f:  # a map holds no file open where that can be avoided: a model has thousands
+            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {})), dtype)
     return StoreArray(open_shared(uri, "rb"), dtype)
 
 

@@ -5,11 +5,12 @@ of order 2: on these corpora most word triples occur once, and a table of them
 would outgrow the texts themselves; see the README for figures.
 
 Counting takes three passes, each pre-aggregated in the mapping tasks, which send
-sorted arrays rather than rows:
+sorted arrays rather than rows, and a shard is combined while its arrays arrive:
 1. words: 64-bit hashes and counts, in shards by the hash's top bits.  A word's
    number is its place in the global sorted order of hashes;
 2. pairs: ``context number << 32 | word number`` and counts, in key ranges that
-   hold about equal numbers of tokens.  A context that outweighs a range is split
+   hold about equal numbers of tokens, SHARD_TOKENS at most however few partitions
+   the table has.  A context that outweighs a range is split
    by word number, so no word makes a hot shard;
 3. continuations: for each word the number of distinct contexts before it.
 
@@ -50,6 +51,8 @@ FOLDS, HELD_OUT = 5, 1
 END = np.uint64(0x5EED0F7E57E4D000)  # the hash that stands for the end token
 #: Keys gathered in a mapping task before they are combined.
 BUFFER = 2_000_000
+#: Training tokens of a shard of pairs, about.
+SHARD_TOKENS = 1_000_000
 LOW = np.uint64(0xFFFFFFFF)
 W32 = np.uint64(32)
 #: Counts that 32 bits cannot hold, and the statistics of a context: c, n1, n2, n3+.
@@ -114,14 +117,29 @@ def _chunks(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.Reco
 _CHUNKS = "shard int, high binary, low binary, n binary"
 
 
-def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    def whole(name: str) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table[name]])
+def _joined(batches: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray, np.ndarray]:
+    """A shard and its distinct keys with their counts; beside these, only about as many keys wait to be combined."""
+    shard, keys, counts = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    new: list[tuple[np.ndarray, np.ndarray]] = []
+    pending = 0
 
-    keys = whole("high").astype(np.uint64)
-    keys <<= W32
-    keys |= whole("low")
-    return combine(keys, whole("n").astype(np.int64))
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return combine(np.concatenate([keys, *(k for k, _ in new)]), np.concatenate([counts, *(n for _, n in new)]))
+
+    for batch in batches:
+        shard = batch.column("shard")[0].as_py()
+        for high, low, n in zip(*(batch.column(c) for c in ("high", "low", "n"))):
+            high, low, n = (np.frombuffer(x.as_buffer(), "<u4") for x in (high, low, n))
+            key = high.astype(np.uint64)
+            key <<= W32
+            key |= low
+            new.append((key, n.astype(np.int64)))
+            pending += len(key)
+            if pending >= max(BUFFER // 4, len(keys)):
+                keys, counts = merged()
+                new, pending = [], 0
+    keys, counts = merged()
+    return shard, keys, counts
 
 
 def _write(name: str, array: np.ndarray) -> None:
@@ -145,13 +163,12 @@ _WORD_SHARD = "shard int, name string, n long, total long"
 
 
 def _store_words(folder: str):
-    def run(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        hashes, counts = _joined(table)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, hashes, counts = _joined(batches)
         name = f"{folder}/words-{shard:06d}-{TaskContext.get().taskAttemptId()}"
         _write(f"{name}.hash", hashes)
         _write(f"{name}.count", counts)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "name": [name], "n": [len(hashes)], "total": [int(counts.sum())]})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "n": [len(hashes)], "total": [int(counts.sum())]})
 
     return run
 
@@ -291,13 +308,13 @@ _PAIR_SHARD = "shard int, name string, n1 long, n2 long, n3 long, n4 long, n lon
 
 
 def _store_pairs(folder: str):
-    def run(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        keys, counts = _joined(table)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys, counts = _joined(batches)
         heads = (keys >> W32).astype("<u4")
-        starts = np.flatnonzero(np.diff(heads.astype(np.int64), prepend=-1))
-        rows = np.stack([counts, counts == 1, counts == 2, counts >= 3], axis=1).astype("<i8")
-        stats = np.add.reduceat(rows, starts, axis=0)
+        starts = np.append(0, np.flatnonzero(heads[1:] != heads[:-1]) + 1)
+        stats = np.empty((len(starts), 4), "<i8")
+        for i, test in enumerate((None, lambda n: n == 1, lambda n: n == 2, lambda n: n >= 3)):
+            stats[:, i] = np.add.reduceat(test(counts).astype("<i8") if test else counts, starts)
         name = f"{folder}/pairs-{shard:06d}-{TaskContext.get().taskAttemptId()}"
         more = np.flatnonzero(counts >= int(LOW))
         many = np.zeros(len(more), MANY)
@@ -308,7 +325,7 @@ def _store_pairs(folder: str):
         values = [shard, name, *of, len(keys), int(heads[0]), stats[0].tolist(), int(heads[-1]), stats[-1].tolist()]
         kinds = [pa.int32(), pa.string(), *[pa.int64()] * 6, pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
         names = [c.split()[0] for c in _PAIR_SHARD.split(", ")]
-        return pa.table({n: pa.array([v], k) for n, v, k in zip(names, values, kinds)})
+        yield pa.RecordBatch.from_pydict({n: pa.array([v], k) for n, v, k in zip(names, values, kinds)})
 
     return run
 
@@ -331,9 +348,8 @@ _TAIL_SHARD = "shard int, name string, n1 long, n2 long, n3 long, n4 long, more
 
 
 def _store_tails(folder: str, size: int):
-    def run(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        words, counts = _joined(table)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, words, counts = _joined(batches)
         dense = np.zeros(size, "<i8")
         dense[words.astype(np.int64) - shard * size] = counts
         name = f"{folder}/tails-{shard:06d}-{TaskContext.get().taskAttemptId()}"
@@ -341,7 +357,7 @@ def _store_tails(folder: str, size: int):
         of = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         values = [shard, name, *of, int((counts >= 3).sum())]
         kinds = [pa.int32(), pa.string(), *[pa.int64()] * 5]
-        return pa.table({c.split()[0]: pa.array([v], k) for c, v, k in zip(_TAIL_SHARD.split(", "), values, kinds)})
+        yield pa.RecordBatch.from_pydict({c.split()[0]: pa.array([v], k) for c, v, k in zip(_TAIL_SHARD.split(", "), values, kinds)})
 
     return run
 
@@ -368,6 +384,7 @@ def train(docs: DataFrame, folder: str) -> Model:
     if model.size >= 0xFFFFFFFF:
         raise ValueError("word numbers of 32 bits are used up")
 
+    parts = max(parts, -(-model.total // SHARD_TOKENS))
     model.pair_bounds = _pair_bounds(model, texts, parts)
     pairs = cut(texts.mapInArrow(_count_pairs(model, model.pair_bounds), _CHUNKS).groupBy("shard").applyInArrow(_store_pairs(folder), _PAIR_SHARD))
     rows = pairs.orderBy("shard").collect()

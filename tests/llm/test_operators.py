@@ -408,6 +408,31 @@ def test_language_model_without_training_rows(spark):
     assert (got["n_tokens"], got["n_known"], got["train_tokens"], got["score"]) == (3, 0, 0, 0.0)
 
 
+def test_shards_of_the_model_are_bounded_whatever_the_partitions(spark, tmp_path, monkeypatch):
+    texts = [" ".join(f"w{(i * 7 + j * j) % 90}" for j in range(60)) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    whole = language_model.train(df, f"file://{tmp_path}/whole").open()
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 50)
+    model = language_model.train(df, f"file://{tmp_path}/parts").open()
+    sizes = [len(np.asarray(common.map_shared(f"{n}.key", "<u8"))) for n in model.pairs.values()]
+    assert sum(sizes) == whole.spread and max(sizes) <= 2 * 50 and len(sizes) >= model.total // 100
+    ids, at = np.array([i % 91 - 1 for i in range(300)]), np.arange(0, 301, 10)
+    assert (model.log10(ids, at) == whole.log10(ids, at)).all() and (model.discounts, model.uni_discounts) == (whole.discounts, whole.uni_discounts)
+
+
+def test_stores_share_one_bound(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    monkeypatch.setattr(common.StoreArray, "BLOCK", 80)
+    monkeypatch.setattr(common.StoreArray, "KEPT", 3)
+    arrays = []
+    for i in range(5):
+        (tmp_path / str(i)).write_bytes(np.arange(i, i + 100).astype("<i8").tobytes())
+        arrays.append(common.StoreArray(fs.LocalFileSystem().open_input_file(str(tmp_path / str(i))), "<i8"))
+    assert all((a[:] == np.arange(i, i + 100)).all() for i, a in enumerate(arrays))
+    assert len({(id(a._blocks), k) for a in arrays for k in a._blocks}) <= 3
+
+
 def test_probabilities_sum_to_one(spark, tmp_path):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a b c", "b c d", "a a a", "", "d e f g a"])], "doc_id long, text string")
     model = language_model.train(df, f"file://{tmp_path}/m").open()
