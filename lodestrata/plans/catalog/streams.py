@@ -54,7 +54,7 @@ def _(t):
 
 @query("f16_rate_limit_stream", "log", 'SELECT peer, request AS "offset", allowed FROM bucket', *RATE_LIMIT, recursive=True)
 def _(t):
-    return S.drain(S.rate_limit(_log(t), 1.0), "append")
+    return S.drain(S.rate_limit(_log(t, None), 1.0), "append")
 
 
 @query("v16_bridge_query", "log", """SELECT node_id, max("offset") AS since_offset FROM log WHERE event_type IN ('error', 'signup') AND "offset" <= 5000 GROUP BY node_id HAVING arg_max(event_type, "offset") = 'error'""")
