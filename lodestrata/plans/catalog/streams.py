@@ -49,7 +49,7 @@ def _(t):
 @query("h09_session_stream", "log", """SELECT CAST(make_timestamp(min(ts_ms) * 1000) AS TIMESTAMP) AS begun, node_id, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY node_id ORDER BY ts_ms, "offset") AS session FROM (
   SELECT *, coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY node_id ORDER BY ts_ms, "offset") > 7200000, true)::INT AS new FROM log)) GROUP BY node_id, session""")
 def _(t):
-    return S.drain(S.sessions(_log(t)), "complete").withColumn("begun", F.date_trunc("millisecond", "begun").cast("timestamp_ntz"))
+    return S.drain(S.sessions(_log(t, None)), "complete").withColumn("begun", F.date_trunc("millisecond", "begun").cast("timestamp_ntz"))
 
 
 @query("f16_rate_limit_stream", "log", 'SELECT peer, request AS "offset", allowed FROM bucket', *RATE_LIMIT, recursive=True)

@@ -198,7 +198,7 @@ def test_drained_streams_stay_off_the_driver(spark, tmp_path):
     duck = oracle.connect(SF)
     duck.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     registry.load()
-    for name in ("c04_unseen_stream", "f16_rate_limit_stream", "v13_match_stream"):
+    for name in ("c04_unseen_stream", "h09_session_stream", "f16_rate_limit_stream", "v13_match_stream"):
         got = registry.QUERIES[name](spark, str(tmp_path))
         oracle.check(got, duck.sql(registry.ORACLES[name]))
         assert "MemoryPlan" not in got._jdf.queryExecution().logical().toString() and got.inputFiles()  # rows are in files
