@@ -60,6 +60,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage now, between the phases of a long operator.
+
+    Only then does Spark let go of the broadcasts, shuffles and checkpoints of frames that are gone; left alone, the heap
+    grows to all it may take first, at a task's bookkeeping for each of tens of thousands of tasks.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Document ids broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
 

@@ -18,8 +18,9 @@ Plan
    are made once and dealt by document; every pair ships the set of its end with
    fewer partners to the other end, whose partners are dealt to tasks ``CHUNK`` at
    a time, so neither a popular centre nor its set gathers in one task.
-5. Components come from hash-to-min rounds with pointer jumping on DataFrames, by
-   joins whose skewed keys adaptive execution splits.
+5. Components of at most ``BROADCAST_IDS`` links (counted) are found by arrays on
+   the driver, in one job; of more, they come from hash-to-min rounds with pointer
+   jumping on DataFrames, by joins whose skewed keys adaptive execution splits.
 6. A star misses a link between two members that its centre is not linked to.
    So buckets that still span several components go on: their members are dealt by
    bucket (large buckets as pairs of blocks), many buckets a task, with bottom-``KEPT``
@@ -50,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, meet, own_name, small_batches
+from .common import BROADCAST_IDS, bounded, cut, meet, own_name, release, small_batches
 from .hashing import mix, shingle_sets
 
 BANDS, ROWS = 40, 4
@@ -206,7 +207,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The distinct (a, b) whose full sets are similar enough.  sets: (d, set)."""
-    partners = cut(pairs.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("m")))
+    partners = bounded(cut(pairs.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("m"))))
     both = pairs.join(partners.select(F.col("d").alias("a"), F.col("m").alias("ma")), "a").join(partners.select(F.col("d").alias("b"), F.col("m").alias("mb")), "b")
     more = F.col("ma") >= F.col("mb")
     chunk = F.pmod(F.xxhash64("leaf"), F.ceil(F.greatest("ma", "mb") / CHUNK)).cast("int")
@@ -217,8 +218,36 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(_confirm, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(d, comp) for every end of a link: the smallest id that links reach.
+def smallest_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ends of links (a, b), and the smallest one that each reaches."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while (root[i] != root[j]).any():
+        low, was = np.minimum(root[i], root[j]), root
+        root = root.copy()
+        np.minimum.at(root, was[i], low)
+        np.minimum.at(root, was[j], low)
+        while (root[root] != root).any():
+            root = root[root]
+    return ids, ids[root]
+
+
+def components(links: DataFrame, here: int | None = None) -> DataFrame:
+    """(d, comp) for every end of a link: the smallest id that links reach.  links: (a, b), cut.
+
+    Up to ``here`` links (BROADCAST_IDS by default, 16 bytes each) are joined on the driver: the rounds for more are some
+    seven shuffles each, whose tasks are far more for the driver to keep track of than so few links.
+    """
+    if links.count() > (BROADCAST_IDS if here is None else here):
+        return _components_by_rounds(links)
+    table = links.select("a", "b").toArrow()
+    d, comp = smallest_reached(table["a"].to_numpy(), table["b"].to_numpy())
+    return cut(links.sparkSession.createDataFrame(pa.table({"d": d, "comp": comp}), "d long, comp long"))
+
+
+def _components_by_rounds(links: DataFrame) -> DataFrame:
+    """``components`` by rounds.
 
     Joins take ``d + 0``, so that checkpointed sides are dealt anew and Spark can split the rows of a document with very
     many links, or of a component that very many documents ask for.
@@ -239,7 +268,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _across(shared: DataFrame, comps: DataFrame, sketched: DataFrame) -> DataFrame:
     """(a, b): pairs that share a bucket, lie in different components and may be linked."""
-    marked = cut(shared.join(comps, "d", "left").withColumn("comp", F.coalesce("comp", "d")))
+    marked = cut(shared.join(bounded(comps), "d", "left").withColumn("comp", F.coalesce("comp", "d")))
     mixed = cut(marked.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("k", "m", F.ceil(F.col("m") / MEMBERS).cast("int").alias("g")))
     tasks = 1 + (mixed.agg(F.sum(F.col("m") * F.col("g"))).first()[0] or 0) // DEALT
     alive = cut(meet(marked, mixed, "k"))
@@ -269,14 +298,16 @@ def link(chosen: DataFrame, sketched: DataFrame, texts: DataFrame, known: DataFr
     centres = cut(centres.select("k", F.col("c.d").alias("a"), F.col("c.n").alias("na"), "m"))
     shared = cut(meet(buckets, centres, "k").select("k", "band", "d", "n", "a", "na"))
     sets = make_sets(shared.select("d").distinct(), texts)
+    release(sets.sparkSession)
     tested = cut(shared.where("d <> a").where(_fits("na", "n")).select("a", F.col("d").alias("b")).distinct())
     links = cut(confirm(tested, sets).unionAll(known))
     comps = components(links)
+    release(links.sparkSession)
 
     fresh = cut(_across(shared.select("k", "band", "d", "n"), comps, sketched).join(tested, ["a", "b"], "left_anti"))
     if fresh.isEmpty():
         return comps
-    return components(links.unionAll(confirm(fresh, sets)))
+    return components(cut(links.unionAll(confirm(fresh, sets))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -292,8 +323,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ties = members.join(twice, "d").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
 
     chosen = meet(some.drop("bottom"), reps, "key").where("d = rep").dropDuplicates(["key"]).select("d", "n", "bands")
-    comps = link(cut(chosen), some, docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t")), ties)
-    out = meet(members, cut(reps.groupBy("rep").agg(F.sum("m").alias("m")).join(comps.select(F.col("d").alias("rep"), "comp"), "rep", "left")), "rep").unionByName(members.where("rep is null").withColumn("comp", F.lit(None).cast("long")))
+    chosen = cut(chosen)
+    release(docs.sparkSession)
+    comps = link(chosen, some, docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t")), ties)
+    out = meet(members, cut(reps.groupBy("rep").agg(F.sum("m").alias("m")).join(bounded(comps).select(F.col("d").alias("rep"), "comp"), "rep", "left")), "rep").unionByName(members.where("rep is null").withColumn("comp", F.lit(None).cast("long")))
     component = F.when(F.col("d").isNotNull(), F.coalesce("comp", "rep", "d"))
     return out.select(
         F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
@@ -304,6 +337,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document stays: one of each group, once."""
     found = cut(near_duplicates(docs).select("doc_id", "kept"))
+    release(docs.sparkSession)
     mark = own_name(docs, "gone")
     gone = cut(found.where("not kept").select(F.col("doc_id").alias(mark)).distinct())
     out = docs.join(bounded(gone), docs["doc_id"].cast("long") == F.col(mark), "left_anti")

@@ -215,6 +215,27 @@ def test_signature_estimates_similarity():
     assert (near_dedup.signature(a[:3]) == near_dedup.signature(a[:3])).all()
 
 
+def test_components_of_few_links(spark):
+    """Few links take a few jobs, not rounds of shuffles that the driver has to keep track of; both ways agree."""
+    rng = np.random.default_rng(5)
+    ends = rng.integers(-300, 300, (400, 2))
+    ends = [(int(a), int(b)) for a, b in ends] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
+    links = common.cut(spark.createDataFrame(ends, "a long, b long"))
+    want: dict[int, int] = {x: x for e in ends for x in e}
+    while any(want[a] != want[b] for a, b in ends):
+        for a, b in ends:
+            want[a] = want[b] = min(want[a], want[b])
+    spark.sparkContext.setJobGroup("few-links", "")
+    got = {r["d"]: r["comp"] for r in near_dedup.components(links).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")
+    spark.sparkContext.setJobGroup("other", "")
+    assert got == want
+    assert len(jobs) <= 8
+    assert {r["d"]: r["comp"] for r in near_dedup.components(links, here=100).collect()} == want
+    none = common.cut(spark.createDataFrame([], "a long, b long"))
+    assert near_dedup.components(none).count() == 0
+
+
 # -- suffixes ------------------------------------------------------------------------------------
 
 
